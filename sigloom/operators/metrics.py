@@ -124,18 +124,21 @@ def reliability(df: DataFrame, score: str, label: Column, n_bins: int = 5) -> Da
     )
 
 
-def equal_error_shift(df: DataFrame, logit: str, positive: Column, negative: Column, name: str = "shift") -> DataFrame:
-    """Threshold where sensitivity equals specificity: median of the cuts with the smallest gap.
+def equal_error_shift(
+    df: DataFrame, logit: str, positive: Column, negative: Column, name: str = "shift", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Threshold per key where sensitivity equals specificity: median of the cuts with the smallest gap.
 
     Cuts are the midpoints between neighbouring distinct logits and one beyond each end.
     """
+    keys = list(keys)
     kept = df.filter(positive | negative)
     counts = ordered.value_counts(
-        kept, [], logit, {"_p": F.sum(positive.cast("double")), "_q": F.sum(negative.cast("double"))}
+        kept, keys, logit, {"_p": F.sum(positive.cast("double")), "_q": F.sum(negative.cast("double"))}
     )
     counts = ordered.scan(
         ordered.range_bucket(counts, logit),
-        [],
+        keys,
         [logit],
         {"_cp": F.col("_p"), "_cq": F.col("_q")},
         {"_np": "_cp", "_nq": "_cq"},
@@ -143,11 +146,13 @@ def equal_error_shift(df: DataFrame, logit: str, positive: Column, negative: Col
     )
     cut = F.when(F.col("_next").isNull(), F.col(logit) + 1.0).otherwise((F.col(logit) + F.col("_next")) / 2.0)
     gap = F.abs((F.col("_np") - F.col("_cp")) / F.col("_np") - F.col("_cq") / F.col("_nq"))
-    cuts = counts.select(cut.alias("cut"), gap.alias("gap"))
-    cuts = cuts.unionByName(kept.agg((F.min(logit) - 1.0).alias("cut")).withColumn("gap", F.lit(1.0)))
-    best = cuts.agg(F.min("gap").alias("_best"))
-    near = cuts.crossJoin(F.broadcast(best)).filter(F.col("gap") - F.col("_best") <= 1e-8 + 1e-5 * F.col("_best"))
-    return ordered.median(near, [], "cut", name)
+    cuts = counts.select(*keys, cut.alias("cut"), gap.alias("gap"))
+    below = kept.groupBy(*keys).agg((F.min(logit) - 1.0).alias("cut")).withColumn("gap", F.lit(1.0))
+    cuts = cuts.unionByName(below)
+    best = cuts.groupBy(*keys).agg(F.min("gap").alias("_best"))
+    both = cuts.join(best, keys) if keys else cuts.crossJoin(F.broadcast(best))
+    near = both.filter(F.col("gap") - F.col("_best") <= 1e-8 + 1e-5 * F.col("_best"))
+    return ordered.median(near, keys, "cut", name)
 
 
 def roc_points(df: DataFrame, score: str, positive: Column) -> DataFrame:

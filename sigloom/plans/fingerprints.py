@@ -102,5 +102,5 @@ SELECT doc_id, CASE WHEN rest AND first IS NOT NULL THEN 'same content as a task
 def ambiguity_policy(t: Tables) -> DataFrame:
     rows = hashed(t).drop("source")
     rest = rows.groupBy("lang").agg(F.min("doc_id").alias("rest_id"))
-    rows = rows.join(F.broadcast(rest), "lang")  # one row per language
+    rows = rows.join(rest, "lang")
     return fp.resolve_ambiguous(rows, "lang", "doc_id", "h", F.col("doc_id") == F.col("rest_id")).select("doc_id", "reason", "usable")
