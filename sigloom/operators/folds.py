@@ -30,16 +30,16 @@ def _order_bucket(df: DataFrame, key: str, name: str) -> DataFrame:
 def dense_index(keys: DataFrame, key: str, within: Sequence[str] = (), name: str = "idx") -> DataFrame:
     """0-based position of each distinct key in key order, and the number of keys."""
     rows = _order_bucket(keys.select(*within, key).distinct(), key, ordered.BUCKET)
-    rows = ordered.scan(rows, list(within), [key], {"_pos": F.lit(1).cast("long")}, {f"{name}_count": "_pos"})
-    return rows.select(*within, key, (F.col("_pos") - 1).alias(name), f"{name}_count")
+    rows = ordered.scan(rows, list(within), [key], {"__at": F.lit(1).cast("long")}, {f"{name}_count": "__at"})
+    return rows.select(*within, key, (F.col("__at") - 1).alias(name), f"{name}_count")
 
 
 def shuffled_index(keys: DataFrame, key: str, seed: int | Column, within: Sequence[str] = (), name: str = "idx") -> DataFrame:
     """0-based position of each distinct key in the order of its hash: a seeded permutation."""
     rows = keys.select(*within, key).distinct().withColumn("_h", hash_number(seed, F.col(key)))
     rows = rows.withColumn(ordered.BUCKET, F.floor(F.col("_h") / F.lit(2**24)))
-    rows = ordered.scan(rows, list(within), ["_h", key], {"_pos": F.lit(1).cast("long")}, {f"{name}_count": "_pos"})
-    return rows.select(*within, key, (F.col("_pos") - 1).alias(name), f"{name}_count")
+    rows = ordered.scan(rows, list(within), ["_h", key], {"__at": F.lit(1).cast("long")}, {f"{name}_count": "__at"})
+    return rows.select(*within, key, (F.col("__at") - 1).alias(name), f"{name}_count")
 
 
 def stratified_group_folds(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
@@ -53,6 +53,9 @@ def stratified_group_folds(df: DataFrame, group: str, label: str, k: int = 5, se
     # the list has one entry per label value of a group
     shape = counts.groupBy(group).agg(F.array_join(parts, ",").alias("_shape"))
     shape = shape.withColumn("_shape", F.md5("_shape")).withColumn("_h", hash_number(seed, F.col(group)))
-    shape = shape.withColumn(ordered.BUCKET, F.concat(F.substring("_shape", 1, 2), F.lpad(F.hex(F.floor(F.col("_h") / F.lit(2**24))), 2, "0")))
-    rows = ordered.scan(shape, [], ["_shape", "_h", group], position="_pos")
-    return rows.select(group, F.pmod(F.col("_pos") - 1, F.lit(k)).cast("int").alias(name))
+    shape = shape.withColumn(ordered.BUCKET, F.floor(F.col("_h") / F.lit(2**24)))
+    rows = ordered.scan(shape, ["_shape"], ["_h", group], position="_seat").drop(ordered.BUCKET)
+    sizes = shape.groupBy("_shape").agg(F.count(F.lit(1)).alias("_size")).withColumn(ordered.BUCKET, F.substring("_shape", 1, 2))
+    offsets = ordered.scan(sizes, [], ["_shape"], {"_upto": F.col("_size")}).select("_shape", (F.col("_upto") - F.col("_size")).alias("_before"))
+    rows = rows.join(offsets, "_shape")
+    return rows.select(group, F.pmod(F.col("_before") + F.col("_seat") - 1, F.lit(k)).cast("int").alias(name))
