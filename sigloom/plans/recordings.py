@@ -1 +1,96 @@
-"""Placeholder."""
+"""Recording queries: embeddings become EDF files inside Spark, and the recording pipeline reads them back.
+
+Fifty consecutive vectors form one six-channel recording of 3,200 samples at 125 Hz, so the number of
+recordings grows with the table and the size of one does not.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sigloom.operators import recordings, windows
+from sigloom.operators.windows import Reject
+from sigloom.plans.registry import Tables, query, r6
+from sigloom.sources import edf
+
+PER_FILE = 50
+
+DIGITAL_SQL = f"""
+WITH c(channel, shift, sign) AS (VALUES ('O1', 0, 1), ('T3', 7, 1), ('Fp1', 14, 1), ('Fp2', 21, -1), ('T4', 28, 1), ('O2', 0, 1)),
+v AS (SELECT vec_id, vec_id // {PER_FILE} AS rec, CAST(round_even(CAST(embedding[i + 1] AS DOUBLE) * 4096, 0) AS INTEGER) AS d, (vec_id % {PER_FILE}) * 64 + i AS pos FROM embeddings CROSS JOIN range(0, 64) r(i)),
+n AS (SELECT rec, count(*) AS len FROM v GROUP BY rec),
+raw AS (SELECT v.rec, c.channel, (v.pos + c.shift) % n.len AS t, c.sign * v.d AS d, n.len // 125 * 125 AS used FROM v JOIN n ON v.rec = n.rec CROSS JOIN c),
+s AS (SELECT * FROM raw WHERE t < used)
+"""
+
+
+def files(t: Tables) -> DataFrame:
+    """One EDF file per fifty vectors, as (path, file_bytes, content)."""
+    packed = t.embeddings.groupBy(F.floor(F.col("vec_id") / PER_FILE).alias("rec")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"]).alias("rows")
+    )
+
+    @F.pandas_udf("binary")
+    def encode(rows: pd.Series) -> pd.Series:
+        out = []
+        for r in rows:
+            flat = np.round(np.concatenate([np.asarray(v, dtype=float) for v in r]) * 4096)
+            out.append(edf.encode(np.stack([np.roll(flat, k) * s for k, s in ((0, 1), (7, 1), (14, 1), (21, -1), (28, 1), (0, 1))]), edf.CHANNELS, 125, -800.0, 800.0))
+        return pd.Series(out)
+
+    content = packed.select(F.concat(F.lit("rec-"), F.col("rec").cast("string")).alias("path"), encode("rows").alias("content"))
+    return content.select("path", F.length("content").cast("long").alias("file_bytes"), "content")
+
+
+@query(
+    DIGITAL_SQL + "SELECT 'rec-' || rec AS path, channel, CAST(count(*) AS BIGINT) AS n, CAST(sum(d) AS BIGINT) AS total, CAST(sum(d * (t % 1000)) AS BIGINT) AS moment, "
+    "CAST(min(d) AS INTEGER) AS lo, CAST(max(d) AS INTEGER) AS hi FROM s GROUP BY rec, channel"
+)
+def edf_decode(t: Tables) -> DataFrame:
+    """Decoded samples, checked by sums and a position-weighted moment."""
+    s = edf.samples(files(t), per_piece=1000).select("path", "channel", "start", F.posexplode("digital").alias("i", "d"))
+    pos = F.col("start") + F.col("i")
+    return s.groupBy("path", "channel").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("d").alias("total"), F.sum(F.col("d") * (pos % 1000)).alias("moment"), F.min("d").cast("int").alias("lo"), F.max("d").cast("int").alias("hi")
+    )
+
+
+@query(
+    DIGITAL_SQL + "SELECT 'rec-' || rec AS path, 'ok' AS status, CAST(125 AS DOUBLE) AS sfreq, CAST(max(used) AS BIGINT) AS n_times, max(used) / CAST(125 AS DOUBLE) AS duration_s, "
+    "CAST(256 * 7 + max(used) * 12 AS BIGINT) AS file_bytes, round(CAST(1600 AS DOUBLE) / 65535, 6) AS quant_step_uv FROM s GROUP BY rec"
+)
+def edf_headers(t: Tables) -> DataFrame:
+    h = edf.headers(files(t))
+    return h.select("path", "status", "sfreq", "n_times", "duration_s", "file_bytes", r6("quant_step_uv").alias("quant_step_uv"))
+
+
+@query(DIGITAL_SQL + "SELECT DISTINCT 'rec-' || rec AS path, channel FROM s WHERE channel IN ('O1', 'O2')")
+def copied_channels(t: Tables) -> DataFrame:
+    """O2 repeats O1 in every file."""
+    return edf.copied_channels(edf.channel_digests(files(t), per_piece=1000))
+
+
+@query(
+    DIGITAL_SQL + """, w AS (SELECT s.rec, s.channel, k, (CAST(1600 AS DOUBLE) / 65535) * d + (-800 + (CAST(1600 AS DOUBLE) / 65535) * 32768) AS uv, t - k * 500 AS x
+  FROM s CROSS JOIN range(0, 7) q(k) WHERE t >= k * 500 AND t < k * 500 + 500 AND (k + 1) * 500 <= used),
+f AS (SELECT rec, channel, k, regr_slope(uv, x) AS b, regr_intercept(uv, x) AS a FROM w GROUP BY 1, 2, 3)
+SELECT 'rec-' || w.rec AS path, w.channel, CAST(w.k AS BIGINT) AS window_idx, round(stddev_pop(uv - (a + b * x)), 5) AS sd, round(max(uv - (a + b * x)) - min(uv - (a + b * x)), 5) AS ptp
+FROM w JOIN f ON w.rec = f.rec AND w.channel = f.channel AND w.k = f.k GROUP BY 1, 2, 3
+"""
+)
+def edf_windows(t: Tables) -> DataFrame:
+    """Detrended 4-s windows, unfiltered so that SQL can follow."""
+    plain = recordings.Conditioning(high_hz=None, step_s=4.0)
+    w = recordings.conditioned_windows(files(t), plain, per_piece=2)
+    return w.select("path", "channel", "window_idx", F.round("sd", 5).alias("sd"), F.round("ptp", 5).alias("ptp"))
+
+
+@query()
+def edf_quality(t: Tables) -> DataFrame:
+    """Share of windows per rejection reason, per file and channel."""
+    w = recordings.flagged_windows(files(t))
+    out = windows.quality_table(w, ["path", "channel"])
+    return out.select("path", "channel", "n_windows", "n_good", *[r6(f"frac_{r.name.lower()}").alias(f"frac_{r.name.lower()}") for r in Reject])
