@@ -60,14 +60,14 @@ def condition_spectrum(
     record: str,
     psd: str = "psd",
     min_windows: int = MIN_GOOD_WINDOWS,
-    min_record_windows: int = 1,
+    min_record_windows: int | Column = 1,
     name: str = "spectrum",
 ) -> DataFrame:
     """Pooled spectrum per key from usable windows: log-mean per record, then records with equal weight.
 
     Records with too few windows are ignored; a key with too few windows in all is absent.
     """
-    per_record = log_mean_bins(windows, [*keys, record], psd).filter(F.col("n_windows") >= max(1, min_record_windows))
+    per_record = log_mean_bins(windows, [*keys, record], psd).filter(F.col("n_windows") >= min_record_windows)
     pooled = per_record.groupBy(*keys, "bin").agg(F.avg("mean_log").alias("mean_log"), F.sum("n_windows").alias("n_windows"))
     enough = pooled.filter(F.col("n_windows") >= min_windows)
     return as_array(enough, keys, F.pow(F.lit(10.0), F.col("mean_log") + LOG10_BIAS), name)

@@ -1 +1,66 @@
-"""Placeholder."""
+"""Cycle-folding queries on embeddings (64-sample cycles per label) and on the derived recordings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sigloom.operators import cycles, features, recordings
+from sigloom.plans.recordings import files
+from sigloom.plans.registry import Tables, query, r6
+
+HALF_SQL = """
+WITH v AS (SELECT label, (vec_id % 2) AS half, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings CROSS JOIN range(0, 64) r(i)),
+m AS (SELECT label, half, i, avg(x) AS x, count(*) AS n FROM v GROUP BY 1, 2, 3)
+"""
+
+
+def halves(t: Tables) -> DataFrame:
+    rows = t.embeddings.select("label", (F.col("vec_id") % 2).cast("int").alias("half"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    return cycles.mean_arrays(rows, ["label", "half"], "x", "mean")
+
+
+@query(
+    HALF_SQL + "SELECT a.label, CAST(max(a.n) AS BIGINT) AS n_even, CAST(max(b.n) AS BIGINT) AS n_odd, round(sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 6) + 0.0 AS r "
+    "FROM m a JOIN m b ON a.label = b.label AND a.i = b.i AND a.half = 0 AND b.half = 1 GROUP BY a.label"
+)
+def half_correlation(t: Tables) -> DataFrame:
+    """Uncentred correlation of the even and odd averages."""
+    pick = lambda h, c: F.max(F.when(F.col("half") == h, F.col(c)))
+    wide = halves(t).groupBy("label").agg(pick(0, "mean").alias("a"), pick(1, "mean").alias("b"), pick(0, "n_rows").alias("n_even"), pick(1, "n_rows").alias("n_odd"))
+    dot = lambda u, v: F.aggregate(F.zip_with(F.col(u), F.col(v), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return wide.select("label", "n_even", "n_odd", r6(dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b"))).alias("r"))
+
+
+@query(
+    HALF_SQL + """, d AS (SELECT label, half, k, sum(x * cos(2 * pi() * k * i / 64)) AS re, -sum(x * sin(2 * pi() * k * i / 64)) AS im FROM m CROSS JOIN range(0, 33) q(k) GROUP BY 1, 2, 3)
+SELECT a.label, CAST(a.k AS INTEGER) AS bin, round((a.re * b.re + a.im * b.im) / sqrt((a.re * a.re + a.im * a.im) * (b.re * b.re + b.im * b.im)), 5) + 0.0 AS cosine
+FROM d a JOIN d b ON a.label = b.label AND a.k = b.k AND a.half = 0 AND b.half = 1 WHERE a.k BETWEEN 1 AND 31
+"""
+)
+def phase_consistency(t: Tables) -> DataFrame:
+    s = halves(t).select("label", "half", cycles.spectrum_of("mean").alias("s"))
+    bins = s.select("label", "half", F.posexplode(F.arrays_zip(F.col("s.re").alias("re"), F.col("s.im").alias("im"))).alias("bin", "z"))
+    pick = lambda h, c: F.max(F.when(F.col("half") == h, F.col(f"z.{c}")))
+    wide = bins.filter("bin BETWEEN 1 AND 31").groupBy("label", "bin").agg(*[pick(h, c).alias(f"{c}{h}") for h in (0, 1) for c in ("re", "im")])
+    cos = cycles.phase_consistency(F.col("re0"), F.col("im0"), F.col("re1"), F.col("im1"))
+    return wide.select("label", "bin", (F.round(cos, 5) + 0.0).alias("cosine"))
+
+
+@query()
+def cycle_report(t: Tables) -> DataFrame:
+    """Observed and randomised group statistics of the derived recordings."""
+    h = cycles.half_spectra(cycles.good_cycles(files(t)))
+    records = cycles.record_spectra(h, min_cycles=2).withColumn("subject", F.col("path"))
+    out = cycles.report(records, n_surrogates=50)
+    return out.select("statistic", *[r6(c).alias(c) for c in ("observed", "null_mean", "null_q05", "null_q95", "p")])
+
+
+@query()
+def subject_features(t: Tables) -> DataFrame:
+    """All 74 features of the derived recordings, in long form."""
+    flagged = recordings.flagged_windows(files(t))
+    power = features.with_psd(flagged).withColumns({"subject_key": F.col("path"), "condition": F.lit("rest"), "trial": F.lit(0)})
+    table = features.subject_features(power, flagged.select(F.col("path").alias("subject_key")))
+    long = table.unpivot("subject_key", list(features.FEATURE_NAMES), "feature", "value")
+    return long.select("subject_key", "feature", r6("value").alias("value"))
