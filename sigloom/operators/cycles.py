@@ -71,10 +71,15 @@ def mean_arrays(df: DataFrame, keys: Sequence[str], x: str, name: str) -> DataFr
     return cells.groupBy(*keys).agg(F.transform(packed, lambda s: s["v"]).alias(name), F.max("n").alias("n_rows"))
 
 
-@F.pandas_udf("struct<re array<double>, im array<double>>")
-def spectrum_of(x: pd.Series) -> pd.DataFrame:
-    s = [np.fft.rfft(np.asarray(v, dtype=float)) for v in x]
-    return pd.DataFrame({"re": [v.real for v in s], "im": [v.imag for v in s]})
+def spectrum_of(x: str) -> Column:
+    """Struct (re, im) of the real FFT of an array column."""
+
+    @F.pandas_udf("struct<re array<double>, im array<double>>")
+    def rfft(values: pd.Series) -> pd.DataFrame:
+        s = [np.fft.rfft(np.asarray(v, dtype=float)) for v in values]
+        return pd.DataFrame({"re": [v.real for v in s], "im": [v.imag for v in s]})
+
+    return rfft(x)
 
 
 def half_spectra(cycles: DataFrame) -> DataFrame:
