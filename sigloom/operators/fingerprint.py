@@ -44,6 +44,8 @@ def overlap_links(blocks: DataFrame, node: str, block: str, hot_owners: int = HO
     of hot blocks form a star, and one node per distinct set is linked through the pairs of hot blocks it holds,
     again as stars. Both routes together are exact.
     """
+    blocks = blocks.select(F.col(node).alias("_nd"), F.col(block).alias("_bk"))
+    node, block = "_nd", "_bk"
     owners = blocks.groupBy(block).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     shared = blocks.join(owners, block)
     cold = shared.filter(F.col("_n") <= hot_owners).select(node, block)

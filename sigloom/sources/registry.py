@@ -15,7 +15,7 @@ CASE_GROUP, OTHER_GROUP, CONTROL_GROUP = edf.GROUPS[1], edf.GROUPS[2], edf.GROUP
 
 def matched_files(files: DataFrame) -> DataFrame:
     """Files at ``group/subject/stem.edf`` whose canonical stem is expected; the first name wins per stem."""
-    parts = F.split(F.url_decode(F.col("path")), "/")
+    parts = F.split("path", "/")
     n = F.size(parts)
     stem = F.regexp_replace(F.element_at(parts, -1), r"(?i)\.edf$", "")
     canonical = F.create_map(*[c for s in (edf.REST_STEM, *edf.TASK_STEMS) for c in (text.normalize_stem(F.lit(s)), F.lit(s))])
