@@ -14,34 +14,54 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigloom.session import checkpointed
+
 BUCKET = "_bucket"
 MIN_LEVELS, MAX_LEVELS = 4, 12
+SMALL_ROWS = 200_000
 
 
-def _levels(df: DataFrame, levels: int | None) -> int:
+def _levels(df: DataFrame) -> int:
     """log2 of the bucket count: about two buckets per shuffle partition."""
-    if levels is not None:
-        return levels
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(MIN_LEVELS, min(MAX_LEVELS, (2 * parts - 1).bit_length()))
 
 
-def range_bucket(df: DataFrame, value: str, name: str = BUCKET, levels: int | None = None) -> DataFrame:
-    """Add ``name``: the quantile bucket of column ``value`` (binary search over a few edges)."""
-    k = _levels(df, levels)
+def settle(df: DataFrame, small_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+    """Write an aggregated table once and tell whether it is small enough for one ordered task.
+
+    Everything ordered reads its input several times (edges, totals, rows); the table behind it is computed once.
+    """
+    done = checkpointed(df)
+    return done, done.count() <= small_rows
+
+
+def range_bucket(
+    df: DataFrame, value: str, name: str = BUCKET, levels: int | None = None, write: bool = True, small_rows: int = SMALL_ROWS
+) -> DataFrame:
+    """Add ``name``: the quantile bucket of column ``value`` (binary search over a few edges).
+
+    Tables of at most ``small_rows`` rows stay without buckets, which ``scan`` takes as a single bucket. With
+    ``write=False`` the rows are only counted (for plain table scans, where a second read beats a copy).
+    """
+    if levels is None:
+        if write:
+            df, small = settle(df, small_rows)
+        else:
+            small = df.count() <= small_rows
+        if small:
+            return df
+    k = levels or _levels(df)
     shares = [i / 2**k for i in range(1, 2**k)]
-    edges = df.agg(F.percentile_approx(value, F.array(*map(F.lit, shares)), F.lit(20 * 2**k)).alias("e"))
+    edges = df.agg(F.percentile_approx(value, F.array(*map(F.lit, shares)), F.lit(20 * 2**k)).alias("_edges"))
     steps = F.array(*[F.lit(2**i) for i in reversed(range(k))])
     found = F.aggregate(
         steps,
         F.lit(0),
         lambda i, step: F.when(F.get(F.col("_edges"), i + step - 1) < F.col(value), i + step).otherwise(i),
     )
-    return df.crossJoin(F.broadcast(edges.withColumnRenamed("e", "_edges"))).withColumn(name, found).drop("_edges")
-
-
-def _orders(order: Sequence[str | Column]) -> list[Column]:
-    return [F.col(o) if isinstance(o, str) else o for o in order]
+    # one row of 2**k - 1 numbers
+    return df.crossJoin(F.broadcast(edges)).withColumn(name, found).drop("_edges")
 
 
 def _parts(keys: Sequence[str]) -> Window:
@@ -68,6 +88,8 @@ def scan(
     sums, totals, previous, following = dict(sums or {}), totals or {}, previous or {}, following or {}
     if position:
         sums[position] = F.lit(1).cast("long")
+    if bucket not in df.columns:
+        return _scan_small(df, keys, order, sums, totals, previous, following)
     pack = lambda cols: F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols.values())])
     rank = F.struct(*[F.col(o) for o in order])
     aggs = [F.sum(c).alias(f"__t{i}") for i, c in enumerate(sums.values())]
@@ -96,12 +118,28 @@ def scan(
     return out.withColumns(made).drop(*temp)
 
 
+def _scan_small(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], totals: dict[str, str], previous: dict[str, str], following: dict[str, str]
+) -> DataFrame:
+    """``scan`` of a size-checked table: plain windows per key."""
+    local = _parts(keys).orderBy(*order)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    made = {name: F.sum(c).over(upto) for name, c in sums.items()}
+    made |= {name: F.sum(sums[src]).over(_parts(keys)) for name, src in totals.items()}
+    made |= {name: F.lag(src).over(local) for name, src in previous.items()}
+    made |= {name: F.lead(src).over(local) for name, src in following.items()}
+    return df.withColumns(made)
+
+
 def with_nearest_flag(
     df: DataFrame, keys: Sequence[str], position: str, flag: Column, bucket: str = BUCKET
 ) -> DataFrame:
     """Add ``_last`` / ``_next``: positions of the nearest flagged row at or before / at or after each row."""
-    at = F.when(flag, F.col(position))
-    near = df.withColumn("_at", at)
+    near = df.withColumn("_at", F.when(flag, F.col(position)))
+    if bucket not in df.columns:
+        local = _parts(keys).orderBy(position)
+        near = near.withColumn("_last", F.max("_at").over(local.rowsBetween(Window.unboundedPreceding, 0)))
+        return near.withColumn("_next", F.min("_at").over(local.rowsBetween(0, Window.unboundedFollowing))).drop("_at")
     ends = near.groupBy(*keys, bucket).agg(F.max("_at").alias("_hi"), F.min("_at").alias("_lo"))
     over = _parts(keys).orderBy(bucket)
     ends = ends.select(
@@ -177,20 +215,9 @@ def auc(
         score,
         {"_p": F.sum(F.when(positive, w).otherwise(0.0)), "_q": F.sum(F.when(~positive, w).otherwise(0.0))},
     )
-    counts = range_bucket(counts, score)
-    local = _parts([*keys, BUCKET]).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_below", F.coalesce(F.sum("_q").over(local), F.lit(0.0)))
-    per_bucket = counts.groupBy(*keys, BUCKET).agg(
-        F.sum(F.col("_p") * (F.col("_below") + 0.5 * F.col("_q"))).alias("_won"),
-        F.sum("_p").alias("_p"),
-        F.sum("_q").alias("_q"),
-    )
-    before = _parts(keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("_off", F.coalesce(F.sum("_q").over(before), F.lit(0.0)))
-    total = per_bucket.groupBy(*keys).agg(
-        F.sum(F.col("_won") + F.col("_p") * F.col("_off")).alias("_won"),
-        F.sum("_p").alias("_p"),
-        F.sum("_q").alias("_q"),
+    counts = scan(range_bucket(counts, score), keys, [score], {"_upto": F.col("_q")})
+    total = counts.groupBy(*keys).agg(
+        F.sum(F.col("_p") * (F.col("_upto") - 0.5 * F.col("_q"))).alias("_won"), F.sum("_p").alias("_p"), F.sum("_q").alias("_q")
     )
     area = F.when((F.col("_p") > 0) & (F.col("_q") > 0), F.col("_won") / (F.col("_p") * F.col("_q")))
     return total.select(*keys, area.alias(name))

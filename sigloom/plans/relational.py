@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions import circular, text
-from sigloom.operators import ordered
+from sigloom.operators import folds, ordered
 from sigloom.plans.registry import Tables, query, r6
 
 KINDS = ("click", "error", "purchase", "signup", "view")
@@ -243,10 +243,8 @@ def factorize(t: Tables) -> DataFrame:
     """Dense integer codes in key order, without ordering the whole table in one task."""
     keys = t.customer.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
     keys = keys.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "n")
-    # the sort key is cut by its first characters, which keeps equal names together
-    rows = keys.withColumn("_bucket", F.substring("n_name", 1, 2))
-    out = ordered.scan(rows, [], ["n_name"], position="pos")
-    return out.select("n_name", (F.col("pos") - 1).alias("code"), "n")
+    code = folds.dense_index(keys, "n_name", name="code").select("n_name", "code")
+    return keys.join(code, "n_name").select("n_name", "code", "n")
 
 
 @query(

@@ -19,6 +19,7 @@ def get_session(app: str = "sigloom", master: str | None = None, **conf: object)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         **conf,
     }

@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from sigloom.operators import folds, metrics, ordered, runs
 
 
+@pytest.fixture(params=["small", "bucketed"], autouse=True)
+def both_paths(request, monkeypatch):
+    """Run everything once on the plain path and once with every table cut into buckets."""
+    if request.param == "bucketed":
+        monkeypatch.setattr(ordered.range_bucket, "__defaults__", (*ordered.range_bucket.__defaults__[:-1], -1))
+        monkeypatch.setattr(ordered.settle, "__defaults__", (-1,))
+    return request.param
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     rng = np.random.default_rng(3)
@@ -40,9 +49,10 @@ def test_weighted_auc_equals_repeated_rows(table):
 
 
 @pytest.mark.parametrize("levels", [1, 4, 9])
-def test_scan_does_not_depend_on_buckets(table, levels):
+def test_scan_does_not_depend_on_buckets(table, levels, both_paths):
     pdf, df = table
     rows = ordered.range_bucket(df, "v", levels=levels)
+    assert (ordered.BUCKET in ordered.range_bucket(df, "v").columns) == (both_paths == "bucketed")
     out = ordered.scan(rows, ["k"], ["v", "id"], {"cum": F.col("id")}, {"all": "cum"}, {"before": "id"}, {"after": "id"}, "pos").toPandas()
     want = pdf.sort_values(["k", "v", "id"])
     g = want.groupby("k")["id"]
