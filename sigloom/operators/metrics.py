@@ -178,12 +178,14 @@ def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, name: str = "rh
     """Rank correlation per key with average ranks for ties."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     # the pair table keeps one row per distinct (a, b) pair, weighted by its count
-    pairs = both.groupBy(*keys, a, b).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    pairs, _ = ordered.settle(both.groupBy(*keys, a, b).agg(F.count(F.lit(1)).cast("double").alias("_w")))
+    out = pairs
     for col, rank in ((a, "_ra"), (b, "_rb")):
         counts = ordered.value_counts(pairs, keys, col, {"_n": F.sum("_w")})
         counts = ordered.scan(ordered.range_bucket(counts, col), keys, [col], {"_cum": F.col("_n")})
         counts = counts.select(*keys, col, (F.col("_cum") - (F.col("_n") - 1) / 2.0).alias(rank))
-        pairs = pairs.join(counts, [*keys, col])
+        out = out.join(counts, [*keys, col])
+    pairs = out
     w, x, y = F.col("_w"), F.col("_ra"), F.col("_rb")
     n = F.sum(w)
     cov = F.sum(w * x * y) / n - F.sum(w * x) / n * F.sum(w * y) / n

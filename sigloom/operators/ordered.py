@@ -18,7 +18,7 @@ from sigloom.session import checkpointed
 
 BUCKET = "_bucket"
 MIN_LEVELS, MAX_LEVELS = 4, 12
-SMALL_ROWS = 200_000
+SMALL_ROWS = 500_000
 
 
 def _levels(df: DataFrame) -> int:

@@ -107,3 +107,39 @@ def test_verdicts(spark):
     for values, want in cases:
         got = spark.range(1).select(resample.specificity_verdict(*[F.lit(v) for v in values]).alias("v")).first()["v"]
         assert got == want
+
+
+def test_fixed_ridge_and_repeated_folds(rows):
+    from sigloom.operators import evaluation
+
+    pdf, df = rows
+    oof = evaluation.fixed_oof(df, ["a", "c"]).toPandas()
+    assert len(oof) == 120 and ordered.auc(df.sparkSession.createDataFrame(oof), [], "p", F.col("y") == 1).first()["auc"] > 0.7
+    raw = evaluation.fixed_oof(df, ["a"], scale=False).toPandas()
+    assert raw["p"].between(0, 1).all()
+
+    aged = df.withColumn("age", 40 + 8 * F.col("a") - 3 * F.col("c"))
+    r = evaluation.ridge_oof(aged, ["a", "c"], "age").toPandas()
+    assert 1 - ((r["target"] - r["predicted"]) ** 2).sum() / ((r["target"] - r["reference"]) ** 2).sum() > 0.98
+    lost = evaluation.ridge_oof(aged.withColumn("u", F.rand(1)), ["u"], "age").toPandas()
+    assert 1 - ((lost["target"] - lost["predicted"]) ** 2).sum() / ((lost["target"] - lost["reference"]) ** 2).sum() < 0.1
+
+    p = nested.Protocol("p", {"one": ("a",)}, (nested.Candidate(0.3, "control+somatoform", "one"),), calibrate=False)
+    t = evaluation.fold_aucs(df, p, {"controls": ("control_A", "control_B"), "none": ("absent",)}, n_splits=3, n_repeats=2).toPandas()
+    assert len(t) == 6 and t["none"].isna().all() and t["controls"].dropna().between(0, 1).all()
+
+
+def test_report_unseen_batch_and_permutation(rows):
+    from sigloom.operators import evaluation
+
+    _, df = rows
+    p = nested.Protocol("p", {"two": ("a", "c")}, (nested.Candidate(0.3, "control+somatoform", "two"),), equal_error=False)
+    oof = nested.nested_oof(df, p)
+    tables = evaluation.report(oof, n_boot=20)
+    auc = tables["auc"].toPandas().set_index("slice")
+    assert (auc["ci_low"] <= auc["value"]).all() and auc.loc["all_non_ptsd", "value"] > 0.6
+    assert tables["reliability"].agg(F.sum("n")).first()[0] == 120 and tables["calibration"].first()["a_median"] > 0
+    u = evaluation.unseen_batch(df, p, oof, "control_A", n_boot=20).first()
+    assert 0.4 < u["auc_unseen"] <= 1 and u["n"] == df.filter("stratum = 'control_A'").count()
+    t = evaluation.permutation_test(df, p, 0.99, 2, F.col("stratum").startswith("control_")).first()
+    assert t["n_permutations"] == 2 and t["p_value"] == pytest.approx(1 / 3)
