@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sigloom.operators import ordered, windows
 from sigloom.operators.windows import Reject
 from sigloom.plans.registry import Tables, query, r6
+from sigloom.streaming import event_windows
 
 
 @query(
@@ -20,11 +21,8 @@ FROM x GROUP BY event_type, i
 """
 )
 def sliding_windows(t: Tables) -> DataFrame:
-    w = F.window("ts", "4 hours", "2 hours")
-    out = t.events.groupBy("event_type", w.alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s")
-    )
-    return out.select("event_type", F.col("w.start").alias("window_start"), "n", r6("m").alias("mean_value"), r6("s").alias("sd_value"))
+    out = event_windows.sliding(t.events)
+    return out.select("event_type", "window_start", "n", r6("mean_value").alias("mean_value"), r6("sd_value").alias("sd_value"))
 
 
 CYCLES_SQL = """
