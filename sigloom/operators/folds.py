@@ -20,23 +20,23 @@ def hash_number(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("long")
 
 
-def _order_bucket(df: DataFrame, key: str, name: str) -> DataFrame:
+def _order_bucket(df: DataFrame, key: str, name: str, within: Sequence[str] = ()) -> DataFrame:
     """Bucket that follows the order of ``key``: quantiles for numbers, leading characters for strings."""
     if dict(df.dtypes)[key] != "string":
-        return ordered.range_bucket(df, key, name)
-    df, small = ordered.settle(df)
+        return ordered.range_bucket(df, key, within, name)
+    df, small = ordered.settle(df, within)
     return df if small else df.withColumn(name, F.substring(key, 1, 2))
 
 
-def _hash_bucket(df: DataFrame, name: str) -> DataFrame:
+def _hash_bucket(df: DataFrame, name: str, within: Sequence[str] = ()) -> DataFrame:
     """Bucket by the leading byte of the hash column ``_h``."""
-    df, small = ordered.settle(df)
+    df, small = ordered.settle(df, within)
     return df if small else df.withColumn(name, F.floor(F.col("_h") / F.lit(2**24)))
 
 
 def dense_index(keys: DataFrame, key: str, within: Sequence[str] = (), name: str = "idx") -> DataFrame:
     """0-based position of each distinct key in key order, and the number of keys."""
-    rows = _order_bucket(keys.select(*within, key).distinct(), key, ordered.BUCKET)
+    rows = _order_bucket(keys.select(*within, key).distinct(), key, ordered.BUCKET, within)
     rows = ordered.scan(rows, list(within), [key], {"__at": F.lit(1).cast("long")}, {f"{name}_count": "__at"})
     return rows.select(*within, key, (F.col("__at") - 1).alias(name), f"{name}_count")
 
@@ -44,7 +44,7 @@ def dense_index(keys: DataFrame, key: str, within: Sequence[str] = (), name: str
 def shuffled_index(keys: DataFrame, key: str, seed: int | Column, within: Sequence[str] = (), name: str = "idx") -> DataFrame:
     """0-based position of each distinct key in the order of its hash: a seeded permutation."""
     rows = keys.select(*within, key).distinct().withColumn("_h", hash_number(seed, F.col(key)))
-    rows = ordered.scan(_hash_bucket(rows, ordered.BUCKET), list(within), ["_h", key], {"__at": F.lit(1).cast("long")}, {f"{name}_count": "__at"})
+    rows = ordered.scan(_hash_bucket(rows, ordered.BUCKET, within), list(within), ["_h", key], {"__at": F.lit(1).cast("long")}, {f"{name}_count": "__at"})
     return rows.select(*within, key, (F.col("__at") - 1).alias(name), f"{name}_count")
 
 
@@ -59,7 +59,7 @@ def stratified_group_folds(df: DataFrame, group: str, label: str, k: int = 5, se
     # the list has one entry per label value of a group
     shape = counts.groupBy(group).agg(F.array_join(parts, ",").alias("_shape"))
     shape = shape.withColumn("_shape", F.md5("_shape")).withColumn("_h", hash_number(seed, F.col(group)))
-    shape = _hash_bucket(shape, ordered.BUCKET)
+    shape = _hash_bucket(shape, ordered.BUCKET, ["_shape"])
     rows = ordered.scan(shape, ["_shape"], ["_h", group], position="_seat").drop(ordered.BUCKET)
     sizes = shape.groupBy("_shape").agg(F.count(F.lit(1)).alias("_size"))
     offsets = ordered.scan(_order_bucket(sizes, "_shape", ordered.BUCKET), [], ["_shape"], {"_upto": F.col("_size")}).select("_shape", (F.col("_upto") - F.col("_size")).alias("_before"))

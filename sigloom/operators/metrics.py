@@ -68,9 +68,7 @@ def selection_score_two_aucs(
     df: DataFrame, keys: Sequence[str], score: str, positive: Column, control: Column, specific: Column, name: str
 ) -> DataFrame:
     """Threshold-free criterion: 30 points against controls, 20 against the specificity strata."""
-    a = ordered.auc(df, keys, score, F.when(positive, True).when(control, False), name="_a")
-    b = ordered.auc(df, keys, score, F.when(positive, True).when(specific, False), name="_b")
-    both = a.join(b, list(keys)) if keys else a.crossJoin(F.broadcast(b))
+    both = ordered.aucs(df, keys, score, positive, {"_a": control, "_b": specific})
     return both.select(*keys, (points(F.col("_a"), 30.0) + points(F.col("_b"), 20.0)).alias(name))
 
 
@@ -137,7 +135,7 @@ def equal_error_shift(
         kept, keys, logit, {"_p": F.sum(positive.cast("double")), "_q": F.sum(negative.cast("double"))}
     )
     counts = ordered.scan(
-        ordered.range_bucket(counts, logit),
+        ordered.range_bucket(counts, logit, keys),
         keys,
         [logit],
         {"_cp": F.col("_p"), "_cq": F.col("_q")},
@@ -182,7 +180,7 @@ def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, name: str = "rh
     out = pairs
     for col, rank in ((a, "_ra"), (b, "_rb")):
         counts = ordered.value_counts(pairs, keys, col, {"_n": F.sum("_w")})
-        counts = ordered.scan(ordered.range_bucket(counts, col), keys, [col], {"_cum": F.col("_n")})
+        counts = ordered.scan(ordered.range_bucket(counts, col, keys), keys, [col], {"_cum": F.col("_n")})
         counts = counts.select(*keys, col, (F.col("_cum") - (F.col("_n") - 1) / 2.0).alias(rank))
         out = out.join(counts, [*keys, col])
     pairs = out

@@ -27,28 +27,37 @@ def _levels(df: DataFrame) -> int:
     return max(MIN_LEVELS, min(MAX_LEVELS, (2 * parts - 1).bit_length()))
 
 
-def settle(df: DataFrame, small_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
-    """Write an aggregated table once and tell whether it is small enough for one ordered task.
+def _fits(df: DataFrame, keys: Sequence[str], small_rows: int) -> bool:
+    """Whether every key (or the whole table) stays within what one ordered task may hold."""
+    if df.count() <= small_rows:
+        return True
+    if not keys:
+        return False
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0) <= small_rows
+
+
+def settle(df: DataFrame, keys: Sequence[str] = (), small_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+    """Write an aggregated table once and tell whether its largest key is small enough for one ordered task.
 
     Everything ordered reads its input several times (edges, totals, rows); the table behind it is computed once.
     """
     done = checkpointed(df)
-    return done, done.count() <= small_rows
+    return done, _fits(done, keys, small_rows)
 
 
 def range_bucket(
-    df: DataFrame, value: str, name: str = BUCKET, levels: int | None = None, write: bool = True, small_rows: int = SMALL_ROWS
+    df: DataFrame, value: str, keys: Sequence[str] = (), name: str = BUCKET, levels: int | None = None, write: bool = True, small_rows: int = SMALL_ROWS
 ) -> DataFrame:
     """Add ``name``: the quantile bucket of column ``value`` (binary search over a few edges).
 
-    Tables of at most ``small_rows`` rows stay without buckets, which ``scan`` takes as a single bucket. With
-    ``write=False`` the rows are only counted (for plain table scans, where a second read beats a copy).
+    Tables whose largest key has at most ``small_rows`` rows stay without buckets, which ``scan`` takes as a single
+    bucket. With ``write=False`` the rows are only counted (for plain table scans, where a second read beats a copy).
     """
     if levels is None:
         if write:
-            df, small = settle(df, small_rows)
+            df, small = settle(df, keys, small_rows)
         else:
-            small = df.count() <= small_rows
+            small = _fits(df, keys, small_rows)
         if small:
             return df
     k = levels or _levels(df)
@@ -167,7 +176,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str,
 def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Average rank of ``value`` within keys, ties sharing their mean rank."""
     counts = value_counts(df, keys, value, {"_n": F.count(F.lit(1))})
-    ranks = scan(range_bucket(counts, value), keys, [value], {"_cum": F.col("_n")})
+    ranks = scan(range_bucket(counts, value, keys), keys, [value], {"_cum": F.col("_n")})
     ranks = ranks.select(*keys, value, (F.col("_cum") - (F.col("_n") - 1) / F.lit(2.0)).alias(name))
     return df.join(ranks, [*keys, value])
 
@@ -178,7 +187,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str,
     ``shares`` maps output column -> probability. NULL values are ignored; keys with none are absent.
     """
     counts = value_counts(df, keys, value, {"_n": F.count(F.lit(1))})
-    joined = scan(range_bucket(counts, value), keys, [value], {"_cum": F.col("_n")}, {"_total": "_cum"})
+    joined = scan(range_bucket(counts, value, keys), keys, [value], {"_cum": F.col("_n")}, {"_total": "_cum"})
     aggs = []
     for name, share in shares.items():
         spot = (F.col("_total") - 1) * F.lit(float(share))
@@ -201,23 +210,29 @@ def median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median")
     return quantiles(df, keys, value, {name: 0.5})
 
 
-def auc(
-    df: DataFrame, keys: Sequence[str], score: str, positive: Column, weight: Column | None = None, name: str = "auc"
+def aucs(
+    df: DataFrame, keys: Sequence[str], score: str, positive: Column, negatives: dict[str, Column], weight: Column | None = None
 ) -> DataFrame:
-    """ROC-AUC per key, ties counting one half, optional row weights.
+    """ROC-AUC per key of the positives against each named set of negatives, in one ordered pass.
 
-    NULL ``positive`` rows are left out. A key without one of the classes gives NULL.
+    Ties count one half; a key without one of the classes gives NULL. ``weight`` multiplies rows.
     """
     w = F.lit(1.0) if weight is None else weight.cast("double")
-    counts = value_counts(
-        df.filter(positive.isNotNull()),
-        keys,
-        score,
-        {"_p": F.sum(F.when(positive, w).otherwise(0.0)), "_q": F.sum(F.when(~positive, w).otherwise(0.0))},
-    )
-    counts = scan(range_bucket(counts, score), keys, [score], {"_upto": F.col("_q")})
-    total = counts.groupBy(*keys).agg(
-        F.sum(F.col("_p") * (F.col("_upto") - 0.5 * F.col("_q"))).alias("_won"), F.sum("_p").alias("_p"), F.sum("_q").alias("_q")
-    )
-    area = F.when((F.col("_p") > 0) & (F.col("_q") > 0), F.col("_won") / (F.col("_p") * F.col("_q")))
-    return total.select(*keys, area.alias(name))
+    mass = lambda c: F.sum(F.when(c, w).otherwise(0.0))
+    used = positive
+    for c in negatives.values():
+        used = used | c
+    sums = {"_p": mass(positive)} | {f"_q{i}": mass(c) for i, c in enumerate(negatives.values())}
+    counts = value_counts(df.filter(used), keys, score, sums)
+    counts = scan(range_bucket(counts, score, keys), keys, [score], {f"_u{i}": F.col(f"_q{i}") for i in range(len(negatives))})
+    won = [F.sum(F.col("_p") * (F.col(f"_u{i}") - 0.5 * F.col(f"_q{i}"))) for i in range(len(negatives))]
+    total = counts.groupBy(*keys).agg(F.sum("_p").alias("_p"), *[c.alias(f"_w{i}") for i, c in enumerate(won)], *[F.sum(f"_q{i}").alias(f"_q{i}") for i in range(len(negatives))])
+    area = lambda i: F.when((F.col("_p") > 0) & (F.col(f"_q{i}") > 0), F.col(f"_w{i}") / (F.col("_p") * F.col(f"_q{i}")))
+    return total.select(*keys, *[area(i).alias(n) for i, n in enumerate(negatives)])
+
+
+def auc(
+    df: DataFrame, keys: Sequence[str], score: str, positive: Column, weight: Column | None = None, name: str = "auc"
+) -> DataFrame:
+    """ROC-AUC per key of the rows where ``positive`` is true against those where it is false (not NULL)."""
+    return aucs(df, keys, score, F.coalesce(positive, F.lit(False)), {name: F.coalesce(~positive, F.lit(False))}, weight)

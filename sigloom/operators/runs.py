@@ -13,7 +13,7 @@ from sigloom.session import checkpointed
 
 def with_run_id(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "run") -> DataFrame:
     """Number the maximal runs of equal ``value`` along ``order``; keeps the bucket column for later scans."""
-    rows = ordered.range_bucket(df, order[0], write=False) if ordered.BUCKET not in df.columns else df
+    rows = ordered.range_bucket(df, order[0], keys, write=False) if ordered.BUCKET not in df.columns else df
     rows = ordered.scan(rows, keys, order, previous={"_before": value})
     start = F.when(F.col("_before") == F.col(value), 0).otherwise(1)
     rows = rows.withColumn("_start", start).drop("_before")
@@ -44,7 +44,7 @@ def edge_runs(runs: DataFrame, keys: Sequence[str], value: str, min_len: int) ->
 
 def dilate(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, reach: int, name: str) -> DataFrame:
     """Extend a flag by ``reach`` rows to both sides along ``order``."""
-    rows = ordered.range_bucket(df, order[0], write=False)
+    rows = ordered.range_bucket(df, order[0], keys, write=False)
     rows = ordered.scan(rows, keys, order, position="_pos")
     rows = ordered.with_nearest_flag(rows, keys, "_pos", flag)
     near = (F.col("_pos") - F.col("_last") <= reach) | (F.col("_next") - F.col("_pos") <= reach)

@@ -41,7 +41,7 @@ def requantize(x: Column, step: float) -> Column:
 
 def tumbling(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, name: str = "cycle") -> DataFrame:
     """Number consecutive groups of ``size`` rows per key from 0; the last may be incomplete."""
-    rows = ordered.scan(ordered.range_bucket(df, order[0], write=False), keys, order, position="_pos")
+    rows = ordered.scan(ordered.range_bucket(df, order[0], keys, write=False), keys, order, position="_pos")
     return rows.withColumn(name, F.floor((F.col("_pos") - 1) / size)).withColumn("slot", (F.col("_pos") - 1) % size).drop("_pos", ordered.BUCKET)
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.session import load
+from sigloom.session import load, ship_package
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,7 @@ class Tables:
     """Attribute access to the Parquet tables of one folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        ship_package(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:

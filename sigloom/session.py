@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,23 @@ def get_session(app: str = "sigloom", master: str | None = None, **conf: object)
     }
     for key, value in settings.items():
         builder = builder.config(key, str(value))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, as ``--py-files`` would; once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sigloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="sigloom-")) / "sigloom.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._sigloom_shipped = True
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ def both_paths(request, monkeypatch):
     """Run everything once on the plain path and once with every table cut into buckets."""
     if request.param == "bucketed":
         monkeypatch.setattr(ordered.range_bucket, "__defaults__", (*ordered.range_bucket.__defaults__[:-1], -1))
-        monkeypatch.setattr(ordered.settle, "__defaults__", (-1,))
+        monkeypatch.setattr(ordered.settle, "__defaults__", ((), -1))
     return request.param
 
 
