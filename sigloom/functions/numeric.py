@@ -27,3 +27,13 @@ def logit(p: Column, eps: float = 1e-12) -> Column:
 
 def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
+
+
+def day_seconds(ts: Column) -> Column:
+    """Seconds since midnight, fraction included; reads the fields of the timestamp, so no time zone is involved."""
+    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.date_part(F.lit("SECOND"), ts).cast("double")
+
+
+def whole_seconds_since(ts: Column, day: str) -> Column:
+    """Whole seconds since midnight of ``day`` (yyyy-mm-dd), no time zone involved."""
+    return F.datediff(F.to_date(ts), F.to_date(F.lit(day))).cast("long") * 86400 + F.floor(day_seconds(ts))

@@ -55,7 +55,7 @@ def alpha_detection_study(
     s = spectral.condition_spectrum(power.withColumn("_r", F.lit(0)), ["path", "channel"], "_r").withColumn("ls", spectral.log10_array(F.col("spectrum")))
     pick = lambda ch: F.max(F.when(F.col("channel") == ch, F.col("ls")))
     occ = s.groupBy("path").agg(pick("O1").alias("a"), pick("O2").alias("b")).withColumn("ls", F.zip_with("a", "b", lambda u, v: (u + v) / 2))
-    measured = occ.select("path", features.GRID.alpha_peak(F.col("ls"))["height"].alias("measured"))
+    measured = features.GRID.with_alpha_peak(occ, "ls", "p").select("path", F.col("p.height").alias("measured"))
     return files.select("path", "duration_s", "exponent", "true_peak_log10").join(measured, "path", "left")
 
 
@@ -63,9 +63,9 @@ def slope_robustness(power: DataFrame, keys: Sequence[str] = ("path", "channel")
     """Exponent and fit error under four frequency ranges, per record and channel."""
     s = spectral.condition_spectrum(power.withColumn("_r", F.lit(0)), list(keys), "_r").withColumn("ls", spectral.log10_array(F.col("spectrum")))
     fits = []
-    for name, (lo, hi, exclude) in spectral.SLOPE_RANGES.items():
-        chi, rmse = features.GRID.slope_fit(F.col("ls"), lo, hi, exclude)
-        fits.append(F.struct(F.lit(name).alias("range"), chi.alias("exponent"), rmse.alias("rmse")))
+    for i, (name, (lo, hi, exclude)) in enumerate(spectral.SLOPE_RANGES.items()):
+        s = features.GRID.with_slope_fit(s, "ls", f"fit{i}", lo, hi, exclude)
+        fits.append(F.struct(F.lit(name).alias("range"), F.col(f"fit{i}.exponent").alias("exponent"), F.col(f"fit{i}.rmse").alias("rmse")))
     return s.select(*keys, F.explode(F.array(*fits)).alias("f")).select(*keys, "f.*")
 
 

@@ -80,8 +80,8 @@ def subject_features(power: DataFrame, subjects: DataFrame, key: str = "subject_
         cols[f"rest_slope20_{ch}"] = GRID.exponent(log_s, spectral.BACKGROUND_FIT_20_HZ)
         for band, value in GRID.log_relative_powers(F.col(f"_rest_{ch}"), spectral.BANDS_20, spectral.TOTAL_BAND_20).items():
             cols[f"rest_relpow20_{band}_{ch}"] = value
-    peaks = {"occ": GRID.alpha_peak(F.col("_log_occ")), "O1": GRID.alpha_peak(F.col("_log_O1")), "20": GRID.alpha_peak(F.col("_log_O1"), spectral.BACKGROUND_FIT_20_HZ)}
-    wide = wide.withColumns({f"_peak_{n}": c for n, c in peaks.items()})
+    for tag, column, fit in (("occ", "_log_occ", spectral.BACKGROUND_FIT_HZ), ("O1", "_log_O1", spectral.BACKGROUND_FIT_HZ), ("20", "_log_O1", spectral.BACKGROUND_FIT_20_HZ)):
+        wide = GRID.with_alpha_peak(wide, column, f"_peak_{tag}", fit)
     for tag, suffix in (("occ", "_occ"), ("O1", "_O1")):
         cols[f"rest_iaf{suffix}"], cols[f"rest_alpha_peak{suffix}"] = F.col(f"_peak_{tag}.frequency"), F.col(f"_peak_{tag}.height")
     cols["rest_iaf20_O1"], cols["rest_alpha_peak20_O1"] = F.col("_peak_20.frequency"), F.col("_peak_20.height")

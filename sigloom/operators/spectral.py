@@ -119,45 +119,51 @@ class Grid:
         """Slope and intercept of log10 power on log10 frequency; NULL when the range has gaps."""
         idx = self._fit_index(lo, hi, exclude)
         x = np.log10(self.freqs[idx])
-        dx = x - x.mean()
-        slope_w = dx / (dx @ dx)
+        dx = (x - x.mean()) / ((x - x.mean()) @ (x - x.mean()))
         part = self._pick(log_spectrum, idx)
-        slope, mean = self._dot(part, slope_w), self._sum(part) / F.lit(float(idx.size))
-        return slope, mean - slope * F.lit(float(x.mean()))
+        return self._dot(part, dx), self._dot(part, 1.0 / idx.size - x.mean() * dx)
 
     def exponent(self, log_spectrum: Column, fit: tuple[float, float] = BACKGROUND_FIT_HZ) -> Column:
         return -self.line_fit(log_spectrum, *fit)[0]
 
-    def slope_fit(
-        self, log_spectrum: Column, lo: float, hi: float, exclude: tuple[float, float] | None
-    ) -> tuple[Column, Column]:
-        """Exponent and root-mean-square residual of the line."""
+    def _residuals(self, df: DataFrame, log_spectrum: str, idx: np.ndarray, fit: tuple[float, float], exclude: tuple[float, float] | None) -> DataFrame:
+        """Add ``_fit`` (slope b, intercept a) and ``_res``: (frequency, distance from the line) at ``idx``.
+
+        Intermediate columns keep the fit from being evaluated again for every array element.
+        """
+        b, a = self.line_fit(F.col(log_spectrum), *fit, exclude)
+        df = df.withColumn("_fit", F.struct(b.alias("b"), a.alias("a")))
+        grid = F.array(*[F.struct(F.lit(float(f)).alias("f"), F.lit(float(np.log10(f))).alias("x")) for f in self.freqs[idx]])
+        away = lambda y, g: F.struct((y - (F.col("_fit.a") + F.col("_fit.b") * g["x"])).alias("r"), g["f"].alias("f"))
+        return df.withColumn("_res", F.zip_with(self._pick(F.col(log_spectrum), idx), grid, away))
+
+    def with_slope_fit(self, df: DataFrame, log_spectrum: str, name: str, lo: float, hi: float, exclude: tuple[float, float] | None) -> DataFrame:
+        """Add struct ``name``: exponent and root-mean-square residual of the line."""
         idx = self._fit_index(lo, hi, exclude)
-        slope, intercept = self.line_fit(log_spectrum, lo, hi, exclude)
-        x = F.array(*[F.lit(float(v)) for v in np.log10(self.freqs[idx])])
-        sq = F.zip_with(self._pick(log_spectrum, idx), x, lambda y, u: F.pow(y - (intercept + slope * u), 2))
-        return -slope, F.sqrt(self._sum(sq) / F.lit(float(idx.size)))
+        df = self._residuals(df, log_spectrum, idx, (lo, hi), exclude)
+        total = F.aggregate("_res", F.lit(0.0), lambda a, s: a + s["r"] * s["r"])
+        fitted = F.struct((-F.col("_fit.b")).alias("exponent"), F.sqrt(total / F.lit(float(idx.size))).alias("rmse"))
+        return df.withColumn(name, fitted).drop("_fit", "_res")
 
-    def alpha_peak(self, log_spectrum: Column, fit: tuple[float, float] = BACKGROUND_FIT_HZ) -> Column:
-        """Struct (frequency, height) of the alpha maximum above the fitted line.
+    def with_alpha_peak(self, df: DataFrame, log_spectrum: str, name: str, fit: tuple[float, float] = BACKGROUND_FIT_HZ) -> DataFrame:
+        """Add struct ``name`` (frequency, height) of the alpha maximum above the fitted line.
 
         The frequency is NULL below the minimum height; both are NULL if any bin of the spectrum is missing.
         """
-        slope, intercept = self.line_fit(log_spectrum, *fit)
-        idx = self._between(*ALPHA_SEARCH_HZ, closed=True)
-        f = F.array(*[F.lit(float(v)) for v in self.freqs[idx]])
-        residual = F.zip_with(self._pick(log_spectrum, idx), f, lambda y, u: y - (intercept + slope * F.log10(u)))
-        rows = F.zip_with(residual, f, lambda r, u: F.struct(r.alias("r"), u.alias("f")))
-        # first maximum: largest residual, then smallest frequency
-        best = F.aggregate(
-            rows, F.struct(F.lit(float("-inf")).alias("r"), F.lit(0.0).alias("f")), lambda a, x: F.when(x["r"] > a["r"], x).otherwise(a)
+        df = self._residuals(df, log_spectrum, self._between(*ALPHA_SEARCH_HZ, closed=True), fit, BACKGROUND_EXCLUDE_HZ)
+        start = F.struct(F.lit(float("-inf")).alias("r"), F.lit(0.0).alias("f"))
+        # first maximum: a later bin must be strictly higher
+        df = df.withColumn("_best", F.aggregate("_res", start, lambda a, s: F.when(s["r"] > a["r"], s).otherwise(a)))
+        near = F.filter("_res", lambda s: (F.abs(s["f"] - F.col("_best.f")) <= CENTROID_HALF_WIDTH_HZ) & (s["r"] > 0))
+        sums = F.aggregate(
+            near, F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("wf")),
+            lambda a, s: F.struct((a["w"] + s["r"]).alias("w"), (a["wf"] + s["r"] * s["f"]).alias("wf")),
         )
-        near = F.filter(rows, lambda s: (F.abs(s["f"] - best["f"]) <= CENTROID_HALF_WIDTH_HZ) & (s["r"] > 0))
-        top = F.aggregate(near, F.lit(0.0), lambda a, s: a + s["r"] * s["f"])
-        bottom = F.aggregate(near, F.lit(0.0), lambda a, s: a + s["r"])
+        df = df.withColumn("_sums", sums)
         whole = ~F.exists(log_spectrum, lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf")))
-        height = F.when(whole, best["r"])
-        return F.struct(F.when(height >= MIN_PEAK_LOG10, top / bottom).alias("frequency"), height.alias("height"))
+        height = F.when(whole, F.col("_best.r"))
+        peak = F.struct(F.when(height >= MIN_PEAK_LOG10, F.col("_sums.wf") / F.col("_sums.w")).alias("frequency"), height.alias("height"))
+        return df.withColumn(name, peak).drop("_fit", "_res", "_best", "_sums")
 
     def prominence(self, spectrum: Column) -> Column:
         """Maximum of log10 power in 8-13 Hz minus the mean of two flanks (5-7 and 14-17 Hz)."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions import circular, text
+from sigloom.functions.numeric import day_seconds
 from sigloom.operators import folds, ordered
 from sigloom.plans.registry import Tables, query, r6
 
@@ -257,7 +258,7 @@ SELECT user_id, round(avg(v), 6) + 0.0 AS asymmetry, CAST(count(*) AS BIGINT) AS
 def asymmetry(t: Tables) -> DataFrame:
     """Mean log ratio of two channels over the windows where both have power; needs five windows."""
     pick = lambda e: F.sum(F.when(F.col("event_type") == e, F.col("value")))
-    daily = t.events.filter(F.col("event_type").isin("click", "view")).groupBy("user_id", F.date_trunc("day", "ts").alias("d"))
+    daily = t.events.filter(F.col("event_type").isin("click", "view")).groupBy("user_id", F.to_date("ts").alias("d"))
     both = daily.agg(pick("click").alias("x"), pick("view").alias("y")).filter("x > 0 AND y > 0")
     out = both.groupBy("user_id").agg(F.avg(F.ln("y") - F.ln("x")).alias("v"), F.count(F.lit(1)).alias("n"))
     return out.filter("n >= 5").select("user_id", r6("v").alias("asymmetry"), "n")
@@ -273,7 +274,7 @@ WITH h AS (SELECT date_trunc('hour', ts) AS h, """ + ", ".join(f"sum(value) FILT
 )
 def channel_corr(t: Tables) -> DataFrame:
     """Correlations of channel pairs over the windows that are complete on every channel."""
-    hours = t.events.groupBy(F.date_trunc("hour", "ts").alias("h")).pivot("event_type", list(KINDS)).agg(F.sum("value")).dropna(subset=list(KINDS))
+    hours = t.events.groupBy(F.to_date("ts").alias("d"), F.hour("ts").alias("h")).pivot("event_type", list(KINDS)).agg(F.sum("value")).dropna(subset=list(KINDS))
     pairs = (("click", "view"), ("purchase", "signup"), ("error", "view"))
     wide = hours.agg(F.count(F.lit(1)).alias("n"), *[F.corr(a, b).alias(f"{a}-{b}") for a, b in pairs])
     return wide.unpivot("n", [f"{a}-{b}" for a, b in pairs], "pair", "r").select("pair", "n", r6("r").alias("r"))
@@ -288,7 +289,7 @@ SELECT a.event_type, round(max(a.rms) / quantile_cont(b.rms, 0.5), 6) AS ratio F
 )
 def rms_ratio(t: Tables) -> DataFrame:
     """RMS of one channel over the median RMS of the other channels."""
-    w = t.events.groupBy("event_type", F.date_trunc("day", "ts").alias("d")).agg(F.var_pop("value").alias("v"))
+    w = t.events.groupBy("event_type", F.to_date("ts").alias("d")).agg(F.var_pop("value").alias("v"))
     rms = ordered.median(w, ["event_type"], "v", "mid").select("event_type", F.sqrt("mid").alias("rms"))
     # one row per channel name: a fixed, short list
     table = rms.agg(F.collect_list(F.struct("event_type", "rms")).alias("all"))
@@ -309,8 +310,7 @@ FROM p JOIN m ON p.event_type = m.event_type GROUP BY p.event_type
 """
 )
 def circular_stats(t: Tables) -> DataFrame:
-    hour = (F.unix_micros(F.col("ts").cast("timestamp")) % 86400000000) / 3.6e9
-    rows = t.events.select("event_type", hour.alias("h"))
+    rows = t.events.select("event_type", (day_seconds(F.col("ts")) / 3600).alias("h"))
     mean = rows.groupBy("event_type").agg(circular.circular_mean(F.col("h"), 24.0).alias("mu"))
     err = F.abs(circular.circular_error(F.col("h"), F.col("mu"), 24.0))
     return rows.join(mean, "event_type").groupBy("event_type").agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.functions.numeric import whole_seconds_since
 from sigloom.operators import ordered, runs
 from sigloom.plans.registry import Tables, query
 
@@ -88,7 +89,7 @@ GROUP BY w.event_type, w.k
 )
 def mask_to_windows(t: Tables) -> DataFrame:
     # seconds from the first day of the table; 4-hour windows every 2 hours; half-hour guard around spikes
-    second = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp"))) - 1704067200
+    second = whole_seconds_since(F.col("ts"), "2024-01-01")
     bad = t.events.filter(F.col("value") > 150).select("event_type", second.alias("s"))
     idx = runs.overlapping_windows(F.col("s") - 1800, F.col("s") + 1800, 14400, 7200)
     return (

@@ -100,12 +100,12 @@ SELECT k.range, k.label, round(-max(b), 6) + 0.0 AS exponent, round(sqrt(avg(pow
 """
 )
 def slope_ranges(t: Tables) -> DataFrame:
-    rows = []
-    for name, (lo, hi, exclude) in spectral.SLOPE_RANGES.items():
+    table, parts = label_spectra(t), []
+    for i, (name, (lo, hi, exclude)) in enumerate(spectral.SLOPE_RANGES.items()):
         if hi <= SFREQ / 2:
-            chi, rmse = GRID.slope_fit(F.col("ls"), lo, hi, exclude)
-            rows.append(F.struct(F.lit(name).alias("range"), r6(chi).alias("exponent"), r6(rmse).alias("rmse")))
-    return label_spectra(t).select("label", F.explode(F.array(*rows)).alias("r")).select("r.range", "label", "r.exponent", "r.rmse")
+            table = GRID.with_slope_fit(table, "ls", f"fit{i}", lo, hi, exclude)
+            parts.append(F.struct(F.lit(name).alias("range"), r6(f"fit{i}.exponent").alias("exponent"), r6(f"fit{i}.rmse").alias("rmse")))
+    return table.select("label", F.explode(F.array(*parts)).alias("r")).select("r.range", "label", "r.exponent", "r.rmse")
 
 
 @query(
@@ -119,7 +119,7 @@ FROM p JOIN r ON p.vec_id = r.vec_id WHERE abs(bin - top_bin) <= 1 GROUP BY p.ve
 )
 def alpha_peak(t: Tables) -> DataFrame:
     w = windows(t).select("vec_id", spectral.log10_array(F.col("psd")).alias("ls"))
-    out = w.select("vec_id", GRID.alpha_peak(F.col("ls")).alias("p"))
+    out = GRID.with_alpha_peak(w, "ls", "p")
     return out.select("vec_id", (F.round("p.height", 5) + 0.0).alias("height"), F.round("p.frequency", 5).alias("frequency"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigloom.functions.numeric import day_seconds
 from sigloom.operators import ordered, windows
 from sigloom.operators.windows import Reject
 from sigloom.plans.registry import Tables, query, r6
@@ -47,9 +48,7 @@ SELECT e.event_id, round(e.value - (f.a + f.b * e.s), 6) + 0.0 AS residual FROM
 """
 )
 def detrend(t: Tables) -> DataFrame:
-    day = F.date_trunc("day", "ts")
-    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(day.cast("timestamp"))) / 1e6
-    rows = t.events.select("event_id", "event_type", day.alias("d"), seconds.alias("s"), "value")
+    rows = t.events.select("event_id", "event_type", F.to_date("ts").alias("d"), day_seconds(F.col("ts")).alias("s"), "value")
     return windows.detrend(rows, ["event_type", "d"], "s", "value").select("event_id", r6("residual").alias("residual"))
 
 
@@ -86,7 +85,7 @@ f AS (SELECT a.*, f0 + CASE WHEN ref >= 5 AND mad > 0 AND (lv - med) / (1.4826 *
 
 def _flagged(t: Tables) -> DataFrame:
     v = F.col("value")
-    w = t.events.groupBy("event_type", F.date_trunc("day", "ts").alias("d")).agg(
+    w = t.events.groupBy("event_type", F.to_date("ts").alias("d")).agg(
         F.count(F.lit(1)).alias("n"),
         F.stddev_pop(v).alias("sd"),
         (F.max(v) - F.min(v)).alias("ptp"),
@@ -140,7 +139,7 @@ SELECT user_id, CAST(count(*) AS BIGINT) AS n_windows, CAST(sum(n) AS BIGINT) AS
 """
 )
 def first_segment(t: Tables) -> DataFrame:
-    w = t.events.groupBy("user_id", F.date_trunc("day", "ts").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("v"))
+    w = t.events.groupBy("user_id", F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("v"))
     # a row_number limit is cut to nine rows per key before the shuffle
     first = w.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("d"))).filter("r <= 9")
     return first.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n").alias("n_events"), r6(F.avg("v")).alias("mean_value"))

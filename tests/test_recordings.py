@@ -122,9 +122,9 @@ def test_spectral_expressions_on_exact_lines(spark):
     line = 2.0 - 1.7 * np.log10(f)
     bump = line + 0.8 * np.exp(-0.5 * ((f - 10.0) / 0.4) ** 2)
     df = spark.createDataFrame([(1, line.tolist()), (2, bump.tolist())], "id int, ls array<double>")
-    slope, rmse = grid.slope_fit(F.col("ls"), 3.0, 30.0, (7.0, 14.0))
-    out = df.select("id", grid.exponent(F.col("ls")).alias("e"), rmse.alias("rmse"), grid.alpha_peak(F.col("ls")).alias("p"),
-                    *[c.alias(b) for b, c in grid.log_relative_powers(F.transform("ls", lambda v: F.pow(F.lit(10.0), v))).items()]).orderBy("id").collect()
+    df = grid.with_alpha_peak(grid.with_slope_fit(df, "ls", "fit", 3.0, 30.0, (7.0, 14.0)), "ls", "p")
+    power = grid.log_relative_powers(F.transform("ls", lambda v: F.pow(F.lit(10.0), v)))
+    out = df.select("id", grid.exponent(F.col("ls")).alias("e"), F.col("fit.rmse").alias("rmse"), "p", *[c.alias(b) for b, c in power.items()]).orderBy("id").collect()
     assert out[0]["e"] == pytest.approx(1.7) and out[0]["rmse"] == pytest.approx(0, abs=1e-9)
     assert out[0]["p"]["frequency"] is None and out[1]["p"]["frequency"] == pytest.approx(10.0, abs=0.02) and out[1]["p"]["height"] == pytest.approx(0.8, abs=0.02)
     assert sum(10 ** out[1][b] for b in spectral.BANDS) == pytest.approx(1.0)
