@@ -430,3 +430,20 @@ def contribution_gap(t: Tables) -> DataFrame:
     wide = rows.agg(F.lit(1).alias("one"), gap("price").alias("price"), gap("key").alias("key"))
     long = wide.unpivot("one", ["price", "key"], "feature", "d")
     return long.orderBy(F.desc(F.abs("d"))).limit(8).select("feature", F.round("d", 4).alias("difference"))
+
+
+@query(
+    """
+WITH o AS (SELECT o_custkey AS k, count(*) AS n, round(max(o_totalprice), 2) AS top FROM orders GROUP BY 1), f AS (SELECT o_custkey AS k, count(*) AS n, round(max(o_totalprice), 2) AS top FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT c_custkey, CAST(coalesce(o.n, 0) AS BIGINT) AS all_n, o.top AS all_top, CAST(coalesce(f.n, 0) AS BIGINT) AS filled_n, f.top AS filled_top FROM customer LEFT JOIN o ON o.k = c_custkey LEFT JOIN f ON f.k = c_custkey
+"""
+)
+def column_concat(t: Tables) -> DataFrame:
+    """Two reports side by side under prefixed names, aligned to all customers in one pass over the orders."""
+    filled = F.col("o_orderstatus") == "F"
+    both = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("all_n"), F.round(F.max("o_totalprice"), 2).alias("all_top"),
+        F.count_if(filled).alias("filled_n"), F.round(F.max(F.when(filled, F.col("o_totalprice"))), 2).alias("filled_top"),
+    )
+    out = t.customer.select("c_custkey").join(both, "c_custkey", "left")
+    return out.select("c_custkey", F.coalesce("all_n", F.lit(0)).alias("all_n"), "all_top", F.coalesce("filled_n", F.lit(0)).alias("filled_n"), "filled_top")

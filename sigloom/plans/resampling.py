@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.operators import folds, ordered, resample
+from sigloom.operators import folds, metrics, ordered, resample
 from sigloom.plans.registry import Tables, query, r6
 from sigloom.plans.statistics import PTSD, SCORED, scored
 
@@ -145,3 +145,26 @@ def disorder_specificity(t: Tables) -> DataFrame:
         table = out if table is None else table.join(out, "feature")
     verdict = resample.specificity_verdict(*[F.col(c) for c in ("pc_value", "pc_ci_low", "pc_ci_high", "sc_value", "ps_ci_low", "ps_ci_high")])
     return table.select("feature", *[r6(f"{n}_value").alias(f"auc_{n}") for n, _ in parts], verdict.alias("verdict"))
+
+
+@query(
+    SCORED + LABELLED + "," + _draws("labelled", "cls") + "," + _weighted_auc("p", "auc")
+    + f", ci AS (SELECT {_auc_of('p')} AS value, quantile_cont(auc, 0.025) AS lo, quantile_cont(auc, 0.975) AS hi FROM auc) "
+    "SELECT round(30 * greatest(0, (value - 0.5) / 0.5), 6) + 0.0 AS points, round(30 * greatest(0, (lo - 0.5) / 0.5), 6) + 0.0 AS points_low, "
+    "round(30 * greatest(0, (hi - 0.5) / 0.5), 6) + 0.0 AS points_high FROM ci"
+)
+def score_points(t: Tables) -> DataFrame:
+    """Points of an AUC and of the ends of its interval."""
+    out = resample.auc_with_ci(scored(t), [], "source", "p", F.col("y") == 1, B)
+    names = (("value", "points"), ("ci_low", "points_low"), ("ci_high", "points_high"))
+    return out.select(*[r6(metrics.points(F.col(c), 30.0)).alias(n) for c, n in names])
+
+
+@query(
+    SCORED + """SELECT lang, round(0.5 * (avg(CASE WHEN y = 1 THEN CASE WHEN n_chars >= 500 THEN CAST(1 AS DOUBLE) ELSE 0 END END)
+  + avg(CASE WHEN y = 0 THEN CASE WHEN n_chars < 500 THEN CAST(1 AS DOUBLE) ELSE 0 END END)), 6) AS auc FROM scored GROUP BY lang"""
+)
+def rule_auc(t: Tables) -> DataFrame:
+    """AUC of a yes/no rule, which equals its balanced accuracy."""
+    rows = scored(t).withColumn("rule", (F.col("n_chars") >= 500).cast("int"))
+    return ordered.auc(rows, ["lang"], "rule", F.col("y") == 1).select("lang", r6("auc").alias("auc"))
