@@ -30,3 +30,10 @@ def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     manifest = tf.write_token_files(load(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
     return tf.token_positions(manifest, tf.read_token_files(manifest))
+
+
+@registered
+def op2_linear_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm import linear_pack
+
+    return linear_pack.pack_documents(load(spark, sf_dir, "documents"), WORD_BPE, end_id=1)
