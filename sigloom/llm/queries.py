@@ -37,3 +37,10 @@ def op2_linear_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigloom.llm import linear_pack
 
     return linear_pack.pack_documents(load(spark, sf_dir, "documents"), WORD_BPE, end_id=1)
+
+
+@registered
+def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm import tree_bpe
+
+    return tree_bpe.encode_documents(load(spark, sf_dir, "documents"), BYTE_BPE)
