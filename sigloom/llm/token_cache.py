@@ -8,12 +8,18 @@ next to a blank) are encoded whole.
 from __future__ import annotations
 
 import functools
+import string
+import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
 
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 400_000
 MISSES_AT_ONCE = 20_000
+#: marks that close a word and never begin a contraction
+MARKS = string.punctuation.replace("'", "")
+#: letters up to here are classed alike by every Unicode version
+LATIN_END = chr(0x250)
 
 
 @functools.cache
@@ -31,6 +37,14 @@ def plain_tokenizer(name: str):
     return tok
 
 
+@functools.cache
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones themselves, the others from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+
 class ChunkEncoder:
     """Encodes batches of texts. ``glued``: a word takes the blank before it (byte-level vocabularies).
 
@@ -43,9 +57,39 @@ class ChunkEncoder:
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.young: dict[str, bytes | bool] = {}
         self.old: dict[str, bytes | bool] = {}
-
-    def _learn(self, missing: list[str]) -> None:
-        blank = " " if self.glued else ""
+        self.marks: dict[str, bytes] = {}
+        self.raw = [self.kind.type(i).tobytes() for i in range(self.tok.get_vocab_size())]
+
+    def _model(self, word: str) -> bytes:
+        letters, raw = byte_letters(), self.raw
+        shown = word if word.isascii() else "".join([letters[b] for b in word.encode()])
+        return b"".join([raw[t.id] for t in self.tok.model.tokenize("\u0120" + shown if self.glued else shown)])
+
+    def _closing(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            self.marks[marks] = b"".join([self.raw[t.id] for t in self.tok.model.tokenize(marks)])
+        return self.marks[marks]
+
+    def _plain(self, chunk: str) -> bytes | None:
+        """Ids of a chunk of Latin letters that may end in marks, straight from the model; None for any other chunk."""
+        stem = chunk.rstrip(MARKS)
+        if not stem.isalpha():
+            return None
+        lower = stem if self.glued else stem.lower()
+        if not stem.isascii() and (max(stem) >= LATIN_END or not (self.glued or (unicodedata.is_normalized("NFC", stem) and lower.isalpha()))):
+            return None
+        if len(chunk) == len(stem):
+            return self._model(lower)
+        ids = self.young.get(stem) or self.old.get(stem) or self._model(lower)
+        return ids + self._closing(chunk[len(stem) :]) if len(chunk) - len(stem) <= 64 else None
+
+    def _learn(self, chunks: list[str]) -> None:
+        blank, missing, young, plain = " " if self.glued else "", [], self.young, self._plain
+        for w in chunks:
+            if (ids := plain(w)) is None:
+                missing.append(w)
+            else:
+                young[w] = ids
         for at in range(0, len(missing), MISSES_AT_ONCE):
             part = missing[at : at + MISSES_AT_ONCE]
             got = self.tok.encode([blank + w for w in part], is_pretokenized=True, add_special_tokens=False)
@@ -78,14 +122,6 @@ class ChunkEncoder:
                 found[i] = get(chunks[i])
         return found
 
-    def encode_chunks(self, text: str) -> list[bytes] | None:
-        """Ids of the text's chunks, the first without its blank; None where only the whole text gives them."""
-        head, *rest = text.split(" ") if self.glued else text.replace("\n", " ").split(" ")
-        begin = np.array(self.tok.encode(head, add_special_tokens=False).ids, self.kind).tobytes()
-        found = self._lookup(rest)
-        unsure = False in found or (self.glued and bool(rest) and (not head or head[-1].isspace()))
-        return None if unsure else [begin, *found]
-
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of whole texts; an empty text has none."""
         split = [(t if self.glued else t.replace("\n", " ")).split(" ") for t in texts]
