@@ -44,3 +44,26 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigloom.llm import tree_bpe
 
     return tree_bpe.encode_documents(load(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@registered
+def op4_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm import signature_tree
+
+    return signature_tree.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_signature_tree_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w
+), n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s
+), e AS (SELECT doc_id, unnest(sh) AS h FROM s
+), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL
+), l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n_shingles + nb.n_shingles - c)
+), g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (SELECT doc_id AS v, doc_id AS u FROM n UNION SELECT r.v, g.b FROM r JOIN g ON r.u = g.a)
+SELECT n.doc_id, n.n_shingles, m.component_id FROM n JOIN (SELECT v, min(u) AS component_id FROM r GROUP BY v) m ON n.doc_id = m.v
+"""
