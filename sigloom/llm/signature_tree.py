@@ -162,7 +162,7 @@ def document_sets(docs: DataFrame, sketch: np.ndarray, words: int = WORDS, perce
             sizes, digests, keys, ranks = [], [], [], []
             for s in shingler.sets(batch.column("text").to_pylist()):
                 rank = order[_cells(s)]
-                first = np.argsort(rank, kind="stable")[: prefix_length(len(s), percent)]
+                first = np.lexsort((s.view(np.int64), rank))[: prefix_length(len(s), percent)]  # the order of the table's keys
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 keys.append(s[first].view(np.int64))
