@@ -67,3 +67,13 @@ WITH RECURSIVE w AS (
 ), r AS (SELECT doc_id AS v, doc_id AS u FROM n UNION SELECT r.v, g.b FROM r JOIN g ON r.u = g.a)
 SELECT n.doc_id, n.n_shingles, m.component_id FROM n JOIN (SELECT v, min(u) AS component_id FROM r GROUP BY v) m ON n.doc_id = m.v
 """
+
+
+@registered
+def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm import line_crf
+
+    docs = load(spark, sf_dir, "documents")
+    model = line_crf.train(docs, load(spark, sf_dir, "labels"))
+    scored = line_crf.score_documents(docs.select("doc_id", "text"), model, ["doc_id"])
+    return scored.select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
