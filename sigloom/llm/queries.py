@@ -77,3 +77,10 @@ def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = line_crf.train(docs, load(spark, sf_dir, "labels"))
     scored = line_crf.score_documents(docs.select("doc_id", "text"), model, ["doc_id"])
     return scored.select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@registered
+def op7_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm import pii_boost
+
+    return pii_boost.find_personal_data(load(spark, sf_dir, "documents"))
