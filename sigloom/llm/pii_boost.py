@@ -130,13 +130,18 @@ def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
     for _, found, name, _ in loose:
         names.setdefault(f"_found_{name}", found)
     df = df.withColumns({"_parts": F.concat(*parts)} | names)
-    copies = [
-        F.transform(f"_found_{name}", lambda c, k=k: F.struct(c["start"].alias("start"), c["end"].alias("end"), k.cast("int").alias("kind"), c["bits"].alias("bits")))
-        for k, _, name, _ in loose
-    ]
+    copies = [_as_kind(f"_found_{name}", k) for k, _, name, _ in loose]
     return df.withColumns({"_base": F.array_sort("_parts", _by_place), "_loose": F.concat(*copies)}).drop("_parts", *names)
 
 
+def _as_kind(found: str, k: Column) -> Column:
+    return F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), k.cast("int").alias("kind"), c["bits"].alias("bits")))
+
+
+def _number_of(k: int) -> Column:
+    return F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
+
+
 def _by_place(a: Column, b: Column) -> Column:
     less = lambda x, y: F.when(x < y, -1).when(x > y, 1)
     return F.coalesce(less(a["start"], b["start"]), less(a["kind"], b["kind"]), less(a["end"], b["end"]), F.lit(0))
@@ -248,7 +253,7 @@ def _listed(spans: str) -> Column:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id``, counts of base spans, digest of the base spans, all spans."""
     found = with_spans(docs.select("doc_id", "text"), train(docs))
-    counts = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [_number_of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_listed("_base").cast("binary"), 256).alias("base_sha256"), _listed("_spans").alias("spans"))
 
 
