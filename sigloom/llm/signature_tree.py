@@ -32,7 +32,8 @@ PERCENT = 80
 SKETCH_CELLS = 1 << 18
 SKETCH_BLOCK = 1 << 12
 SMALL_KEY = 256
-CHUNK_SHINGLES = 1 << 18
+CHUNK_SHINGLES = 1 << 19
+MIN_BITS_LOG, MAX_BITS_LOG = 8, 16
 FANOUT = 16
 PAIRS_AT_ONCE = 1 << 15
 BUFFER_BYTES = 1 << 20
@@ -150,82 +151,116 @@ def shingle_sketch(texts: DataFrame, words: int = WORDS) -> np.ndarray:
     return np.minimum(out.reshape(-1), np.iinfo(np.int32).max).astype(np.int32)
 
 
+def set_id(s: np.ndarray) -> int:
+    """64-bit digest of a sorted set; documents with equal sets share it."""
+    import hashlib
+
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def signature(s: np.ndarray) -> bytes:
+    """Bitmap of about two bits an element; a wider one folds to a narrower by OR of its halves."""
+    bits = 1 << min(MAX_BITS_LOG, max(MIN_BITS_LOG, int(2 * len(s)).bit_length()))
+    out = np.zeros(bits // 8, np.uint8)
+    bit = ((s >> np.uint64(40)) & np.uint64(bits - 1)).astype(np.int64)
+    np.bitwise_or.at(out, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+    return out.tobytes()
+
+
 def document_sets(docs: DataFrame, sketch: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per row: ``doc_id``, set size, set digest, and the rarest elements of the set in order."""
+    """Per row: ``doc_id``, set size, set digest, signature, and the rarest elements of the set in order."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # a table of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         order, shingler = shared.value, Shingler(words)
         for batch in batches:
-            sizes, digests, keys, ranks = [], [], [], []
+            sizes, sids, maps, keys, ranks = [], [], [], [], []
             for s in shingler.sets(batch.column("text").to_pylist()):
                 rank = order[_cells(s)]
                 first = np.lexsort((s.view(np.int64), rank))[: prefix_length(len(s), percent)]  # the order of the table's keys
                 sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                sids.append(set_id(s))
+                maps.append(signature(s))
                 keys.append(s[first].view(np.int64))
                 ranks.append(rank[first])
             ends = np.cumsum([0, *[len(k) for k in keys]]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.zeros(0, t))) for x, t in ((keys, np.int64), (ranks, np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *lists], names=["doc_id", "n_shingles", "digest", "keys", "ranks"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, ranks array<int>")
-
-
-def _candidate_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that hold every similar pair within a component. ``rows``: key, rank, id, n, pos."""
-    owners = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n_owners"), F.bit_xor(F.xxhash64("id")).alias("_x"), F.sum(F.hash("id").cast("long")).alias("_s"), F.min("id").alias("lowest"), F.min("rank").alias("rank")
-    )
-    owners = owners.filter("n_owners > 1")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(maps, pa.binary()), *lists],
+                names=["doc_id", "n_shingles", "sid", "signature", "keys", "ranks"],
+            )
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sid long, signature binary, keys array<long>, ranks array<int>")
+
+
+def _folded(maps: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps as rows of ``width`` bytes; each is that wide or twice as wide."""
+    rows = [np.frombuffer(m, np.uint64) for m in maps]
+    return np.stack([r if 8 * len(r) == width else r[: len(r) // 2] | r[len(r) // 2 :] for r in rows])
+
+
+def likely_pairs(n: np.ndarray, pos: np.ndarray, maps: list[bytes], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of owners of one key that positions, sizes and bitmaps cannot rule out; the key is their first common element."""
+    left = n - pos - 1
+    most = 1 + np.minimum(left[:, None], left[None, :])
+    i, j = np.nonzero(np.triu((100 + percent) * most >= percent * (n[:, None] + n[None, :]), 1))
+    width = np.array([len(m) for m in maps], np.int64)
+    narrow, ok = np.minimum(width[i], width[j]), np.zeros(len(i), bool)
+    for w in np.unique(narrow).tolist():
+        at = np.flatnonzero((narrow == w) & (np.maximum(width[i], width[j]) <= 2 * w))
+        near = np.flatnonzero((width == w) | (width == 2 * w))
+        place = np.zeros(len(n), np.int64)
+        place[near] = np.arange(len(near))
+        bits = _folded([maps[k] for k in near.tolist()], w)
+        excess = n[near] - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        for s in range(0, len(at), PAIRS_AT_ONCE):
+            some = at[s : s + PAIRS_AT_ONCE]
+            x, y = place[i[some]], place[j[some]]
+            common = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64) + np.minimum(excess[x], excess[y])
+            ok[some] = (100 + percent) * common >= percent * (n[i[some]] + n[j[some]])
+    return i[ok], j[ok]
+
+
+def _candidate_links(base: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between set digests that hold every similar pair within a component."""
+    rows = base.select("sid", F.col("n_shingles").cast("int").alias("n"), F.posexplode(F.arrays_zip("keys", "ranks")).alias("pos", "_e"))
+    rows = rows.select(F.col("_e.keys").alias("key"), F.col("_e.ranks").alias("rank"), "sid", "n", "pos")
+    owners = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.bit_xor("sid").alias("_x"), F.min("sid").alias("lowest"), F.max("sid").alias("_high"), F.min("rank").alias("rank"))
+    owners = owners.filter("lowest < _high")
     # one key for each group of owners: the first in the common order, so positions stay valid for the first common element
-    kept = owners.groupBy("n_owners", "_x", "_s", "lowest").agg(F.min(F.struct("rank", "key")).alias("_k")).select(F.col("_k.key").alias("key"), "n_owners", "lowest")
-    members = stored(rows.drop("rank").join(kept, "key"), "members")
-    large = members.filter(F.col("n_owners") > SMALL_KEY).select(F.col("id").alias("a"), F.col("lowest").alias("b"))
-    small = members.filter(F.col("n_owners") <= SMALL_KEY).select("key", "id", "n", "pos")
-
-    def alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(ids: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
-            left = n - pos - 1
-            most = 1 + np.minimum(left[:, None], left[None, :])
-            ok = (100 + percent) * most >= percent * (n[:, None] + n[None, :])
-            np.fill_diagonal(ok, False)
-            return ids[ok.any(axis=1)]
-
-        held: list[np.ndarray] = []
-        found_a, found_b = [], []
-
-        def close(part: list[np.ndarray]) -> None:
-            rows = np.concatenate(part, axis=1)
-            ids = np.unique(edges(rows[1], rows[2], rows[3]))
-            found_a.append(ids[1:])
-            found_b.append(np.full(max(0, len(ids) - 1), ids[0] if len(ids) else 0))
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if found_a:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(found_a), pa.int64()), "b": pa.array(np.concatenate(found_b), pa.int64())})
-                found_a.clear()
-                found_b.clear()
-
+    kept = owners.groupBy("_c", "_x", "lowest", "_high").agg(F.min(F.struct("rank", "key")).alias("_k")).select(F.col("_k.key").alias("key"), "lowest")
+    members = stored(rows.drop("rank").join(kept, "key").distinct(), "members")
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n_owners"))
+    members = members.join(counts, "key")
+    large = members.filter(F.col("n_owners") > SMALL_KEY).select(F.col("sid").alias("a"), F.col("lowest").alias("b"))
+    maps = base.select("sid", "signature").join(members.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
+    small = members.filter(F.col("n_owners") <= SMALL_KEY).join(maps, "sid").select("key", "sid", "n", "pos", "signature")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(part: list[tuple]) -> list[tuple[int, int]]:
+            n, pos = (np.array([r[c] for r in part], np.int64) for c in (2, 3))
+            i, j = likely_pairs(n, pos, [r[4] for r in part], percent)
+            return [(part[x][1], part[y][1]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+
+        def batch_of(found: set[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+        held: list[tuple] = []
+        found: set[tuple[int, int]] = set()
         for batch in batches:
-            block = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "id", "n", "pos")])
-            cuts = [0, *(np.flatnonzero(np.diff(block[0])) + 1).tolist(), block.shape[1]]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                part = block[:, a:b]
-                if held and part.shape[1] and held[0][0, 0] != part[0, 0]:
-                    close(held)
+            for row in zip(*[batch.column(c).to_pylist() for c in ("key", "sid", "n", "pos", "signature")], strict=True):
+                if held and held[0][0] != row[0]:
+                    found.update(linked(held))
                     held = []
-                if part.shape[1]:
-                    held.append(part)
-            yield from flush()
-        if held:
-            close(held)
-        yield from flush()
+                held.append(row)
+            if len(found) > 50_000:
+                yield batch_of(found)
+                found = set()
+        found.update(linked(held))
+        yield batch_of(found)
 
-    ordered = small.repartition(shuffle_parts(rows.sparkSession), "key").sortWithinPartitions("key")
-    return large.filter("a <> b").unionByName(ordered.mapInArrow(alive, "a long, b long")).distinct()
+    ordered = small.repartition(shuffle_parts(base.sparkSession), "key").sortWithinPartitions("key")
+    return large.filter("a <> b").unionByName(ordered.mapInArrow(pairs, "a long, b long")).distinct()
 
 
 class SignatureTree:
@@ -330,21 +365,21 @@ def similar_forest(ids: list[int], sets: list[np.ndarray], side: np.ndarray | No
     return forest
 
 
-def _verified_links(candidates: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Spanning forests of all candidate components. ``candidates``: doc_id, root, n_shingles."""
+def _verified_links(candidates: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Spanning forests of all candidate components. ``candidates``: doc_id (one a set), root, n_shingles."""
     sizes = candidates.groupBy("root").agg((F.floor((F.sum("n_shingles") - 1) / CHUNK_SHINGLES) + 1).cast("int").alias("n_chunks"))
     dealt = candidates.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("n_chunks")).cast("int"))
     dealt = stored(dealt.select("doc_id", "root", "n_chunks", "chunk").distinct(), "chunks")
     few = dealt.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(dealt) if few else dealt, "doc_id")
+    found = texts.join(F.broadcast(dealt) if few else dealt, "doc_id")
     other = F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))
-    work = texts.withColumn("_o", other).select("doc_id", "text", "chunk", "root", F.least("chunk", "_o").alias("i"), F.greatest("chunk", "_o").alias("j"))
+    work = found.withColumn("_o", other).select("text", "chunk", "root", F.least("chunk", "_o").alias("i"), F.greatest("chunk", "_o").alias("j"))
 
     def run(keys: tuple, group: pa.Table) -> pa.Table:
         i, j = keys[1].as_py(), keys[2].as_py()
         sets = list(Shingler(words).sets(group.column("text").to_pylist()))
         side = None if i == j else (group.column("chunk").to_numpy() == j).astype(int)
-        forest = similar_forest(group.column("doc_id").to_pylist(), sets, side, percent)
+        forest = similar_forest([set_id(s) for s in sets], sets, side, percent)
         return pa.table({"a": pa.array([a for a, _ in forest], pa.int64()), "b": pa.array([b for _, b in forest], pa.int64())})
 
     return work.groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
@@ -356,15 +391,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     texts = docs.select("doc_id", whole_text().alias("text"))
     base = stored(document_sets(texts, shingle_sketch(texts, words), words, percent), "sets")
     known = base.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    first = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    mapped = known.select("doc_id", "digest").join(first, "digest")
-    copies = mapped.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = known.join(first.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"])
-    rows = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"), F.posexplode(F.arrays_zip("keys", "ranks")).alias("pos", "_e"))
-    rows = rows.select(F.col("_e.keys").alias("key"), F.col("_e.ranks").alias("rank"), "id", "n", "pos")
-    likely = stored(_candidate_links(rows, percent), "likely")
-    ends = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    candidates = connected_components(ends, likely, "doc_id", "root").join(known.select("doc_id", "n_shingles").distinct(), "doc_id")
-    links = stored(_verified_links(candidates, texts, words, percent).unionByName(copies), "links")
-    nodes = connected_components(known.select("doc_id"), links, "doc_id", "component_id")
-    return base.select("doc_id", "n_shingles").join(nodes, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
+    ends = lambda links: links.select(F.col("a").alias("sid")).union(links.select("b")).distinct()
+
+    likely = stored(_candidate_links(known, percent), "likely")
+    candidates = connected_components(ends(likely), likely, "sid", "root").join(first, "sid").select("doc_id", "root", "n_shingles")
+    # rows that share an id are one document
+    shared = known.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("_h")).filter("a <> _h").select("doc_id", "a")
+    shared = known.select("doc_id", F.col("sid").alias("b")).join(shared, "doc_id").filter("a <> b").select("a", "b")
+    links = stored(_verified_links(candidates, texts, words, percent).unionByName(shared), "links")
+    roots = connected_components(ends(links), links, "sid", "root").join(first.select("sid", "doc_id"), "sid")
+    linked = roots.join(roots.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("sid", "component_id")
+    classes = first.select("sid", "doc_id").join(linked, "sid", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return base.select("doc_id", "n_shingles", "sid").join(classes, "sid", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
