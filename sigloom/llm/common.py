@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ARROW_ROWS = 500
@@ -48,6 +48,11 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def spread_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Sum per key where a key may be hot: partial sums before the shuffle do the work."""
-    return df.groupBy(key).agg(F.sum(value).alias(out))
+def ranked_within(df: DataFrame, value: str, order: list[str], salts: int = 64) -> DataFrame:
+    """Adds ``_rank`` from 0 within ``value``; a frequent value is spread by a salt."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    sizes = salted.groupBy(value, "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(value).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(value, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy(value, "_salt").orderBy(*order)) - 1
+    return salted.withColumn("_local", local).join(sizes, [value, "_salt"]).withColumn("_rank", F.col("_local") + F.col("_before")).drop("_salt", "_local", "_before")

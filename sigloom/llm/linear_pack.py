@@ -29,13 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import small_batches, stored, whole_text
+from sigloom.llm.common import ranked_within, small_batches, stored, whole_text
 from sigloom.llm.token_cache import chunk_encoder
 
 CAPACITY = 4096
 GROUPS = 32
 SMALL_PART = 8
-SALTS = 32
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Span = tuple[int, int, int, int]  # first position, end, first sequence, items a sequence
 
@@ -191,16 +190,6 @@ def plan_small(small: dict[int, int], free: list[tuple[int, int, int]], capacity
     return plan, opened
 
 
-def _ranked(df: DataFrame, value: str, order: list[str]) -> DataFrame:
-    """Adds ``_rank`` from 0 within ``value``; a frequent value is spread by a salt."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
-    sizes = salted.groupBy(value, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(value).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(value, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy(value, "_salt").orderBy(*order)) - 1
-    return salted.withColumn("_local", local).join(sizes, [value, "_salt"]).withColumn("_rank", F.col("_local") + F.col("_before")).drop("_salt", "_local", "_before")
-
-
 def _follow(df: DataFrame, position: str, spans: list[Span], out: str, by: str | None = None, plan: dict[int, list[Span]] | None = None) -> DataFrame:
     """Adds ``out``: the sequence of a position, by binary search in the spans (of the row's ``by`` where given)."""
     tables = {k: np.array(v, np.int64).reshape(-1, 4) for k, v in (plan if plan is not None else {0: spans}).items()}
@@ -226,7 +215,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
     order = ["doc_id", "piece", "start"]
     small_to = capacity // SMALL_PART
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    ranked = _ranked(pieces, "length", order)
+    ranked = ranked_within(pieces, "length", order)
     large = {n: c for n, c in counts.items() if n > small_to}
     small = {n: c for n, c in counts.items() if n <= small_to}
     spans, used = plan_large(large, capacity, groups)
@@ -239,7 +228,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
     big = stored(_follow(big.drop("_rank"), "_position", spans, "_bin").drop("_position"), "large")
 
     bins = big.groupBy("_bin").agg((F.lit(capacity) - F.sum("length")).alias("_free"))
-    bins = _ranked(bins, "_free", ["_bin"])
+    bins = ranked_within(bins, "_free", ["_bin"])
     free = {r["_free"]: r["n"] for r in bins.groupBy("_free").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     classes, base, at = [], {}, 0
     for space in sorted(free):

@@ -84,3 +84,10 @@ def op7_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigloom.llm import pii_boost
 
     return pii_boost.find_personal_data(load(spark, sf_dir, "documents"))
+
+
+@registered
+def op1_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm import vector_shards
+
+    return vector_shards.shard_documents(load(spark, sf_dir, "documents"))
