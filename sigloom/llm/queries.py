@@ -91,3 +91,10 @@ def op1_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigloom.llm import vector_shards
 
     return vector_shards.shard_documents(load(spark, sf_dir, "documents"))
+
+
+@registered
+def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm import multiset_hash
+
+    return multiset_hash.fingerprint_documents(load(spark, sf_dir, "documents"))
