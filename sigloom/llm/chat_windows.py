@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from sigloom.llm.common import shuffle_parts, small_batches
 
-BUDGET = 1024
-HISTORY = 256
+BUDGET = 384
+HISTORY = 128
 # fixed control strings of the template
 START, END = "<|im_start|>", "<|im_end|>"
 WINDOWS = "conv_id long, window long, n_repeated int, n_turns int, formatted string, mask array<struct<start:int,end:int>>"

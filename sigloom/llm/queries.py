@@ -108,3 +108,22 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     turns = load(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
     return chat_windows.read_back(chat_windows.format_conversations(turns))
+
+
+@registered
+def op3_cover_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm import cover_tree
+
+    return cover_tree.threshold_join(load(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op3_cover_tree_join"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93
+), r AS (SELECT vec_id AS s, vec_id AS u FROM embeddings UNION SELECT r.s, l.b FROM r JOIN l ON r.u = l.a
+), m AS (SELECT s, min(u) AS component_id FROM r GROUP BY s), c AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN m ON m.s = e.vec_id LEFT JOIN c ON c.a = e.vec_id
+"""
