@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
 from functools import reduce
 
@@ -27,7 +27,7 @@ def fixed_oof(df: DataFrame, features: Sequence[str], c: float = 1.0, scale: boo
     keep = ("row", "grp", "stratum", "y")
     if not nested.fits_in_broadcast(rows, protocol, limit):
         chosen = rows.select("outer").distinct().withColumn("candidate", F.lit(0))
-        out = nested._outer_predictions(rows, chosen, protocol, (), limit)
+        out = nested._outer_predictions(rows, chosen, protocol, (), limit, scale)
         return out.join(rows.select(*keep), "row").select(*keep, F.col("p_raw").alias("p"))
     shared = rows.sparkSession.sparkContext.broadcast(nested._matrix(rows, protocol))
 
@@ -49,7 +49,7 @@ def fixed_oof(df: DataFrame, features: Sequence[str], c: float = 1.0, scale: boo
     return out.join(rows.select(*keep), "row").select(*keep, "p")
 
 
-def ridge_oof(df: DataFrame, features: Sequence[str], target: str, alphas: Sequence[float] = AGE_RIDGE_ALPHAS) -> DataFrame:
+def ridge_oof(df: DataFrame, features: Sequence[str], target: str, alphas: Sequence[float] = AGE_RIDGE_ALPHAS, limit: int = nested.BROADCAST_BYTES) -> DataFrame:
     """Leave-one-group-out ridge prediction of a number and the training mean; alpha by leave-one-out error.
 
     Median-filled features. Every training set is the total minus one group, so the normal equations of all folds
@@ -80,8 +80,16 @@ def ridge_oof(df: DataFrame, features: Sequence[str], target: str, alphas: Seque
         inner = np.linalg.inv(cov / np.outer(sd, sd) + alpha * np.eye(p))
         return inner, inner @ ((m[:p, p + 1] - n * mean * mt) / sd), mean, sd, (mt, n)
 
-    # leave-one-out error of (fold, alpha): rows of all other groups, folds travel as one small array per fold
-    shared = rows.sparkSession.sparkContext.broadcast({r["grp"]: np.array(r["m"]) for r in _checked(packed, p)})
+    # folds travel as one small array each, in blocks of at most `limit` bytes
+    blocks = max(1, -(-packed.count() * (p + 2) ** 2 * 8 // limit))
+    packed = checkpointed(packed.withColumn("block", F.pmod(F.xxhash64("grp"), F.lit(blocks)).cast("int")))
+    return reduce(DataFrame.unionByName, [_ridge_block(rows, packed.filter(F.col("block") == b), p, alphas, solve) for b in range(blocks)])
+
+
+def _ridge_block(rows: DataFrame, packed: DataFrame, p: int, alphas: Sequence[float], solve: Callable) -> DataFrame:
+    """Leave-one-out error of every (fold, alpha) of one block over the rows of all other groups, then the predictions."""
+    moments = {r["grp"]: np.array(r["m"]) for r in packed.collect()}
+    shared = rows.sparkSession.sparkContext.broadcast(moments)
 
     def errors(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = {(g, a): solve(m, a) for g, m in shared.value.items() for a in alphas}
@@ -99,21 +107,14 @@ def ridge_oof(df: DataFrame, features: Sequence[str], target: str, alphas: Seque
 
     def predict(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in blocks:
-            for r in block.itertuples():
-                _, coef, mean, sd, (mt, _) = solve(shared.value[r.grp], r.alpha)
-                yield pd.DataFrame({"row": [r.row], "target": [r.t], "predicted": [float(mt + (np.asarray(r.x) - mean) / sd @ coef)], "reference": [mt]})
+            for (g, alpha), part in block.groupby(["grp", "alpha"]):
+                _, coef, mean, sd, (mt, _) = solve(shared.value[g], alpha)
+                x = np.stack(part["x"].to_numpy())
+                yield pd.DataFrame({"row": part["row"], "target": part["t"], "predicted": mt + (x - mean) / sd @ coef, "reference": mt})
 
     return rows.join(best, "grp").mapInPandas(predict, "row long, target double, predicted double, reference double")
 
 
-def _checked(packed: DataFrame, p: int, limit: int = nested.BROADCAST_BYTES) -> list:
-    """Moment matrices of all folds, only if they fit the broadcast limit."""
-    packed = checkpointed(packed)
-    if packed.count() * (p + 2) ** 2 * 8 > limit:
-        raise ValueError("too many groups for the broadcast of fold moments: evaluate over folds of groups instead")
-    return packed.collect()
-
-
 def fold_aucs(df: DataFrame, protocol: nested.Protocol, comparisons: dict[str, Sequence[str]], n_splits: int = 5, n_repeats: int = 5, seed: int = 42) -> DataFrame:
     """AUC inside the test folds of repeated grouped, stratified K-fold runs of the whole procedure."""
     parts = []

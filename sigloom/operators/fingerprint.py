@@ -13,7 +13,6 @@ from sigloom.operators import ordered
 from sigloom.session import checkpointed
 
 MIN_SHARED_BLOCKS = 2
-HOT_OWNERS = 32
 MAX_ROUNDS = 60
 
 
@@ -35,37 +34,30 @@ def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     return first.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols], "n_copies")
 
 
-def overlap_links(blocks: DataFrame, node: str, block: str, hot_owners: int = HOT_OWNERS) -> DataFrame:
-    """Edges whose components are those of "shares at least two blocks".
+def overlap_links(blocks: DataFrame, node: str, block: str) -> DataFrame:
+    """Edges whose components are those of "shares at least two blocks", by one rule for every block.
 
-    ``blocks`` holds distinct (node, block) rows of nodes with different content. Blocks owned by one node are
-    dropped first. A cold block (at most ``hot_owners`` owners) pairs its few owners, and a pair counts when it
-    shares two cold blocks, or one cold and one hot block. Hot blocks never pair nodes: nodes with the same set
-    of hot blocks form a star, and one node per distinct set is linked through the pairs of hot blocks it holds,
-    again as stars. Both routes together are exact.
+    ``blocks`` holds distinct (node, block) rows of nodes with different content. Blocks with one owner go; blocks with
+    the same owners become one kind. A kind of two or more blocks links its owners as a star at once (this takes the
+    boilerplate). Otherwise two nodes share two kinds, so they meet under a pair of kinds: nodes with the same kinds form
+    a star, and one node per distinct set is linked through its pairs, again as stars. A frequent block never pairs nodes.
     """
     blocks = blocks.select(F.col(node).alias("_nd"), F.col(block).alias("_bk"))
-    node, block = "_nd", "_bk"
-    owners = blocks.groupBy(block).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    shared = blocks.join(owners, block)
-    cold = shared.filter(F.col("_n") <= hot_owners).select(node, block)
-    hot = shared.filter(F.col("_n") > hot_owners).groupBy(node).agg(F.array_sort(F.collect_set(block)).alias("_hot"))
-
-    left, right = cold.select(F.col(node).alias("a"), block), cold.select(F.col(node).alias("b"), block)
-    pairs = left.join(right, block).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_c"))
-    sure = pairs.filter(F.col("_c") >= MIN_SHARED_BLOCKS).select("a", "b")
-    maybe = pairs.filter(F.col("_c") < MIN_SHARED_BLOCKS)
-    maybe = maybe.join(hot.select(F.col(node).alias("a"), F.col("_hot").alias("_ha")), "a")
-    maybe = maybe.join(hot.select(F.col(node).alias("b"), F.col("_hot").alias("_hb")), "b")
-    mixed = maybe.filter(F.arrays_overlap("_ha", "_hb")).select("a", "b")
-
-    many = hot.filter(F.size("_hot") >= MIN_SHARED_BLOCKS).withColumn("_set", F.sha1(F.array_join("_hot", "")))
-    same_set = identical_links(many.select(node, "_set"), "_set", node)
-    sets = many.groupBy("_set").agg(F.min(node).alias(node), F.any_value("_hot").alias("_hot"))
-    first = sets.select(node, "_hot", F.posexplode("_hot").alias("_i", "_x"))
-    combo = first.select(node, "_x", F.explode(F.slice("_hot", F.col("_i") + 2, F.size("_hot"))).alias("_y"))
-    combo = combo.select(node, F.concat("_x", "_y").alias("_k"))
-    return sure.union(mixed).union(same_set).union(identical_links(combo, "_k", node)).distinct()
+    owners = blocks.groupBy("_bk").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_nd").alias("_rep"), F.bit_xor(F.xxhash64("_nd")).alias("_x"), F.sum(F.hash("_nd").cast("long")).alias("_s")
+    ).filter("_n > 1")
+    same = ["_n", "_rep", "_x", "_s"]
+    kinds = owners.join(owners.groupBy(*same).agg(F.min("_bk").alias("_kind"), F.count(F.lit(1)).alias("_size")), same)
+    owned = checkpointed(blocks.join(kinds.select("_bk", "_kind", "_rep", "_size"), "_bk").select("_nd", "_kind", "_rep", "_size").distinct())
+    twins = owned.filter(F.col("_size") >= MIN_SHARED_BLOCKS).filter("_nd <> _rep").select(F.col("_rep").alias("a"), F.col("_nd").alias("b"))
+    # at most one entry per line of a text
+    many = owned.groupBy("_nd").agg(F.array_sort(F.collect_set("_kind")).alias("_kinds")).filter(F.size("_kinds") >= MIN_SHARED_BLOCKS)
+    many = many.withColumn("_set", F.sha1(F.array_join("_kinds", "|")))
+    first = many.groupBy("_set").agg(F.min("_nd").alias("_nd"), F.any_value("_kinds").alias("_kinds"))
+    first = first.select("_nd", "_kinds", F.posexplode("_kinds").alias("_i", "_one"))
+    pairs = first.select("_nd", "_one", F.explode(F.slice("_kinds", F.col("_i") + 2, F.size("_kinds"))).alias("_two"))
+    pairs = pairs.select("_nd", F.concat_ws("|", "_one", "_two").alias("_k"))
+    return twins.union(identical_links(many.select("_nd", "_set"), "_set", "_nd")).union(identical_links(pairs, "_k", "_nd")).distinct()
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str, root: str = "root") -> DataFrame:

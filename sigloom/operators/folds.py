@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sigloom.operators import ordered
 
+ORDER_BYTES = 7
 
 def hash_number(*parts: Column | str | int) -> Column:
     """Integer in [0, 2**32) from the first eight hex digits of an md5 of the parts joined by '|'."""
@@ -21,17 +22,23 @@ def hash_number(*parts: Column | str | int) -> Column:
 
 
 def _order_bucket(df: DataFrame, key: str, name: str, within: Sequence[str] = ()) -> DataFrame:
-    """Bucket that follows the order of ``key``: quantiles for numbers, leading characters for strings."""
+    """Bucket that follows the order of ``key``: quantiles of numbers, or of the bytes of strings behind what all begin with."""
     if dict(df.dtypes)[key] != "string":
         return ordered.range_bucket(df, key, within, name)
     df, small = ordered.settle(df, within)
-    return df if small else df.withColumn(name, F.substring(key, 1, 2))
+    if small:
+        return df
+    low, high = (bytes(v or b"") for v in df.agg(F.min(F.col(key).cast("binary")), F.max(F.col(key).cast("binary"))).first())
+    shared = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    digits = F.rpad(F.hex(F.substring(F.col(key).cast("binary"), shared + 1, ORDER_BYTES)), 2 * ORDER_BYTES, "0")
+    numbered = df.withColumn("_order", F.conv(digits, 16, 10).cast("long"))
+    return ordered.range_bucket(numbered, "_order", within, name, ordered.bucket_levels(df, df.count())).drop("_order")
 
 
 def _hash_bucket(df: DataFrame, name: str, within: Sequence[str] = ()) -> DataFrame:
-    """Bucket by the leading byte of the hash column ``_h``."""
+    """Bucket by the leading bits of the hash column ``_h``, as many as the rows need."""
     df, small = ordered.settle(df, within)
-    return df if small else df.withColumn(name, F.floor(F.col("_h") / F.lit(2**24)))
+    return df if small else df.withColumn(name, F.floor(F.col("_h") / F.lit(2 ** (32 - ordered.bucket_levels(df, df.count())))))
 
 
 def dense_index(keys: DataFrame, key: str, within: Sequence[str] = (), name: str = "idx") -> DataFrame:

@@ -17,18 +17,20 @@ from pyspark.sql import functions as F
 from sigloom.session import checkpointed
 
 BUCKET = "_bucket"
-MIN_LEVELS, MAX_LEVELS = 4, 12
+MIN_LEVELS, MAX_LEVELS = 4, 20
+BUCKET_ROWS = 200_000
 SMALL_ROWS = 500_000
 
 
-def _levels(df: DataFrame) -> int:
-    """log2 of the bucket count: about two buckets per shuffle partition."""
+def bucket_levels(df: DataFrame, rows: int) -> int:
+    """log2 of the bucket count: two buckets per shuffle partition, more where a bucket would pass ``BUCKET_ROWS``."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(MIN_LEVELS, min(MAX_LEVELS, (2 * parts - 1).bit_length()))
+    return max(MIN_LEVELS, min(MAX_LEVELS, max((2 * parts - 1).bit_length(), (rows // BUCKET_ROWS).bit_length())))
 
 
-def _fits(df: DataFrame, keys: Sequence[str], small_rows: int) -> bool:
+def _fits(df: DataFrame, keys: Sequence[str], small_rows: int | None) -> bool:
     """Whether every key (or the whole table) stays within what one ordered task may hold."""
+    small_rows = SMALL_ROWS if small_rows is None else small_rows
     if df.count() <= small_rows:
         return True
     if not keys:
@@ -36,7 +38,7 @@ def _fits(df: DataFrame, keys: Sequence[str], small_rows: int) -> bool:
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0) <= small_rows
 
 
-def settle(df: DataFrame, keys: Sequence[str] = (), small_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+def settle(df: DataFrame, keys: Sequence[str] = (), small_rows: int | None = None) -> tuple[DataFrame, bool]:
     """Write an aggregated table once and tell whether its largest key is small enough for one ordered task.
 
     Everything ordered reads its input several times (edges, totals, rows); the table behind it is computed once.
@@ -46,7 +48,7 @@ def settle(df: DataFrame, keys: Sequence[str] = (), small_rows: int = SMALL_ROWS
 
 
 def range_bucket(
-    df: DataFrame, value: str, keys: Sequence[str] = (), name: str = BUCKET, levels: int | None = None, write: bool = True, small_rows: int = SMALL_ROWS
+    df: DataFrame, value: str, keys: Sequence[str] = (), name: str = BUCKET, levels: int | None = None, write: bool = True, small_rows: int | None = None
 ) -> DataFrame:
     """Add ``name``: the quantile bucket of column ``value`` (binary search over a few edges).
 
@@ -60,7 +62,7 @@ def range_bucket(
             small = _fits(df, keys, small_rows)
         if small:
             return df
-    k = levels or _levels(df)
+    k = levels or bucket_levels(df, df.count())
     shares = [i / 2**k for i in range(1, 2**k)]
     edges = df.agg(F.percentile_approx(value, F.array(*map(F.lit, shares)), F.lit(20 * 2**k)).alias("_edges"))
     steps = F.array(*[F.lit(2**i) for i in reversed(range(k))])

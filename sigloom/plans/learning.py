@@ -17,18 +17,25 @@ WITH RECURSIVE f AS (SELECT d.doc_id, d.source, l.quality AS y, CASE WHEN d.doc_
 """
 
 
-def labelled(t: Tables) -> DataFrame:
-    """Document features with labels; some values are missing on purpose."""
+# the same features of all documents
+ALL_SQL = FEAT_SQL.replace("JOIN labels", "LEFT JOIN labels")
+
+
+def described(t: Tables) -> DataFrame:
+    """Document features; some values are missing on purpose."""
     text = F.col("text")
     size = F.col("n_chars").cast("double")
-    docs = t.documents.select(
+    return t.documents.select(
         "doc_id", "source", "lang",
         F.when(F.col("doc_id") % 7 != 0, F.round(F.ln(size + 1), 9)).alias("log_chars"),
         F.round(F.ln(F.size(F.split(text, " ")).cast("double")), 9).alias("log_words"),
         F.ln(F.size(F.split(text, "\n")).cast("double")).alias("log_lines"),
         (F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")) / (size + 1)).alias("upper_share"),
     )
-    return docs.join(t.labels, "doc_id").withColumn("y", F.col("quality"))
+
+
+def labelled(t: Tables) -> DataFrame:
+    return described(t).join(t.labels, "doc_id").withColumn("y", F.col("quality"))
 
 
 @query(
@@ -51,18 +58,34 @@ FIXED = learn.LogisticModel(
 
 
 @query(
-    FEAT_SQL + """, z AS (SELECT doc_id, 0.8 * (coalesce(log_chars, 6) - 6.5) / 1.5 AS c1, -0.3 * (log_words - 4.5) / 1.25 AS c2 FROM f)
+    ALL_SQL + """, z AS (SELECT doc_id, 0.8 * (coalesce(log_chars, 6) - 6.5) / 1.5 AS c1, -0.3 * (log_words - 4.5) / 1.25 AS c2 FROM f)
 SELECT doc_id, round(c1, 6) + 0.0 AS part_chars, round(c2, 6) + 0.0 AS part_words, round(1 / (1 + exp(-(c1 + c2 + 0.25))), 6) AS p_raw,
        round(1 / (1 + exp(-(0.7 * (c1 + c2 + 0.25) + 0.2))), 6) AS p FROM z
 """
 )
 def linear_score(t: Tables) -> DataFrame:
     c1, c2 = FIXED.contributions()
-    return labelled(t).select(
+    return described(t).select(
         "doc_id", r6(c1).alias("part_chars"), r6(c2).alias("part_words"), r6(FIXED.probability_raw()).alias("p_raw"), r6(FIXED.safe_probability()).alias("p")
     )
 
 
+@query(
+    FEAT_SQL + """, z AS (SELECT y, 0.8 * (coalesce(log_chars, 6) - 6.5) / 1.5 AS c1, -0.3 * (log_words - 4.5) / 1.25 AS c2 FROM f),
+h AS (SELECT y, c1, c2, c1 + c2 + 0.25 >= 0 AS hit FROM z), l AS (SELECT hit, y, 'log_chars' AS feature, c1 AS v FROM h UNION ALL SELECT hit, y, 'log_words', c2 FROM h)
+SELECT feature, round(avg(v) FILTER (WHERE hit AND y = 0) - avg(v) FILTER (WHERE NOT hit AND y = 0), 6) + 0.0 AS difference FROM l GROUP BY feature ORDER BY abs(difference) DESC LIMIT 8
+"""
+)
+def contribution_gap(t: Tables) -> DataFrame:
+    """Mean contribution of the model's features, false positives minus correct negatives, largest first."""
+    parts = dict(zip(FIXED.feature_names, FIXED.contributions(), strict=True))
+    rows = labelled(t).select((FIXED.probability_raw() >= 0.5).alias("hit"), "y", *[c.alias(n) for n, c in parts.items()])
+    mean = lambda n, hit: F.avg(F.when((F.col("y") == 0) & (F.col("hit") == hit), F.col(n)))
+    wide = rows.agg(F.lit(1).alias("one"), *[(mean(n, True) - mean(n, False)).alias(n) for n in parts])
+    long = wide.unpivot("one", list(parts), "feature", "d")
+    return long.orderBy(F.desc(F.abs("d"))).limit(8).select("feature", r6("d").alias("difference"))
+
+
 def _newton_sql(ridge: str, c: str, weight: str) -> str:
     """Newton steps for two parameters as a recursive table."""
     return f"""

@@ -1,7 +1,7 @@
 """Recording queries: embeddings become EDF files inside Spark, and the recording pipeline reads them back.
 
-Fifty consecutive vectors form one six-channel recording of 3,200 samples at 125 Hz, so the number of
-recordings grows with the table and the size of one does not.
+Up to 125 consecutive vectors form one six-channel recording of 8,000 samples at 125 Hz, so the number of
+recordings grows with the table and the size of one does not. A shorter last one is filled with zeros to whole seconds.
 """
 
 from __future__ import annotations
@@ -16,19 +16,20 @@ from sigloom.operators.windows import Reject
 from sigloom.plans.registry import Tables, query, r6
 from sigloom.sources import edf
 
-PER_FILE = 50
+PER_FILE = 125
 
 DIGITAL_SQL = f"""
 WITH c(channel, shift, sign) AS (VALUES ('O1', 0, 1), ('T3', 7, 1), ('Fp1', 14, 1), ('Fp2', 21, -1), ('T4', 28, 1), ('O2', 0, 1)),
 v AS (SELECT vec_id, vec_id // {PER_FILE} AS rec, CAST(round_even(CAST(embedding[i + 1] AS DOUBLE) * 4096, 0) AS INTEGER) AS d, (vec_id % {PER_FILE}) * 64 + i AS pos FROM embeddings CROSS JOIN range(0, 64) r(i)),
-n AS (SELECT rec, count(*) AS len FROM v GROUP BY rec),
-raw AS (SELECT v.rec, c.channel, (v.pos + c.shift) % n.len AS t, c.sign * v.d AS d, n.len // 125 * 125 AS used FROM v JOIN n ON v.rec = n.rec CROSS JOIN c),
+own AS (SELECT rec, count(*) AS len FROM v GROUP BY rec), n AS (SELECT rec, len AS given, (len + 124) // 125 * 125 AS len FROM own),
+p AS (SELECT rec, d, pos FROM v UNION ALL SELECT rec, 0, unnest(range(given, len)) FROM n),
+raw AS (SELECT p.rec, c.channel, (p.pos + c.shift) % n.len AS t, c.sign * p.d AS d, n.len AS used FROM p JOIN n ON p.rec = n.rec CROSS JOIN c),
 s AS (SELECT * FROM raw WHERE t < used)
 """
 
 
 def files(t: Tables) -> DataFrame:
-    """One EDF file per fifty vectors, as (path, file_bytes, content)."""
+    """One EDF file per 125 vectors, as (path, file_bytes, content)."""
     packed = t.embeddings.groupBy(F.floor(F.col("vec_id") / PER_FILE).alias("rec")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"]).alias("rows")
     )
@@ -38,6 +39,7 @@ def files(t: Tables) -> DataFrame:
         out = []
         for r in rows:
             flat = np.round(np.concatenate([np.asarray(v, dtype=float) for v in r]) * 4096)
+            flat = np.pad(flat, (0, -len(flat) % 125))
             out.append(edf.encode(np.stack([np.roll(flat, k) * s for k, s in ((0, 1), (7, 1), (14, 1), (21, -1), (28, 1), (0, 1))]), edf.CHANNELS, 125, -800.0, 800.0))
         return pd.Series(out)
 
@@ -75,7 +77,7 @@ def copied_channels(t: Tables) -> DataFrame:
 
 @query(
     DIGITAL_SQL + """, w AS (SELECT s.rec, s.channel, k, (CAST(1600 AS DOUBLE) / 65535) * d + (-800 + (CAST(1600 AS DOUBLE) / 65535) * 32768) AS uv, t - k * 500 AS x
-  FROM s CROSS JOIN range(0, 7) q(k) WHERE t >= k * 500 AND t < k * 500 + 500 AND (k + 1) * 500 <= used),
+  FROM s CROSS JOIN range(0, 17) q(k) WHERE t >= k * 500 AND t < k * 500 + 500 AND (k + 1) * 500 <= used),
 f AS (SELECT rec, channel, k, regr_slope(uv, x) AS b, regr_intercept(uv, x) AS a FROM w GROUP BY 1, 2, 3)
 SELECT 'rec-' || w.rec AS path, w.channel, CAST(w.k AS BIGINT) AS window_idx, round(stddev_pop(uv - (a + b * x)), 5) AS sd, round(max(uv - (a + b * x)) - min(uv - (a + b * x)), 5) AS ptp
 FROM w JOIN f ON w.rec = f.rec AND w.channel = f.channel AND w.k = f.k GROUP BY 1, 2, 3

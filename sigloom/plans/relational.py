@@ -38,12 +38,12 @@ def registry_expected_left_join(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT translate(upper(trim('  ' || substr(p_name, 1, 4) || CASE WHEN p_partkey % 2 = 0 THEN 'Т' ELSE 't' END || ' ')), 'АВЕКМНОРСТХ', 'ABEKMHOPCTX') AS stem,
+    """SELECT translate(upper(trim('  ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN 'Т' ELSE 't' END || ' ')), 'АВЕКМНОРСТХ', 'ABEKMHOPCTX') AS stem,
        CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1"""
 )
 def stem_normalize(t: Tables) -> DataFrame:
     last = F.when(F.col("p_partkey") % 2 == 0, "Т").otherwise("t")
-    raw = F.concat(F.lit("  "), F.substring("p_name", 1, 4), last, F.lit(" "))
+    raw = F.concat(F.lit("  "), "p_name", last, F.lit(" "))
     return t.part.groupBy(text.normalize_stem(raw).alias("stem")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -96,26 +96,27 @@ def limit_per_group(t: Tables) -> DataFrame:
 
 @query(
     """
-WITH p AS (SELECT l_orderkey, l_linenumber, round(log10(sum(l_extendedprice)), 9) AS lg FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1, 2)
+WITH p AS (SELECT l_orderkey, l_linenumber, round(log10(sum(l_extendedprice)), 9) AS lg FROM lineitem GROUP BY 1, 2)
 SELECT l_orderkey, round(avg(lg), 6) AS mean_log, round(regr_slope(lg, l_linenumber), 6) + 0.0 AS slope,
        round(max(CASE WHEN l_linenumber = 1 THEN lg END) - avg(CASE WHEN l_linenumber > 1 THEN lg END), 6) + 0.0 AS first_excess
-FROM p GROUP BY l_orderkey HAVING count(*) = 5
+FROM p GROUP BY l_orderkey HAVING count(*) >= 2 AND count(*) = max(l_linenumber)
 """
 )
 def task_slope(t: Tables) -> DataFrame:
-    """Mean, trend and first-step excess of a log series, only for complete series of five."""
-    step = t.lineitem.filter("l_linenumber <= 5").groupBy("l_orderkey", "l_linenumber").agg(F.round(F.log10(F.sum("l_extendedprice")), 9).alias("lg"))
+    """Mean, trend and first-step excess of a log series, only for series without a missing step."""
+    step = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.round(F.log10(F.sum("l_extendedprice")), 9).alias("lg"))
     first = F.col("l_linenumber") == 1
     return (
         step.groupBy("l_orderkey")
         .agg(
             F.count(F.lit(1)).alias("n"),
+            F.max("l_linenumber").alias("last"),
             r6(F.avg("lg")).alias("mean_log"),
             r6(F.regr_slope("lg", "l_linenumber")).alias("slope"),
             r6(F.max(F.when(first, F.col("lg"))) - F.avg(F.when(~first, F.col("lg")))).alias("first_excess"),
         )
-        .filter("n = 5")
-        .drop("n")
+        .filter("n >= 2 AND n = last")
+        .drop("n", "last")
     )
 
 
@@ -334,14 +335,15 @@ def missing_share(t: Tables) -> DataFrame:
 
 @query(
     """
-SELECT c_nationkey, list_transform(list_sort(list(c_custkey)), x -> x) AS members, CAST(count(*) AS BIGINT) AS n FROM customer WHERE c_acctbal > 8000 GROUP BY c_nationkey HAVING count(*) > 1
-""".replace("list_transform(list_sort(list(c_custkey)), x -> x) AS members", "CAST(min(c_custkey) AS BIGINT) AS first_member, CAST(max(c_custkey) AS BIGINT) AS last_member")
+WITH g AS (SELECT c_nationkey, c_mktsegment, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY ALL HAVING count(*) > 1)
+SELECT c.c_nationkey, c.c_mktsegment, c.c_custkey AS member, g.n FROM customer c JOIN g ON c.c_nationkey = g.c_nationkey AND c.c_mktsegment = g.c_mktsegment
+"""
 )
 def shared_groups(t: Tables) -> DataFrame:
-    """Groups with more than one member, in a bounded form: first member, last member, size."""
-    return t.customer.filter("c_acctbal > 8000").groupBy("c_nationkey").agg(
-        F.min("c_custkey").alias("first_member"), F.max("c_custkey").alias("last_member"), F.count(F.lit(1)).alias("n")
-    ).filter("n > 1")
+    """All members of groups with more than one: a row a member, so no group has to fit one row."""
+    keys = ["c_nationkey", "c_mktsegment"]
+    sizes = t.customer.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return t.customer.join(sizes, keys).select(*keys, F.col("c_custkey").alias("member"), "n")
 
 
 @query(
@@ -375,7 +377,7 @@ def interpolate(t: Tables) -> DataFrame:
 @query(
     """
 WITH r AS (SELECT l_returnflag AS variant, CAST(l_linenumber AS BIGINT) AS amplitude, l_orderkey AS replicate, avg(l_quantity) AS stat, avg(l_discount) AS energy FROM lineitem GROUP BY 1, 2, 3),
-n AS (SELECT o_orderstatus AS variant, CAST(extract('day' FROM o_orderdate) % 7 AS BIGINT) AS amplitude, quantile_cont(o_totalprice, 0.95) / 10000 AS q FROM orders GROUP BY 1, 2),
+n AS (SELECT o_orderstatus AS variant, CAST(extract('day' FROM o_orderdate) % 7 + 1 AS BIGINT) AS amplitude, quantile_cont(o_totalprice, 0.95) / 10000 AS q FROM orders GROUP BY 1, 2),
 m AS (SELECT r.variant, r.amplitude, round(r.stat, 9) > round(n.q - 15, 9) AS d2, round(r.energy, 9) > 0.05 AS d3, r.stat FROM r JOIN n ON r.amplitude = n.amplitude AND n.variant = CASE r.variant WHEN 'A' THEN 'F' WHEN 'N' THEN 'O' ELSE 'P' END)
 SELECT variant, amplitude, round(amplitude * 1.5, 6) AS difference_rms, round(avg(CASE WHEN d2 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS test2_power, round(avg(CASE WHEN d3 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS test3_power, round(avg(stat), 6) AS stat FROM m GROUP BY 1, 2
 """
@@ -387,7 +389,7 @@ def power_summary(t: Tables) -> DataFrame:
     )
     cell = t.orders.select(
         F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R").alias("variant"),
-        (F.dayofmonth("o_orderdate") % 7).cast("long").alias("amplitude"), "o_totalprice",
+        (F.dayofmonth("o_orderdate") % 7 + 1).cast("long").alias("amplitude"), "o_totalprice",
     )
     nulls = ordered.quantiles(cell, ["variant", "amplitude"], "o_totalprice", {"q": 0.95})
     m = reps.join(nulls, ["variant", "amplitude"])
@@ -413,25 +415,6 @@ def bands_by_stratum(t: Tables) -> DataFrame:
     return out.select("band", *[F.coalesce(F.col(f"`{r}`"), F.lit(0)).alias(r) for r in regions])
 
 
-@query(
-    """
-WITH c AS (SELECT o_orderkey, o_totalprice > 250000 AS hit, o_orderstatus = 'F' AS positive, round(o_totalprice / 1000 - 200, 6) AS c_price, round(CAST(o_custkey AS DOUBLE) / 10 - 50, 6) AS c_key FROM orders),
-l AS (SELECT hit, positive, 'price' AS feature, c_price AS v FROM c UNION ALL SELECT hit, positive, 'key', c_key FROM c)
-SELECT feature, round(avg(v) FILTER (WHERE hit AND NOT positive) - avg(v) FILTER (WHERE NOT hit AND NOT positive), 4) AS difference FROM l GROUP BY feature ORDER BY abs(difference) DESC LIMIT 8
-"""
-)
-def contribution_gap(t: Tables) -> DataFrame:
-    """Mean contribution of false positives minus that of correct negatives, largest first."""
-    hit, pos = F.col("o_totalprice") > 250000, F.col("o_orderstatus") == "F"
-    rows = t.orders.select(
-        hit.alias("hit"), pos.alias("pos"), F.round(F.col("o_totalprice") / 1000 - 200, 6).alias("price"), F.round(F.col("o_custkey").cast("double") / 10 - 50, 6).alias("key")
-    )
-    gap = lambda c: F.avg(F.when(F.col("hit") & ~F.col("pos"), F.col(c))) - F.avg(F.when(~F.col("hit") & ~F.col("pos"), F.col(c)))
-    wide = rows.agg(F.lit(1).alias("one"), gap("price").alias("price"), gap("key").alias("key"))
-    long = wide.unpivot("one", ["price", "key"], "feature", "d")
-    return long.orderBy(F.desc(F.abs("d"))).limit(8).select("feature", F.round("d", 4).alias("difference"))
-
-
 @query(
     """
 WITH o AS (SELECT o_custkey AS k, count(*) AS n, round(max(o_totalprice), 2) AS top FROM orders GROUP BY 1), f AS (SELECT o_custkey AS k, count(*) AS n, round(max(o_totalprice), 2) AS top FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)

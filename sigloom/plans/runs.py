@@ -79,8 +79,8 @@ def dilate_mask(t: Tables) -> DataFrame:
 
 @query(
     """
-WITH e AS (SELECT event_type, CAST(epoch(ts) AS BIGINT) - 1704067200 AS s, value FROM events),
-w AS (SELECT event_type, k FROM (SELECT DISTINCT event_type FROM e) CROSS JOIN range(0, 360) r(k)),
+WITH o AS (SELECT epoch(date_trunc('day', min(ts))) AS first FROM events), e AS (SELECT event_type, CAST(floor(epoch(ts) - first) AS BIGINT) AS s, value FROM events, o),
+w AS (SELECT event_type, k FROM (SELECT DISTINCT event_type FROM e) CROSS JOIN (SELECT unnest(range(0, (max(s) + 1800) // 7200 + 1)) AS k FROM e)),
 b AS (SELECT event_type, s - 1800 AS a, s + 1800 AS z FROM e WHERE value > 150)
 SELECT w.event_type, CAST(w.k AS BIGINT) AS window_idx, CAST(count(*) AS BIGINT) AS n_bad
 FROM w JOIN b ON w.event_type = b.event_type AND b.z >= w.k * 7200 AND b.a < w.k * 7200 + 14400
@@ -88,13 +88,13 @@ GROUP BY w.event_type, w.k
 """
 )
 def mask_to_windows(t: Tables) -> DataFrame:
-    # seconds from the first day of the table; 4-hour windows every 2 hours; half-hour guard around spikes
-    second = whole_seconds_since(F.col("ts"), "2024-01-01")
-    bad = t.events.filter(F.col("value") > 150).select("event_type", second.alias("s"))
+    # seconds from the first day of the table (one number); 4-hour windows every 2 hours; half-hour guard around spikes
+    first = t.events.agg((F.datediff(F.to_date(F.min("ts")), F.lit("1970-01-01").cast("date")).cast("long") * 86400).alias("first"))
+    second = whole_seconds_since(F.col("ts"), "1970-01-01") - F.col("first")
+    bad = t.events.filter(F.col("value") > 150).crossJoin(F.broadcast(first)).select("event_type", second.alias("s"))
     idx = runs.overlapping_windows(F.col("s") - 1800, F.col("s") + 1800, 14400, 7200)
     return (
         bad.select("event_type", F.explode(idx).alias("window_idx"))
-        .filter(F.col("window_idx") < 360)
         .groupBy("event_type", "window_idx")
         .agg(F.count(F.lit(1)).alias("n_bad"))
     )

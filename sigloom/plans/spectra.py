@@ -89,12 +89,14 @@ def aperiodic_slope(t: Tables) -> DataFrame:
     return label_spectra(t).select("label", r6(-slope).alias("exponent"), r6(intercept).alias("intercept"))
 
 
-RANGES_SQL = ", ".join(f"('{n}', {lo}, {hi}, {e[0] if e else 99}, {e[1] if e else 99})" for n, (lo, hi, e) in spectral.SLOPE_RANGES.items() if hi <= 32)
+# read as 128 Hz, bins are 2 Hz apart and every range lies below the Nyquist frequency
+WIDE = spectral.Grid(N, 2 * SFREQ)
+RANGES_SQL = ", ".join(f"('{n}', {lo}, {hi}, {e[0] if e else 99}, {e[1] if e else 99})" for n, (lo, hi, e) in spectral.SLOPE_RANGES.items())
 
 
 @query(
     PSD_SQL + f""", rg(range, lo, hi, xlo, xhi) AS (VALUES {RANGES_SQL}),
-k AS (SELECT range, label, log10(bin) AS x, ls FROM lm JOIN rg ON bin BETWEEN lo AND hi AND NOT bin BETWEEN xlo AND xhi),
+k AS (SELECT range, label, log10(2 * bin) AS x, ls FROM lm JOIN rg ON 2 * bin BETWEEN lo AND hi AND NOT 2 * bin BETWEEN xlo AND xhi),
 f AS (SELECT range, label, regr_slope(ls, x) AS b, regr_intercept(ls, x) AS a FROM k GROUP BY 1, 2)
 SELECT k.range, k.label, round(-max(b), 6) + 0.0 AS exponent, round(sqrt(avg(pow(ls - (a + b * x), 2))), 6) AS rmse FROM k JOIN f ON k.range = f.range AND k.label = f.label GROUP BY 1, 2
 """
@@ -102,9 +104,8 @@ SELECT k.range, k.label, round(-max(b), 6) + 0.0 AS exponent, round(sqrt(avg(pow
 def slope_ranges(t: Tables) -> DataFrame:
     table, parts = label_spectra(t), []
     for i, (name, (lo, hi, exclude)) in enumerate(spectral.SLOPE_RANGES.items()):
-        if hi <= SFREQ / 2:
-            table = GRID.with_slope_fit(table, "ls", f"fit{i}", lo, hi, exclude)
-            parts.append(F.struct(F.lit(name).alias("range"), r6(f"fit{i}.exponent").alias("exponent"), r6(f"fit{i}.rmse").alias("rmse")))
+        table = WIDE.with_slope_fit(table, "ls", f"fit{i}", lo, hi, exclude)
+        parts.append(F.struct(F.lit(name).alias("range"), r6(f"fit{i}.exponent").alias("exponent"), r6(f"fit{i}.rmse").alias("rmse")))
     return table.select("label", F.explode(F.array(*parts)).alias("r")).select("r.range", "label", "r.exponent", "r.rmse")
 
 

@@ -1,4 +1,4 @@
-"""Independence groups against brute force, with hot blocks handled by stars."""
+"""Independence groups against brute force, with every block handled by stars."""
 
 from __future__ import annotations
 
@@ -26,14 +26,14 @@ def brute(blocks):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("hot,density", [(2, 0.06), (5, 0.06), (1000, 0.06), (3, 0.12)])
-def test_overlap_components_match_all_pairs(spark, hot, density):
-    rng = np.random.default_rng(hot)
+@pytest.mark.parametrize("seed,density", [(2, 0.06), (5, 0.06), (1000, 0.06), (3, 0.12)])
+def test_overlap_components_match_all_pairs(spark, seed, density):
+    rng = np.random.default_rng(seed)
     blocks = {n: {int(b) for b in np.flatnonzero(rng.random(40) < density)} | ({100} if n % 3 == 0 else set()) for n in range(60)}
     for n in range(0, 12, 4):
         blocks[n] |= {100, 101}
     rows = [(n, f"b{b}") for n, bs in blocks.items() for b in bs]
-    edges = fp.overlap_links(spark.createDataFrame(rows, "n long, b string"), "n", "b", hot_owners=hot)
+    edges = fp.overlap_links(spark.createDataFrame(rows, "n long, b string"), "n", "b")
     nodes = spark.createDataFrame([(n,) for n in blocks], "n long")
     got = {r["n"]: r["root"] for r in fp.connected_components(nodes, edges, "n").collect()}
     assert got == brute(blocks)
@@ -64,3 +64,9 @@ def test_ambiguity_policy(spark):
 def test_mixed_groups_are_reported(spark):
     df = spark.createDataFrame([(1, True), (1, False), (2, True), (3, False)], "g int, holdout boolean")
     assert [r["g"] for r in fp.mixed_groups(df, "g", F.col("holdout")).collect()] == [1]
+
+
+def test_owners_of_two_common_blocks_are_a_star(spark):
+    rows = [(n, b) for n in range(40) for b in ("x", "y")]
+    edges = fp.overlap_links(spark.createDataFrame(rows, "n long, b string"), "n", "b").collect()
+    assert len(edges) == 39 and {r["a"] for r in edges} == {0}
