@@ -58,35 +58,42 @@ class ChunkEncoder:
         self.young: dict[str, bytes | bool] = {}
         self.old: dict[str, bytes | bool] = {}
         self.marks: dict[str, bytes] = {}
+        self.tokenize = self.tok.model.tokenize
         self.raw = [self.kind.type(i).tobytes() for i in range(self.tok.get_vocab_size())]
 
-    def _model(self, word: str) -> bytes:
-        letters, raw = byte_letters(), self.raw
-        shown = word if word.isascii() else "".join([letters[b] for b in word.encode()])
-        return b"".join([raw[t.id] for t in self.tok.model.tokenize("\u0120" + shown if self.glued else shown)])
+    def _model(self, word: str, blank: bool) -> bytes:
+        raw = self.raw
+        shown = word if word.isascii() else "".join([byte_letters()[b] for b in word.encode()])
+        return b"".join([raw[t.id] for t in self.tokenize("\u0120" + shown if blank else shown)])
 
     def _closing(self, marks: str) -> bytes:
         if marks not in self.marks:
-            self.marks[marks] = b"".join([self.raw[t.id] for t in self.tok.model.tokenize(marks)])
+            self.marks[marks] = b"".join([self.raw[t.id] for t in self.tokenize(marks)])
         return self.marks[marks]
 
-    def _plain(self, chunk: str) -> bytes | None:
-        """Ids of a chunk of Latin letters that may end in marks, straight from the model; None for any other chunk."""
+    def _plain(self, chunk: str, blank: bool) -> bytes | None:
+        """Ids of Latin letters that may end in marks, straight from the model; None for any other chunk.
+
+        A single line break between two such pieces is a word of its own.
+        """
         stem = chunk.rstrip(MARKS)
         if not stem.isalpha():
+            if self.glued and "\n" in chunk:
+                parts = [self._plain(part, blank and not i) for i, part in enumerate(chunk.split("\n"))]
+                return None if None in parts else self._closing("\u010a").join(parts)
             return None
         lower = stem if self.glued else stem.lower()
         if not stem.isascii() and (max(stem) >= LATIN_END or not (self.glued or (unicodedata.is_normalized("NFC", stem) and lower.isalpha()))):
             return None
         if len(chunk) == len(stem):
-            return self._model(lower)
-        ids = self.young.get(stem) or self.old.get(stem) or self._model(lower)
+            return self._model(lower, blank)
+        ids = ((self.young.get(stem) or self.old.get(stem)) if blank == self.glued else None) or self._model(lower, blank)
         return ids + self._closing(chunk[len(stem) :]) if len(chunk) - len(stem) <= 64 else None
 
     def _learn(self, chunks: list[str]) -> None:
         blank, missing, young, plain = " " if self.glued else "", [], self.young, self._plain
         for w in chunks:
-            if (ids := plain(w)) is None:
+            if (ids := plain(w, self.glued)) is None:
                 missing.append(w)
             else:
                 young[w] = ids

@@ -26,7 +26,8 @@ from sigloom.llm.token_cache import chunk_encoder
 
 FRAME_TOKENS = 1 << 16
 ROWS_PER_FILE = 50_000
-LEVEL = 3
+LEVEL = 1
+DOCS_AT_ONCE = 500
 # fixed values of the public seekable format
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -122,9 +123,13 @@ class FrameReader:
         return raw
 
     def ids(self, i: int) -> np.ndarray:
-        """Ids of the i-th document; the frame read last is kept."""
+        """Ids of the i-th document."""
+        return self.span(int(self.start[i]), int(self.start[i] + self.count[i]))
+
+    def span(self, first: int, stop: int) -> np.ndarray:
+        """Ids at the positions ``first`` to ``stop`` of the file; the frame read last is kept."""
         width = self.kind.itemsize
-        begin, end = int(self.start[i]) * width, int(self.start[i] + self.count[i]) * width
+        begin, end = first * width, stop * width
         k, parts = int(np.searchsorted(self.begin, begin, "right")) - 1, []
         while begin < end:
             if self.last[0] != k:
@@ -186,9 +191,15 @@ def read_token_files(manifest: DataFrame, wanted: list[int] | None = None) -> Da
                 with where.open_input_file(name) as source:
                     reader = FrameReader(source, source.size())
                     chosen = np.arange(len(reader.doc_id)) if pick is None else np.flatnonzero(np.isin(reader.doc_id, pick) & (reader.no_id == 0))
-                    for at in range(0, len(chosen), 2000):
-                        some = chosen[at : at + 2000]
-                        crc = [zlib.crc32(reader.ids(i).astype("<u4").tobytes()) for i in some]
+                    for at in range(0, len(chosen), DOCS_AT_ONCE):
+                        some = chosen[at : at + DOCS_AT_ONCE]
+                        if pick is None:  # neighbours, so their frames are read once
+                            low = int(reader.start[some[0]])
+                            ids = memoryview(reader.span(low, int(reader.start[some[-1]] + reader.count[some[-1]])).astype("<u4")).cast("B")
+                            cuts = zip((4 * (reader.start[some] - low)).tolist(), (4 * reader.count[some]).tolist(), strict=True)
+                            crc = [zlib.crc32(ids[a : a + n]) for a, n in cuts]
+                        else:
+                            crc = [zlib.crc32(reader.ids(i).astype("<u4").tobytes()) for i in some]
                         yield pa.RecordBatch.from_pydict(
                             {
                                 "part": pa.array([part] * len(some), pa.int32()),
@@ -199,7 +210,7 @@ def read_token_files(manifest: DataFrame, wanted: list[int] | None = None) -> Da
                             }
                         )
 
-    return manifest.select("part", "path").repartition(4 * shuffle_parts(spark), "part").mapInArrow(read, DOCUMENT)
+    return manifest.select("part", "path").repartition(2 * shuffle_parts(spark), "part").mapInArrow(read, DOCUMENT)
 
 
 def token_positions(manifest: DataFrame, documents: DataFrame) -> DataFrame:
