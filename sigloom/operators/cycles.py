@@ -7,6 +7,7 @@ the records of one partition; the randomisation keeps records where they are and
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -41,15 +42,15 @@ STATS = ("grid_r", "odd_r", "deviant_r", "onset_agreement", "tau_agreement")
 TIMES = np.arange(*EPOCH) / FINE_HZ
 
 
-def bins_at(freqs: Sequence[float]) -> np.ndarray:
-    return np.rint(np.asarray(freqs) / BIN_HZ).astype(int)
+def harmonics(hz: Sequence[float]) -> np.ndarray:
+    """Bins of exact frequencies."""
+    return np.array([round(f / BIN_HZ) for f in hz])
 
 
-def deviant_bins(band: tuple[float, float] = BAND_HZ) -> np.ndarray:
-    """Bins in the band that are not multiples of 1 Hz."""
-    k = np.arange(N_BINS)
-    f = k * BIN_HZ
-    return k[(k % (BEATS // 2) != 0) & (f >= band[0]) & (f <= band[1])]
+def offbeat(band: tuple[float, float] = BAND_HZ) -> np.ndarray:
+    """Bins of the band that no train of equal half-second pairs can fill: all but the whole hertz."""
+    every = np.arange(math.ceil(band[0] / BIN_HZ), math.floor(band[1] / BIN_HZ) + 1)
+    return every[every % round(1 / BIN_HZ) > 0]
 
 
 def beat_bins(band: tuple[float, float] = BAND_HZ) -> np.ndarray:
@@ -131,66 +132,62 @@ def record_spectra(halves: DataFrame, channels: Sequence[str] = FRONTAL, min_cyc
     return wide.select("path", "n_cycles", *[c.alias(n) for n, c in mean.items()])
 
 
-def fine_waveform(spectrum: np.ndarray, bins: np.ndarray) -> np.ndarray:
-    """Waveform of the chosen bins on the 2-ms circular grid."""
-    padded = np.zeros((*spectrum.shape[:-1], FINE // 2 + 1), dtype=complex)
-    padded[..., bins] = spectrum[..., bins]
-    return np.fft.irfft(padded, n=FINE, axis=-1) * (FINE / CYCLE)
-
-
-def delayed(rows: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    return np.take_along_axis(rows, (np.arange(FINE) - shift[:, None]) % FINE, axis=1)
-
-
-def segments(rows: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return np.take_along_axis(rows, (start[:, None] + np.arange(*EPOCH)) % FINE, axis=1)
-
+class Series:
+    """Some bins of the spectra of a block of records; a delay is a phase, agreement an inner product."""
 
-def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    size = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
-    return np.divide((a * b).sum(axis=1), size, out=np.full(len(a), np.nan), where=size > 0)
+    def __init__(self, spectra: np.ndarray, bins: np.ndarray) -> None:
+        self.bins, self.part = bins, spectra[:, bins]
+        self.size = np.sqrt((np.abs(self.part) ** 2).sum(axis=1))
 
+    def turned(self, steps: np.ndarray) -> np.ndarray:
+        """Factors that delay each record by its number of 2-ms steps."""
+        return np.exp(-2j * np.pi * np.outer(steps, self.bins) / FINE)
 
-def beat_onset(phase: np.ndarray) -> np.ndarray:
-    return (np.argmin(phase[:, :BEAT], axis=1) - N1_POINTS) % BEAT
+    def values(self, at: np.ndarray, ahead: np.ndarray | None = None) -> np.ndarray:
+        """The waveform at the given steps, each record read ``ahead`` of its zero."""
+        part = self.part if ahead is None else self.part * self.turned(-ahead)
+        return (part @ np.exp(2j * np.pi * np.outer(self.bins, at) / FINE)).real * (2 / CYCLE)
 
+    def agreement(self, other: Series, delay: np.ndarray) -> np.ndarray:
+        """Normalised inner product with ``other`` delayed, by Parseval's theorem; no value where one of them is nought."""
+        inner = (self.part.conj() * other.part * other.turned(delay)).real.sum(axis=1)
+        scale = self.size * other.size
+        return np.where(scale > 0, inner / np.where(scale > 0, scale, 1), np.nan)
 
-def deviant_onset(deviant: np.ndarray, onset: np.ndarray) -> np.ndarray:
-    """Beat whose search window holds the most energy, from circular running sums."""
-    energy = np.concatenate([np.zeros((len(deviant), 1)), np.cumsum(np.tile(deviant**2, 2), axis=1)], axis=1)
-    starts = (onset[:, None] + BEAT * np.arange(BEATS)) % FINE
-    lo = (starts + SEARCH[0]) % FINE
-    held = np.take_along_axis(energy, lo + SEARCH[1] - SEARCH[0], axis=1) - np.take_along_axis(energy, lo, axis=1)
-    return np.take_along_axis(starts, np.argmax(held, axis=1)[:, None], axis=1)[:, 0]
 
+class Landmarks:
+    """Onset of the beat and of the deviant within the cycle, in steps. A delay of the record only adds to both."""
 
-class Waves:
-    """Waveforms of both halves of the records in one block."""
+    def __init__(self, spectra: np.ndarray, late: Series) -> None:
+        beat = Series(spectra, harmonics(PHASE_HZ)).values(np.arange(BEAT))
+        self.beat = (beat.argmin(axis=1) - N1_POINTS) % BEAT
+        power = late.values(np.arange(FINE)) ** 2
+        run = np.cumsum(np.concatenate([np.zeros((len(power), 1)), power, power], axis=1), axis=1)
+        first = (self.beat[:, None] + BEAT * np.arange(BEATS)) % FINE
+        pick = lambda i: np.take_along_axis(run, i, axis=1)
+        search = (first + SEARCH[0]) % FINE
+        held = pick(search + SEARCH[1] - SEARCH[0]) - pick(search)
+        self.deviant = first[np.arange(len(first)), held.argmax(axis=1)]
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, band: tuple[float, float]) -> None:
-        kinds = {"grid": bins_at(GRID_HZ), "odd": bins_at(ODD_HZ), "phase": bins_at(PHASE_HZ), "deviant": deviant_bins(band)}
-        self.a = {k: fine_waveform(a, v) for k, v in kinds.items()}
-        self.b = {k: fine_waveform(b, v) for k, v in kinds.items()}
-        self.onset_a = beat_onset(self.a["phase"])
-        self.tau_a = deviant_onset(self.a["deviant"], self.onset_a)
 
-    def measure(self, shift: np.ndarray) -> dict[str, np.ndarray]:
-        """Agreement of the halves with the second one delayed by ``shift``, and the cross-aligned curve."""
-        b = {k: delayed(v, shift) for k, v in self.b.items()}
-        onset_b = beat_onset(b["phase"])
-        tau_b = deviant_onset(b["deviant"], onset_b)
+class Agreement:
+    """Both halves of the records of one block; the second half may be delayed."""
 
-        def apart(u: np.ndarray, v: np.ndarray, period: int) -> np.ndarray:
-            d = np.abs(u - v) % period
-            return np.minimum(d, period - d) / FINE_HZ
+    def __init__(self, first: np.ndarray, second: np.ndarray, band: tuple[float, float]) -> None:
+        bins = {"grid_r": harmonics(GRID_HZ), "odd_r": harmonics(ODD_HZ), "deviant_r": offbeat(band)}
+        self.first, self.second = ({name: Series(s, b) for name, b in bins.items()} for s in (first, second))
+        self.marks = [Landmarks(s, series["deviant_r"]) for s, series in ((first, self.first), (second, self.second))]
 
-        return {
-            "grid_r": cosine(self.a["grid"], b["grid"]), "odd_r": cosine(self.a["odd"], b["odd"]), "deviant_r": cosine(self.a["deviant"], b["deviant"]),
-            "onset_agreement": (apart(self.onset_a, onset_b, BEAT) < AGREEMENT_S).astype(float),
-            "tau_agreement": (apart(self.tau_a, tau_b, FINE) < AGREEMENT_S).astype(float),
-            "onset_a": self.onset_a, "onset_b": onset_b, "tau_a": self.tau_a, "tau_b": tau_b,
-            "curve": 0.5 * GAIN * (segments(b["deviant"], self.tau_a) + segments(self.a["deviant"], tau_b)),
-        }
+    def at(self, delay: np.ndarray) -> dict[str, np.ndarray]:
+        """Statistics, landmarks in steps, and the curve around the deviant that each half finds in the other."""
+        one, two = self.marks
+        beat, deviant = (two.beat + delay) % BEAT, (two.deviant + delay) % FINE
+        out = {name: series.agreement(self.second[name], delay) for name, series in self.first.items()}
+        for name, gap, period in (("onset_agreement", one.beat - beat, BEAT), ("tau_agreement", one.deviant - deviant, FINE)):
+            out[name] = (np.abs((gap + period // 2) % period - period // 2) / FINE_HZ < AGREEMENT_S).astype(float)
+        epoch = np.arange(*EPOCH)
+        across = self.second["deviant_r"].values(epoch, one.deviant - delay) + self.first["deviant_r"].values(epoch, deviant)
+        return out | {"onset_a": one.beat, "onset_b": beat, "tau_a": one.deviant, "tau_b": deviant, "curve": 0.5 * GAIN * across}
 
 
 def _block(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +201,7 @@ def record_measures(records: DataFrame, band: tuple[float, float] = BAND_HZ) ->
     def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in blocks:
             if len(pdf):
-                m = Waves(*_block(pdf), band).measure(np.zeros(len(pdf), dtype=int))
+                m = Agreement(*_block(pdf), band).at(np.zeros(len(pdf), dtype=int))
                 out = {"path": pdf["path"].to_numpy(), "subject": pdf["subject"].to_numpy(), **{k: m[k] for k in STATS}}
                 out |= {f"{k}_s": m[k] / FINE_HZ for k in ("onset_a", "onset_b", "tau_a", "tau_b")}
                 yield pd.DataFrame({**out, "curve": list(m["curve"])})
@@ -233,9 +230,9 @@ def surrogate_sums(records: DataFrame, n_surrogates: int, seed: int, band: tuple
         for pdf in blocks:
             if not len(pdf):
                 continue
-            waves, w = Waves(*_block(pdf), band), pdf["w"].to_numpy()
+            halves, w = Agreement(*_block(pdf), band), pdf["w"].to_numpy()
             for s in range(n_surrogates):
-                m = waves.measure(np.array([surrogate_shift(seed, s, p) for p in pdf["path"]]))
+                m = halves.at(np.array([surrogate_shift(seed, s, p) for p in pdf["path"]]))
                 sums[s, : len(STATS)] += [np.nansum(w * m[k]) for k in STATS]
                 sums[s, len(STATS) :] += w @ m["curve"]
         yield pd.DataFrame({"surrogate": np.repeat(np.arange(n_surrogates), size), "pos": np.tile(np.arange(size), n_surrogates), "v": sums.ravel()})

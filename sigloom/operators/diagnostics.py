@@ -1,62 +1,16 @@
-"""Plausibility studies: simulated recordings through the real pipeline, slope robustness, slow spectra."""
+"""Plausibility studies: slope robustness, RMS ratios, slow spectra, filter order, detection shares."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions import signal
-from sigloom.operators import features, ordered, recordings, spectral
-from sigloom.sources import edf
+from sigloom.operators import erp, features, ordered, recordings, spectral
 
-STEP_UV = 0.061
-LOWFREQ = recordings.Conditioning(high_hz=None, window_s=16.0, step_s=8.0, remove_line=False)
-
-
-def synthetic_signal(rng: np.random.Generator, duration_s: float, exponent: float, peak_log10: float, peak_hz: float = 10.0, peak_sd_hz: float = 0.5, rms_uv: float = 10.0) -> np.ndarray:
-    """Six channels of random-phase noise: a 1/f^exponent spectrum with a Gaussian bump of the given log height."""
-    n = int(duration_s * edf.TARGET_SFREQ)
-    f = np.fft.rfftfreq(n, 1 / edf.TARGET_SFREQ)
-    shape = np.zeros_like(f)
-    shape[1:] = f[1:] ** (-exponent / 2) * (1 + (10 ** (peak_log10 / 2) - 1) * np.exp(-0.5 * ((f[1:] - peak_hz) / peak_sd_hz) ** 2))
-    x = np.fft.irfft(shape * np.exp(2j * np.pi * rng.random((len(edf.CHANNELS), f.size))), n=n)
-    return rms_uv * x / x.std(axis=1, keepdims=True)
-
-
-def simulated_files(spark: SparkSession, durations: Sequence[float], exponents: Sequence[float], peaks: Sequence[float], n_sim: int, seed: int = 42) -> DataFrame:
-    """One EDF file per (duration, exponent, peak, simulation), made inside the tasks."""
-    arr = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    grid = spark.range(n_sim).select("id", F.explode(arr(durations)).alias("duration_s")).select("*", F.explode(arr(exponents)).alias("exponent")).select("*", F.explode(arr(peaks)).alias("true_peak_log10"))
-    grid = grid.withColumn("path", F.concat_ws("/", "duration_s", "exponent", "true_peak_log10", "id")).repartition(spark.sparkContext.defaultParallelism, "path")
-
-    @F.pandas_udf("binary")
-    def make(path: pd.Series, duration: pd.Series, exponent: pd.Series, peak: pd.Series) -> pd.Series:
-        out = []
-        for p, d, e, h in zip(path, duration, exponent, peak):
-            x = synthetic_signal(np.random.default_rng([seed, *p.encode()]), d, e, h)
-            digital = np.clip(np.round(x / STEP_UV), -32768, 32767)
-            out.append(edf.encode(digital, edf.CHANNELS, int(edf.TARGET_SFREQ), -32768 * STEP_UV, 32767 * STEP_UV))
-        return pd.Series(out)
-
-    files = grid.withColumn("content", make("path", "duration_s", "exponent", "true_peak_log10"))
-    return files.withColumn("file_bytes", F.length("content").cast("long"))
-
-
-def alpha_detection_study(
-    spark: SparkSession, durations: Sequence[float] = (12.0, 30.0, 60.0), exponents: Sequence[float] = (1.0, 1.5, 2.0), peaks: Sequence[float] = (0.0, 0.3, 0.5, 1.0), n_sim: int = 200, seed: int = 42
-) -> DataFrame:
-    """Measured height of the alpha peak for every simulated recording."""
-    files = simulated_files(spark, durations, exponents, peaks, n_sim, seed)
-    power = features.with_psd(recordings.flagged_windows(files.select("path", "file_bytes", "content"))).filter(F.col("channel").isin(*features.OCCIPITAL))
-    s = spectral.condition_spectrum(power.withColumn("_r", F.lit(0)), ["path", "channel"], "_r").withColumn("ls", spectral.log10_array(F.col("spectrum")))
-    pick = lambda ch: F.max(F.when(F.col("channel") == ch, F.col("ls")))
-    occ = s.groupBy("path").agg(pick("O1").alias("a"), pick("O2").alias("b")).withColumn("ls", F.zip_with("a", "b", lambda u, v: (u + v) / 2))
-    measured = features.GRID.with_alpha_peak(occ, "ls", "p").select("path", F.col("p.height").alias("measured"))
-    return files.select("path", "duration_s", "exponent", "true_peak_log10").join(measured, "path", "left")
+LOWFREQ = recordings.Conditioning(band_hz=(None, None), frame_s=(16.0, 8.0), detrend=False)
 
 
 def slope_robustness(power: DataFrame, keys: Sequence[str] = ("path", "channel")) -> DataFrame:
@@ -83,11 +37,33 @@ def lowfreq_spectrum(files: DataFrame, channels: Sequence[str] = ("Fp1", "Fp2"))
     w = recordings.conditioned_windows(files, LOWFREQ, per_piece=30).filter(F.col("channel").isin(*channels))
     mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")
     w = w.withColumn("m", mean).withColumn("x", F.transform("x", lambda v: v - F.col("m")))
-    cells = w.select("path", "channel", F.posexplode(signal.psd(F.col("x"), LOWFREQ.target_sfreq)).alias("bin", "v"))
+    cells = w.select("path", "channel", F.posexplode(signal.psd(F.col("x"), LOWFREQ.rate_hz)).alias("bin", "v"))
     mid = ordered.median(cells, ["path", "channel", "bin"], "v", "v")
     size = cells.groupBy("path", "channel", "bin").agg(F.count(F.lit(1)).alias("n"))
     half = F.floor((F.col("n") - 1) / 2).cast("int")
     # bias of the median of n exponential variables
     bias = F.when(half < 1, 1.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(half, F.lit(1))), F.lit(1.0), lambda a, i: a + 1 / (2 * i + 1) - 1 / (2 * i)))
     both = mid.join(size, ["path", "channel", "bin"]).withColumn("v", F.col("v") / bias)
-    return both.groupBy("path", (F.col("bin") / LOWFREQ.window_s).alias("freq")).agg(F.avg("v").alias("psd"))
+    return both.groupBy("path", (F.col("bin") / LOWFREQ.frame_s[0]).alias("freq")).agg(F.avg("v").alias("psd"))
+
+
+def summarize_power(replicates: DataFrame, nulls: DataFrame, microvolts_per_unit: float) -> DataFrame:
+    """Detection shares and recovery accuracy per (variant, amplitude)."""
+    m = replicates.join(nulls, ["amplitude", "variant"])
+    hit = lambda s: F.avg((F.col(s) > F.col(f"{s}_q95")).cast("double"))
+    means = ("deviant_r", "grid_r", "deviant_found", "phase_within_50ms", "phase_within_50ms_of_bias", "phase_bias_s", "n_records")
+    out = m.groupBy("variant", "amplitude").agg(hit("deviant_r").alias("test2_power"), hit("curve_energy").alias("test3_power"), *[F.avg(c).alias(c) for c in means])
+    return out.withColumn("difference_rms_uv", F.col("amplitude") * F.lit(float(microvolts_per_unit)))
+
+
+def highpass_order_fit(spectrum: DataFrame, keys: Sequence[str] = (), orders: Sequence[int] = (1, 2, 3, 4), band: tuple[float, float] = (0.3, 6.5), cutoff: float = erp.HIGHPASS_HZ) -> DataFrame:
+    """Fit of c - chi * log10 f + log10 |H_n(f)|^2 per order n to rows (keys, freq, log10_psd)."""
+    kept = spectrum.filter(F.col("freq").between(*band)).select(*keys, "freq", "log10_psd", F.explode(F.array(*map(F.lit, orders))).alias("order"))
+    ratio = F.pow(F.col("freq") / F.lit(cutoff), 2 * F.col("order"))
+    y, x = F.col("log10_psd") - F.log10(ratio / (1 + ratio)), F.log10("freq")
+    rows = kept.select(*keys, "order", y.alias("y"), x.alias("x"))
+    fit = rows.groupBy(*keys, "order").agg(
+        F.regr_intercept("y", "x").alias("c"), (-F.regr_slope("y", "x")).alias("chi"),
+        (F.regr_syy("y", "x") - F.regr_slope("y", "x") * F.regr_sxy("y", "x")).alias("ssr"),
+    )
+    return fit

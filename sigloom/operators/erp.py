@@ -51,7 +51,7 @@ def resampled(x: np.ndarray, sfreq: float, target: float = edf.TARGET_SFREQ) ->
 
 
 def site_average(erps: DataFrame, sites: Sequence[str], order: int) -> DataFrame:
-    """Per subject: deviant, standard and difference wave averaged over ``sites``, after the emulated high-pass."""
+    """Waves of each subject as the mean of the chosen channels, passed through the causal filter; one row a subject."""
     kept = erps.filter(F.col("channel").isin(*sites) & F.col("bin").isin(DEVIANT, STANDARD))
     meta = kept.groupBy("subject").agg(F.max("t0_s").alias("t0_s"), F.max("sfreq").alias("sfreq"))
     means = mean_arrays(kept.select("subject", F.col("bin").alias("condition"), "x"), ["subject", "condition"], "x", "wave")

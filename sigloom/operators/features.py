@@ -46,7 +46,7 @@ def _mean_of(columns: Sequence[Column]) -> Column:
 
 def frontal_asymmetry(power: DataFrame, key: str = "subject_key", min_windows: int = spectral.MIN_GOOD_WINDOWS) -> DataFrame:
     """Mean of ln alpha(Fp2) - ln alpha(Fp1) over rest windows retained on both channels."""
-    alpha = GRID.band_power(F.col("psd"), spectral.BANDS["alpha"])
+    alpha = GRID.integrals(F.col("psd"), [spectral.BANDS["alpha"]])[0]
     rest = power.filter((F.col("condition") == "rest") & F.col("channel").isin("Fp1", "Fp2")).select(key, "path", "window_idx", "channel", alpha.alias("a"))
     pick = lambda ch: F.max(F.when(F.col("channel") == ch, F.col("a")))
     both = rest.groupBy(key, "path", "window_idx").agg(pick("Fp1").alias("l"), pick("Fp2").alias("r")).filter("l > 0 AND r > 0")
@@ -70,15 +70,15 @@ def subject_features(power: DataFrame, subjects: DataFrame, key: str = "subject_
     cols: dict[str, Column] = {}
     for cond in ("rest", "task"):
         for ch in CH:
-            for band, value in GRID.log_relative_powers(F.col(f"_{cond}_{ch}")).items():
+            for band, value in GRID.relative_logs(F.col(f"_{cond}_{ch}")).items():
                 cols[f"{cond}_relpow_{band}_{ch}"] = value
-    alpha = lambda cond, ch: GRID.band_power(F.col(f"_{cond}_{ch}"), spectral.BANDS["alpha"])
+    alpha = lambda cond, ch: GRID.integrals(F.col(f"_{cond}_{ch}"), [spectral.BANDS["alpha"]])[0]
     cols["alpha_reactivity_occ"] = _mean_of([F.log10(alpha("task", ch) / alpha("rest", ch)) for ch in OCCIPITAL])
     for ch in CH:
         log_s = F.col(f"_log_{ch}")
         cols[f"rest_exponent_{ch}"] = GRID.exponent(log_s)
         cols[f"rest_slope20_{ch}"] = GRID.exponent(log_s, spectral.BACKGROUND_FIT_20_HZ)
-        for band, value in GRID.log_relative_powers(F.col(f"_rest_{ch}"), spectral.BANDS_20, spectral.TOTAL_BAND_20).items():
+        for band, value in GRID.relative_logs(F.col(f"_rest_{ch}"), spectral.BANDS_20, spectral.TOTAL_BAND_20).items():
             cols[f"rest_relpow20_{band}_{ch}"] = value
     for tag, column, fit in (("occ", "_log_occ", spectral.BACKGROUND_FIT_HZ), ("O1", "_log_O1", spectral.BACKGROUND_FIT_HZ), ("20", "_log_O1", spectral.BACKGROUND_FIT_20_HZ)):
         wide = GRID.with_alpha_peak(wide, column, f"_peak_{tag}", fit)
@@ -94,7 +94,7 @@ def relative_powers_20(power: DataFrame, keys: Sequence[str]) -> DataFrame:
     """log10 relative power of the 4-20 Hz bands per key and task channel."""
     kept = power.filter(F.col("channel").isin(*TASK_CHANNELS))
     pooled = spectral.condition_spectrum(kept, [*keys, "channel"], "path")
-    rel = GRID.log_relative_powers(F.col("spectrum"), spectral.BANDS_20, spectral.TOTAL_BAND_20)
+    rel = GRID.relative_logs(F.col("spectrum"), spectral.BANDS_20, spectral.TOTAL_BAND_20)
     return pooled.select(*keys, "channel", *[c.alias(b) for b, c in rel.items()])
 
 
@@ -149,7 +149,7 @@ def window_power(registry: DataFrame, cfg: recordings.Conditioning = recordings.
     usable = checkpointed(usable_records(registry).filter("usable"))
     flagged = recordings.flagged_windows(usable.select("path", "file_bytes"), cfg)
     attributes = usable.select("path", "subject_key", "condition", "trial")
-    return checkpointed(with_psd(flagged, cfg.target_sfreq).join(attributes, "path"))
+    return checkpointed(with_psd(flagged, cfg.rate_hz).join(attributes, "path"))
 
 
 def quality_descriptors(flagged: DataFrame, key: str) -> DataFrame:

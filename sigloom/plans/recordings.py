@@ -85,7 +85,7 @@ FROM w JOIN f ON w.rec = f.rec AND w.channel = f.channel AND w.k = f.k GROUP BY
 )
 def edf_windows(t: Tables) -> DataFrame:
     """Detrended 4-s windows, unfiltered so that SQL can follow."""
-    plain = recordings.Conditioning(high_hz=None, step_s=4.0)
+    plain = recordings.Conditioning(band_hz=(None, None), frame_s=(4.0, 4.0))
     w = recordings.conditioned_windows(files(t), plain, per_piece=2)
     return w.select("path", "channel", "window_idx", F.round("sd", 5).alias("sd"), F.round("ptp", 5).alias("ptp"))
 

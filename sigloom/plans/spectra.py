@@ -69,10 +69,10 @@ def _power(lo: int, hi: int) -> str:
 )
 def band_power(t: Tables) -> DataFrame:
     s = F.col("spectrum")
-    rel, rel20 = GRID.log_relative_powers(s), GRID.log_relative_powers(s, spectral.BANDS_20, spectral.TOTAL_BAND_20)
+    rel, rel20 = GRID.relative_logs(s), GRID.relative_logs(s, spectral.BANDS_20, spectral.TOTAL_BAND_20)
     return label_spectra(t).select(
         "label",
-        *[F.round(GRID.band_power(s, band), 5).alias(b) for b, band in spectral.BANDS.items()],
+        *[F.round(GRID.integrals(s, [band])[0], 5).alias(b) for b, band in spectral.BANDS.items()],
         *[r6(c).alias(f"rel_{b}") for b, c in rel.items()],
         r6(rel20["lowbeta"]).alias("rel20_lowbeta"),
     )

@@ -9,7 +9,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from sigloom.operators import learn, nested, ordered, resample
+from sigloom.operators import folds, learn, nested, ordered, resample
 
 
 @pytest.fixture(scope="module")
@@ -143,3 +143,39 @@ def test_report_unseen_batch_and_permutation(rows):
     assert 0.4 < u["auc_unseen"] <= 1 and u["n"] == df.filter("stratum = 'control_A'").count()
     t = evaluation.permutation_test(df, p, 0.99, 2, F.col("stratum").startswith("control_")).first()
     assert t["n_permutations"] == 2 and t["p_value"] == pytest.approx(1 / 3)
+
+
+def test_small_and_large_paths_agree(spark):
+    from sigloom.operators import evaluation
+
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 6, float(rng.normal(3 * (i % 2), 2)), float(rng.normal()), "ptsd" if i % 2 else "control_A", i % 2, float(40 + i)) for i in range(36)]
+    df = spark.createDataFrame(rows, "row long, grp long, a double, c double, stratum string, y int, age double")
+    for scale in (True, False):
+        few, many = (evaluation.fixed_oof(df, ["a", "c"], scale=scale, limit=limit).toPandas().set_index("row")["p"].sort_index() for limit in (1 << 20, 0))
+        assert np.allclose(few, many, atol=1e-7)
+    one, blocks = (evaluation.ridge_oof(df, ["a", "c"], "age", limit=limit).toPandas().set_index("row").sort_index() for limit in (1 << 20, 200))
+    assert np.allclose(one, blocks)
+
+
+def test_a_fit_that_does_not_settle_is_an_error(monkeypatch):
+    from sigloom.operators import learn
+
+    monkeypatch.setattr(learn, "MAX_STEPS", 1)
+    x = np.random.default_rng(0).normal(size=(20, 2))
+    with pytest.raises(RuntimeError, match="converge"):
+        learn.solve_local(x, (x[:, 0] > 0).astype(float), np.ones(20), 1.0)
+
+
+def test_string_keys_with_a_common_beginning_spread(spark):
+    df = spark.createDataFrame([(f"Customer#{i:09d}",) for i in range(400)], "k string")
+    from sigloom.operators import ordered
+
+    before, ordered.SMALL_ROWS = ordered.SMALL_ROWS, 0
+    try:
+        b = folds._order_bucket(df, "k", "b").groupBy("b").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("b").collect()
+        index = {r["k"]: r["idx"] for r in folds.dense_index(df, "k").collect()}
+    finally:
+        ordered.SMALL_ROWS = before
+    assert len(b) >= 8 and max(r["n"] for r in b) <= 100 and all(x["hi"] < y["lo"] for x, y in zip(b, b[1:]))
+    assert [index[f"Customer#{i:09d}"] for i in range(400)] == list(range(400))

@@ -123,7 +123,7 @@ def test_spectral_expressions_on_exact_lines(spark):
     bump = line + 0.8 * np.exp(-0.5 * ((f - 10.0) / 0.4) ** 2)
     df = spark.createDataFrame([(1, line.tolist()), (2, bump.tolist())], "id int, ls array<double>")
     df = grid.with_alpha_peak(grid.with_slope_fit(df, "ls", "fit", 3.0, 30.0, (7.0, 14.0)), "ls", "p")
-    power = grid.log_relative_powers(F.transform("ls", lambda v: F.pow(F.lit(10.0), v)))
+    power = grid.relative_logs(F.transform("ls", lambda v: F.pow(F.lit(10.0), v)))
     out = df.select("id", grid.exponent(F.col("ls")).alias("e"), F.col("fit.rmse").alias("rmse"), "p", *[c.alias(b) for b, c in power.items()]).orderBy("id").collect()
     assert out[0]["e"] == pytest.approx(1.7) and out[0]["rmse"] == pytest.approx(0, abs=1e-9)
     assert out[0]["p"]["frequency"] is None and out[1]["p"]["frequency"] == pytest.approx(10.0, abs=0.02) and out[1]["p"]["height"] == pytest.approx(0.8, abs=0.02)
@@ -171,8 +171,21 @@ def test_cycle_recovery_of_known_phase_and_position():
         late = -3 * np.exp(-0.5 * ((((t - o - 0.5 * k - 0.2) + 2) % 4 - 2) / 0.05) ** 2)
         spectra.append(np.fft.rfft(beat + late))
     s = np.array(spectra)
-    m = cycles.Waves(s, s, cycles.BAND_HZ).measure(np.zeros(n, dtype=int))
+    m = cycles.Agreement(s, s, cycles.BAND_HZ).at(np.zeros(n, dtype=int))
     err = (m["tau_a"] / 500 - onset - 0.5 * position + 2) % 4 - 2
     assert np.abs(err).max() < 0.1 and (m["grid_r"] > 0.99).all() and (m["tau_agreement"] == 1).all()
-    moved = cycles.Waves(s, s, cycles.BAND_HZ).measure(np.full(n, 125))
+    moved = cycles.Agreement(s, s, cycles.BAND_HZ).at(np.full(n, 125))
     assert (moved["grid_r"] < 0.9).all()
+
+
+def test_fingerprints_do_not_depend_on_the_piece_size(spark):
+    rng = np.random.default_rng(8)
+    content = edf.encode(rng.integers(-100, 100, (6, 125 * 300)), edf.CHANNELS, 125, -800.0, 800.0)
+    files = spark.createDataFrame([("a", len(content), bytearray(content))], "path string, file_bytes long, content binary")
+    got = {edf.content_hashes(edf.channel_digests(files, per_piece=k)).first()["content_hash"] for k in (75_000, 20_000, 1)}
+    assert len(got) == 1
+
+
+def test_a_path_that_no_reader_takes_is_an_error_row(spark):
+    files = spark.createDataFrame([("nosuch://bucket/a.edf", 5000)], "path string, file_bytes long")
+    assert edf.headers(files).first()["status"] == "error"

@@ -1,4 +1,4 @@
-"""Simulation, averaged responses, diagnostics, listings and the stream form."""
+"""Averaged responses, diagnostics, listings and the stream form."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.functions import signal
-from sigloom.operators import cycles, diagnostics, erp, hybrid
-from sigloom.sources import listing
+from sigloom.operators import diagnostics, erp
+from sigloom.sources import edf, listing
 from sigloom.streaming import event_windows
 
 
@@ -47,48 +47,14 @@ def test_highpass_order_is_recovered(spark):
     for n in (1, 2, 4):
         log10_psd = 1.0 - 1.5 * np.log10(f) + 2 * np.log10(np.abs(signal.butter_highpass_response(f, n, 2.0)))
         df = spark.createDataFrame(pd.DataFrame({"freq": f, "log10_psd": log10_psd}))
-        best = hybrid.highpass_order_fit(df).orderBy("ssr").first()
+        best = diagnostics.highpass_order_fit(df).orderBy("ssr").first()
         assert best["order"] == n and best["chi"] == pytest.approx(1.5) and best["c"] == pytest.approx(1.0)
 
 
-def noise_cycles(spark, n_records=8, n_cycles=24, periodic=0.0):
-    rng = np.random.default_rng(4)
-    t = np.arange(500) / 125
-    wave = periodic * np.sin(2 * np.pi * 2 * t)
-    rows = [(f"r{i}", ch, c, (rng.normal(0, 5, 500) + wave).tolist()) for i in range(n_records) for ch in cycles.FRONTAL for c in range(n_cycles)]
-    return spark.createDataFrame(rows, "path string, channel string, cycle long, x array<double>")
-
-
-def test_noise_halves_cancel_the_periodic_part(spark):
-    h = hybrid.noise_halves(noise_cycles(spark, 3, periodic=50.0), 2, 42).collect()
-    assert len(h) == 2 * 3 * 2 * 2 and {r["n_cycles"] for r in h} == {12}
-    power = np.array([np.abs(np.array(r["re"]) + 1j * np.array(r["im"])) ** 2 for r in h])
-    assert power[:, 8].mean() < 10 * power[:, 9:60].mean()
-    # variance of c * (m1 - m2) with six cycles each: (1/2)^2 * (2 * 25 / 6)
-    assert power[:, 1:250].mean() / 500 == pytest.approx(25 / 12, rel=0.15)
-
-
-def test_power_grows_with_amplitude(spark):
-    model = hybrid.signal_model(erp_table(spark))
-    good = noise_cycles(spark, 8)
-    scale, table = hybrid.calibrate_beat_scale(hybrid.noise_halves(good, 1, 1), model, 1, target=0.3, scales=(0.5, 2.0, 8.0, 32.0))
-    assert 0.5 <= scale <= 32 and table.count() == 4
-    reps, nulls = hybrid.power_analysis(good, model, scale, amplitudes=(0.0, 60.0), n_replicates=2, n_surrogates=15)
-    out = hybrid.summarize_power(reps, nulls, 1.0).toPandas().set_index(["variant", "amplitude"])
-    for v in hybrid.BANDS:
-        assert out.loc[(v, 60.0), "deviant_r"] > 0.8 > out.loc[(v, 0.0), "deviant_r"]
-        assert out.loc[(v, 60.0), "test2_power"] == 1.0
-    assert hybrid.expected_curve(model, 1.0, cycles.BAND_HZ).shape == (6, 350)
-
-
-def test_detection_study_sees_strong_peaks_only(spark):
-    out = diagnostics.alpha_detection_study(spark, (30.0,), (1.5,), (0.0, 1.0), n_sim=8).groupBy("true_peak_log10").agg(F.avg("measured").alias("m"), F.count("measured").alias("n"))
-    got = {r["true_peak_log10"]: r for r in out.collect()}
-    assert got[0.0]["m"] < 0.4 < 0.7 < got[1.0]["m"] and got[1.0]["n"] == 8
-
-
 def test_lowfreq_spectrum_is_unbiased_for_white_noise(spark):
-    files = diagnostics.simulated_files(spark, (240.0,), (0.0,), (0.0,), 3)
+    rng = np.random.default_rng(6)
+    content = [edf.encode(np.round(rng.normal(0, 10, (6, 240 * 125)) / 0.05), edf.CHANNELS, 125, -0.05 * 32768, 0.05 * 32767) for _ in range(3)]
+    files = spark.createDataFrame([(f"r{i}", len(c), bytearray(c)) for i, c in enumerate(content)], "path string, file_bytes long, content binary")
     out = diagnostics.lowfreq_spectrum(files).filter("freq BETWEEN 1 AND 60").agg(F.avg("psd").alias("m")).first()
     assert out["m"] == pytest.approx(100 / 62.5, rel=0.1)
 
@@ -115,3 +81,12 @@ def test_stream_and_batch_windows_agree(spark, tmp_path):
     key = ["event_type", "window_start"]
     got = spark.table("win").toPandas().sort_values(key, ignore_index=True)
     pd.testing.assert_frame_equal(got, event_windows.sliding(df).toPandas().sort_values(key, ignore_index=True))
+
+
+def test_power_summary_counts_what_passes_the_null(spark):
+    means = ("grid_r", "deviant_found", "phase_within_50ms", "phase_within_50ms_of_bias", "phase_bias_s", "n_records")
+    rows = [("v", float(a), float(i), 0.1 * i, *[0.5] * len(means)) for a in (0, 1) for i in range(4)]
+    reps = spark.createDataFrame(rows, "variant string, amplitude double, deviant_r double, curve_energy double, " + ", ".join(f"{m} double" for m in means))
+    nulls = spark.createDataFrame([("v", 0.0, 9.0, 9.0), ("v", 1.0, 1.5, 0.05)], "variant string, amplitude double, deviant_r_q95 double, curve_energy_q95 double")
+    out = {r["amplitude"]: r for r in diagnostics.summarize_power(reps, nulls, 2.0).collect()}
+    assert (out[0.0]["test2_power"], out[1.0]["test2_power"], out[1.0]["test3_power"], out[1.0]["difference_rms_uv"]) == (0.0, 0.5, 0.75, 2.0)
