@@ -14,7 +14,9 @@ from collections.abc import Sequence
 
 import numpy as np
 
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
+#: share of chunks that a full cache may miss before it starts anew
+STALE = 0.4
 MISSES_AT_ONCE = 20_000
 #: marks that close a word and never begin a contraction
 MARKS = string.punctuation.replace("'", "")
@@ -48,15 +50,14 @@ def byte_letters() -> list[str]:
 class ChunkEncoder:
     """Encodes batches of texts. ``glued``: a word takes the blank before it (byte-level vocabularies).
 
-    The cache has two generations of at most ``limit`` chunks: a full young one becomes the old one, and what is used
-    again moves back, so frequent chunks stay and memory is bounded.
+    The cache keeps the first ``limit`` chunks, which hold the frequent ones; later ones live for a batch. A full cache that
+    misses much of a batch (another language, say) starts anew.
     """
 
     def __init__(self, name: str, glued: bool, limit: int = CACHE_CHUNKS) -> None:
         self.tok, self.glued, self.limit = plain_tokenizer(name), glued, limit
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.young: dict[str, bytes | bool] = {}
-        self.old: dict[str, bytes | bool] = {}
+        self.known: dict[str, bytes | bool] = {}
         self.marks: dict[str, bytes] = {}
         self.tokenize = self.tok.model.tokenize
         self.raw = [self.kind.type(i).tobytes() for i in range(self.tok.get_vocab_size())]
@@ -87,16 +88,17 @@ class ChunkEncoder:
             return None
         if len(chunk) == len(stem):
             return self._model(lower, blank)
-        ids = ((self.young.get(stem) or self.old.get(stem)) if blank == self.glued else None) or self._model(lower, blank)
+        ids = (self.known.get(stem) if blank == self.glued else None) or self._model(lower, blank)
         return ids + self._closing(chunk[len(stem) :]) if len(chunk) - len(stem) <= 64 else None
 
-    def _learn(self, chunks: list[str]) -> None:
-        blank, missing, young, plain = " " if self.glued else "", [], self.young, self._plain
+    def _learned(self, chunks: list[str]) -> dict[str, bytes | bool]:
+        out: dict[str, bytes | bool] = {}
+        blank, missing, plain = " " if self.glued else "", [], self._plain
         for w in chunks:
             if (ids := plain(w, self.glued)) is None:
                 missing.append(w)
             else:
-                young[w] = ids
+                out[w] = ids
         for at in range(0, len(missing), MISSES_AT_ONCE):
             part = missing[at : at + MISSES_AT_ONCE]
             got = self.tok.encode([blank + w for w in part], is_pretokenized=True, add_special_tokens=False)
@@ -106,27 +108,22 @@ class ChunkEncoder:
             begin = 0
             for w, end in zip(part, ends.tolist(), strict=True):
                 sure = not self.glued or (w and not w[0].isspace() and not w[-1].isspace())
-                self.young[w] = ids[begin:end] if sure else False
+                out[w] = ids[begin:end] if sure else False
                 begin = end
+        return out
 
     def _lookup(self, chunks: list[str]) -> list[bytes | bool]:
-        found = list(map(self.young.get, chunks))
-        holes = [i for i, v in enumerate(found) if v is None] if None in found else []
-        if holes:
-            if len(self.young) > self.limit:
-                self.young, self.old = {}, self.young
-            missing: dict[str, None] = {}
-            for i in holes:
-                w = chunks[i]
-                v = self.old.get(w)
-                if v is None:
-                    missing[w] = None
-                else:
-                    self.young[w] = v
-            self._learn(list(missing))
-            get = self.young.get
+        found = list(map(self.known.get, chunks))
+        if None in found:
+            holes = [i for i, v in enumerate(found) if v is None]
+            full = len(self.known) >= self.limit
+            if full and len(holes) > STALE * len(chunks):
+                self.known, full = {}, False
+            fresh = self._learned(list(dict.fromkeys([chunks[i] for i in holes])))
+            if not full:
+                self.known.update(fresh)
             for i in holes:
-                found[i] = get(chunks[i])
+                found[i] = fresh[chunks[i]]
         return found
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
