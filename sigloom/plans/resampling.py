@@ -103,18 +103,23 @@ def permute_labels(t: Tables) -> DataFrame:
 n AS (SELECT g, (sum(ar) FILTER (WHERE y = 1) - max(np) * (max(np) + 1) / CAST(2 AS DOUBLE)) / (max(np) * max(nn)) AS auc
   FROM (SELECT g, y, rank() OVER (PARTITION BY g ORDER BY s) + (count(*) OVER (PARTITION BY g, s) - 1) / CAST(2 AS DOUBLE) AS ar,
         CAST(count(*) FILTER (WHERE y = 1) OVER (PARTITION BY g) AS DOUBLE) AS np, CAST(count(*) FILTER (WHERE y = 0) OVER (PARTITION BY g) AS DOUBLE) AS nn FROM u) GROUP BY g HAVING max(np) > 0 AND max(nn) > 0)
-SELECT CAST(count(*) AS BIGINT) AS n_permutations, round(avg(auc), 6) AS null_mean, round(quantile_cont(auc, 0.95), 6) AS null_q95,
-       round((1 + count(*) FILTER (WHERE auc >= 0.6)) / CAST(1 + count(*) AS DOUBLE), 6) AS p_value FROM n
+SELECT CAST(count(*) AS BIGINT) AS n_permutations, round(avg(n.auc), 6) AS null_mean, round(quantile_cont(n.auc, 0.95), 6) AS null_q95,
+       round(max(o.auc), 6) AS observed, round((1 + count(*) FILTER (WHERE n.auc >= o.auc)) / CAST(1 + count(*) AS DOUBLE), 6) AS p_value
+FROM n CROSS JOIN (SELECT round(CAST(sum(CASE WHEN a.p > b.p THEN 1 WHEN a.p = b.p THEN 0.5 ELSE 0 END) AS DOUBLE) / count(*), 12) AS auc FROM scored a JOIN scored b ON a.y = 1 AND b.y = 0) o
 """
 )
 def permutation_null(t: Tables) -> DataFrame:
     """Null distribution of an AUC under labels permuted between groups."""
     rows = scored(t).select("source", "p")
+    observed = ordered.auc(scored(t), [], "p", F.col("y") == 1).select(F.round("auc", 12).alias("observed"))  # one number
     moved = resample.permuted_labels(scored(t), "source", "doc_id", ["stratum", "y"], B)
     null = ordered.auc(rows.join(moved, "source"), ["perm"], "p", F.col("y") == 1).filter("auc IS NOT NULL")
     q = ordered.quantiles(null, [], "auc", {"null_q95": 0.95})
-    agg = null.agg(F.count(F.lit(1)).alias("n_permutations"), r6(F.avg("auc")).alias("null_mean"), r6(resample.permutation_p(F.lit(0.6), F.col("auc"))).alias("p_value"))
-    return agg.crossJoin(F.broadcast(q)).select("n_permutations", "null_mean", r6("null_q95").alias("null_q95"), "p_value")
+    null = null.crossJoin(F.broadcast(observed))
+    agg = null.agg(
+        F.count(F.lit(1)).alias("n_permutations"), r6(F.avg("auc")).alias("null_mean"), r6(F.max("observed")).alias("observed"), r6(resample.permutation_p(F.col("observed"), F.col("auc"))).alias("p_value")
+    )
+    return agg.crossJoin(F.broadcast(q)).select("n_permutations", "null_mean", r6("null_q95").alias("null_q95"), "observed", "p_value")
 
 
 @query(
@@ -127,20 +132,42 @@ def group_folds(t: Tables) -> DataFrame:
     return folds.stratified_group_folds(rows, "c_custkey", "o_orderstatus", 5, 42).select("c_custkey", "fold")
 
 
-@query()
+SPECIFIC_SQL = f""", f AS (SELECT doc_id, stratum, 'length' AS feature, CAST(n_chars AS DOUBLE) AS v FROM scored UNION ALL SELECT doc_id, stratum, 'remainder', CAST(n_chars % 97 AS DOUBLE) FROM scored),
+rows AS (SELECT 'pc' AS part, doc_id, feature, v, CASE WHEN stratum = 'ptsd' THEN 'pos' ELSE 'neg' END AS cls FROM f WHERE stratum = 'ptsd' OR stratum LIKE 'control@_%' ESCAPE '@'
+  UNION ALL SELECT 'sc', doc_id, feature, v, CASE WHEN stratum = 'somatoform' THEN 'pos' ELSE 'neg' END FROM f WHERE stratum IN ('somatoform', 'control_A')
+  UNION ALL SELECT 'ps', doc_id, feature, v, CASE WHEN stratum = 'ptsd' THEN 'pos' ELSE 'neg' END FROM f WHERE stratum IN ('ptsd', 'somatoform')),
+ix AS (SELECT part, feature, cls, doc_id, row_number() OVER (PARTITION BY part, feature, cls ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY part, feature, cls) AS n FROM rows),
+dr AS (SELECT part, feature, cls, rep, {h32("'42'", "feature", "cls", "rep", "idx")} % n AS pick FROM ix CROSS JOIN range(0, {B}) r(rep)),
+mult AS (SELECT dr.part, dr.feature, dr.cls, ix.doc_id, dr.rep, count(*) AS m FROM dr JOIN ix ON dr.part = ix.part AND dr.feature = ix.feature AND dr.cls = ix.cls AND dr.pick = ix.idx GROUP BY ALL
+  UNION ALL SELECT part, feature, cls, doc_id, -1, 1 FROM ix),
+w AS (SELECT part, feature, rep, v, coalesce(sum(m) FILTER (WHERE cls = 'pos'), 0) AS wp, coalesce(sum(m) FILTER (WHERE cls = 'neg'), 0) AS wn FROM rows JOIN mult USING (part, feature, cls, doc_id) GROUP BY ALL),
+a AS (SELECT part, feature, rep, CAST(sum(wp * (below + CAST(0.5 AS DOUBLE) * wn)) AS DOUBLE) / (sum(wp) * sum(wn)) AS auc
+  FROM (SELECT *, coalesce(sum(wn) OVER (PARTITION BY part, feature, rep ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w) GROUP BY ALL),
+q AS (SELECT part, feature, max(auc) FILTER (WHERE rep < 0) AS value, quantile_cont(auc, 0.025) FILTER (WHERE rep >= 0) AS lo, quantile_cont(auc, 0.975) FILTER (WHERE rep >= 0) AS hi FROM a GROUP BY ALL),
+z AS (SELECT feature, max(value) FILTER (WHERE part = 'pc') AS pc, max(value) FILTER (WHERE part = 'sc') AS sc, max(value) FILTER (WHERE part = 'ps') AS ps,
+  bool_or(lo > 0.5 OR hi < 0.5) FILTER (WHERE part = 'pc') AS pc_off, bool_or(lo > 0.5 OR hi < 0.5) FILTER (WHERE part = 'ps') AS ps_off FROM q GROUP BY feature)
+SELECT feature, round(pc, 6) AS auc_pc, round(sc, 6) AS auc_sc, round(ps, 6) AS auc_ps,
+  CASE WHEN pc_off AND (pc - 0.5) * (sc - 0.5) > 0 AND abs(sc - 0.5) >= 0.5 * abs(pc - 0.5) THEN 'shared with somatoform' WHEN pc_off OR ps_off THEN 'specific to PTSD' ELSE 'no difference' END AS verdict FROM z"""
+
+
+@query(SCORED + SPECIFIC_SQL)
 def disorder_specificity(t: Tables) -> DataFrame:
-    """Per feature: case against controls, other disorder against controls, case against other, and the verdict."""
+    """Per feature: case against controls, other disorder against controls of its own format, case against other, and the verdict.
+
+    Subjects (documents) are drawn within their class.
+    """
     rows = scored(t).select(
-        "source", "stratum", F.explode(F.array(
+        "doc_id", "stratum", F.explode(F.array(
             F.struct(F.lit("length").alias("feature"), F.col("n_chars").cast("double").alias("v")),
             F.struct(F.lit("remainder").alias("feature"), (F.col("n_chars") % 97).cast("double").alias("v")),
         )).alias("f"),
-    ).select("source", "stratum", "f.*")
+    ).select("doc_id", "stratum", "f.*")
     case, other, ctrl = PTSD, F.col("stratum") == "somatoform", F.col("stratum").startswith("control_")
-    parts = [("pc", F.when(case, True).when(ctrl, False)), ("sc", F.when(other, True).when(ctrl, False)), ("ps", F.when(case, True).when(other, False))]
+    same_format = F.col("stratum") == "control_A"
+    parts = [("pc", F.when(case, True).when(ctrl, False)), ("sc", F.when(other, True).when(same_format, False)), ("ps", F.when(case, True).when(other, False))]
     table = None
     for name, label in parts:
-        out = resample.auc_with_ci(rows, ["feature"], "source", "v", label, B)
+        out = resample.auc_with_ci(rows, ["feature"], "doc_id", "v", label, B)
         out = out.select("feature", *[F.col(c).alias(f"{name}_{c}") for c in ("value", "ci_low", "ci_high")])
         table = out if table is None else table.join(out, "feature")
     verdict = resample.specificity_verdict(*[F.col(c) for c in ("pc_value", "pc_ci_low", "pc_ci_high", "sc_value", "ps_ci_low", "ps_ci_high")])
