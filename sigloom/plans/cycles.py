@@ -58,9 +58,11 @@ def cycle_report(t: Tables) -> DataFrame:
 
 @query()
 def subject_features(t: Tables) -> DataFrame:
-    """All 74 features of the derived recordings, in long form."""
+    """All 74 features in long form: two recordings a subject, the even one at rest and the odd one a task."""
     flagged = recordings.flagged_windows(files(t))
-    power = features.with_psd(flagged).withColumns({"subject_key": F.col("path"), "condition": F.lit("rest"), "trial": F.lit(0)})
-    table = features.subject_features(power, flagged.select(F.col("path").alias("subject_key")))
+    number = F.regexp_extract("path", r"(\d+)$", 1).cast("long")
+    subject = F.concat(F.lit("sub-"), F.floor(number / 2).cast("string"))
+    power = features.with_psd(flagged).withColumns({"subject_key": subject, "condition": F.when(number % 2 == 0, "rest").otherwise("task"), "trial": (number % 2).cast("int")})
+    table = features.subject_features(power, flagged.select(subject.alias("subject_key")))
     long = table.unpivot("subject_key", list(features.FEATURE_NAMES), "feature", "value")
     return long.select("subject_key", "feature", r6("value").alias("value"))

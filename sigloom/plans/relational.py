@@ -292,13 +292,13 @@ def rms_ratio(t: Tables) -> DataFrame:
     """RMS of one channel over the median RMS of the other channels."""
     w = t.events.groupBy("event_type", F.to_date("ts").alias("d")).agg(F.var_pop("value").alias("v"))
     rms = ordered.median(w, ["event_type"], "v", "mid").select("event_type", F.sqrt("mid").alias("rms"))
-    # one row per channel name: a fixed, short list
-    table = rms.agg(F.collect_list(F.struct("event_type", "rms")).alias("all"))
-    other = rms.crossJoin(F.broadcast(table))
-    rest = F.array_sort(F.transform(F.filter("all", lambda x: x["event_type"] != F.col("event_type")), lambda x: x["rms"]))
-    n = F.size("rest")
-    mid = (F.get("rest", F.floor((n - 1) / 2).cast("int")) + F.get("rest", F.floor(n / 2).cast("int"))) / 2
-    return other.withColumn("rest", rest).select("event_type", r6(F.col("rms") / mid).alias("ratio"))
+    place = ordered.scan(ordered.range_bucket(rms, "rms"), [], ["rms"], {"_at": F.lit(1).cast("long")}, {"_n": "_at"}).select("event_type", "rms", (F.col("_at") - 1).alias("at"), "_n")
+    # without the row itself, the middle of the others is at these places of the whole order
+    skip = lambda k: F.when(k < F.col("at"), k).otherwise(k + 1).cast("long")
+    rows = place.filter("_n > 1").withColumns({"lo": skip(F.floor((F.col("_n") - 2) / 2)), "hi": skip(F.floor((F.col("_n") - 1) / 2))})
+    named = lambda at, value: place.select(F.col("at").alias(at), F.col("rms").alias(value))
+    both = rows.join(named("lo", "below"), "lo").join(named("hi", "above"), "hi")
+    return both.select("event_type", r6(F.col("rms") / ((F.col("below") + F.col("above")) / 2)).alias("ratio"))
 
 
 @query(

@@ -28,6 +28,13 @@ def matched_files(files: DataFrame) -> DataFrame:
     return best.select("group", "subject_id", "stem", "n_files", *[F.col(f"f.{c}").alias(c) for c in cols])
 
 
+def strictly_matched(files: DataFrame) -> DataFrame:
+    """``matched_files``, but two files of one subject and stem are an error."""
+    found = matched_files(files)
+    message = F.concat(F.lit("several files for "), F.concat_ws("/", "group", "subject_id", "stem"))
+    return found.withColumn("n_files", F.when(F.col("n_files") > 1, F.raise_error(message).cast("long")).otherwise(F.col("n_files")))
+
+
 def build_registry(files: DataFrame) -> DataFrame:
     """One row per expected (subject, stem), missing ones included, with header metadata and fingerprints."""
     found = matched_files(files)

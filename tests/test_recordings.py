@@ -189,3 +189,12 @@ def test_fingerprints_do_not_depend_on_the_piece_size(spark):
 def test_a_path_that_no_reader_takes_is_an_error_row(spark):
     files = spark.createDataFrame([("nosuch://bucket/a.edf", 5000)], "path string, file_bytes long")
     assert edf.headers(files).first()["status"] == "error"
+
+
+def test_two_files_of_one_stem_are_an_error_where_asked(spark):
+    rows = [("x/ПТСР/s1/T-1.edf", 1), ("x/ПТСР/s1/Т-1.EDF", 2), ("x/ПТСР/s2/T-1.edf", 1)]
+    files = spark.createDataFrame(rows, "path string, file_bytes long")
+    assert {r["n_files"] for r in registry.matched_files(files).collect()} == {1, 2}
+    with pytest.raises(Exception, match="several files for ПТСР/s1/T-1"):
+        registry.strictly_matched(files).collect()
+    assert registry.strictly_matched(files.filter("path LIKE '%s2%'")).count() == 1
