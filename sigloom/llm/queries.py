@@ -29,7 +29,7 @@ def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigloom.llm import token_frames as tf
 
     manifest = tf.write_token_files(load(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
-    return tf.token_positions(manifest, tf.read_token_files(manifest))
+    return tf.read_token_files(manifest)
 
 
 @registered

@@ -34,7 +34,7 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
-DOCUMENT = "part int, doc_id long, start_in_file long, n_tokens long, ids_crc32 long"
+DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def _filesystem(path: str):
@@ -180,13 +180,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
 
 
 def read_token_files(manifest: DataFrame, wanted: list[int] | None = None) -> DataFrame:
-    """Documents of the files, or only ``wanted`` ids (a short list), from the frames that hold them."""
+    """Documents of the files, or only ``wanted`` ids (a short list), from the frames that hold them.
+
+    ``start`` counts the ids of all documents before, by a running sum over one row per file.
+    """
     spark = manifest.sparkSession
     pick = None if wanted is None else np.array(sorted(wanted), np.int64)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, path in zip(batch.column("part").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist(), strict=True):
                 where, name = _filesystem(path)
                 with where.open_input_file(name) as source:
                     reader = FrameReader(source, source.size())
@@ -202,19 +205,13 @@ def read_token_files(manifest: DataFrame, wanted: list[int] | None = None) -> Da
                             crc = [zlib.crc32(reader.ids(i).astype("<u4").tobytes()) for i in some]
                         yield pa.RecordBatch.from_pydict(
                             {
-                                "part": pa.array([part] * len(some), pa.int32()),
                                 "doc_id": pa.array(reader.doc_id[some], mask=reader.no_id[some].astype(bool)),
-                                "start_in_file": pa.array(reader.start[some]),
+                                "start": pa.array(reader.start[some] + before),
                                 "n_tokens": pa.array(reader.count[some]),
                                 "ids_crc32": pa.array(crc, pa.int64()),
                             }
                         )
 
-    return manifest.select("part", "path").repartition(2 * shuffle_parts(spark), "part").mapInArrow(read, DOCUMENT)
-
-
-def token_positions(manifest: DataFrame, documents: DataFrame) -> DataFrame:
-    """Adds ``start``: ids of all documents before, by a running sum over one row per file."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = manifest.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("file_start"))
-    return documents.join(first, "part").select("doc_id", (F.col("file_start") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.select("part", "path", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)).alias("before"))
+    return files.repartition(2 * shuffle_parts(spark), "part").mapInArrow(read, DOCUMENT)
