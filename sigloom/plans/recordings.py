@@ -93,6 +93,6 @@ def edf_windows(t: Tables) -> DataFrame:
 @query()
 def edf_quality(t: Tables) -> DataFrame:
     """Share of windows per rejection reason, per file and channel."""
-    w = recordings.flagged_windows(files(t))
+    w = recordings.flagged_windows(files(t), values=False)
     out = windows.quality_table(w, ["path", "channel"])
     return out.select("path", "channel", "n_windows", "n_good", *[r6(f"frac_{r.name.lower()}").alias(f"frac_{r.name.lower()}") for r in Reject])

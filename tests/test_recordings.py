@@ -93,7 +93,9 @@ def test_flags_hit_the_right_windows(spark, tmp_path):
     data[:, 6000:6100] = data[:, 6000:6001]  # dropout on all channels at 48-48.8
     data[5] = data[0]  # O2 copies O1
     files = table(spark, write(tmp_path / "flags.edf", data))
-    w = recordings.flagged_windows(files).select("window_idx", "channel", "reject").toPandas()
+    both = [recordings.flagged_windows(files, per_piece=k, values=v).select("window_idx", "channel", "reject").orderBy("window_idx", "channel").toPandas() for k, v in ((120, True), (3, True), (5, False))]
+    w = both[0]
+    assert all(w.equals(other) for other in both[1:])
     hit = {r: {(x.channel, x.window_idx) for x in w.itertuples() if x.reject & int(r)} for r in Reject}
     assert len(w) == 29 * 6
     assert ("T3", 8) in hit[Reject.FLAT] and len(hit[Reject.FLAT]) == 1
@@ -198,3 +200,12 @@ def test_two_files_of_one_stem_are_an_error_where_asked(spark):
     with pytest.raises(Exception, match="several files for ПТСР/s1/T-1"):
         registry.strictly_matched(files).collect()
     assert registry.strictly_matched(files.filter("path LIKE '%s2%'")).count() == 1
+
+
+def test_no_exchange_carries_samples(spark):
+    content = edf.encode(np.random.default_rng(3).integers(-900, 900, (6, 125 * 40)), edf.CHANNELS, 125, -800.0, 800.0)
+    files = spark.createDataFrame([("a", len(content), bytearray(content))], "path string, file_bytes long, content binary")
+    plan = recordings.flagged_windows(files)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("MapInPandas")]
+    assert "Exchange" not in above
+    assert not any("Exchange" in line and "array<double>" in line for line in plan.splitlines())
