@@ -32,27 +32,31 @@ def half_correlation(t: Tables) -> DataFrame:
     return wide.select("label", "n_even", "n_odd", r6(dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b"))).alias("r"))
 
 
-@query(
-    HALF_SQL + """, d AS (SELECT label, half, k, sum(x * cos(2 * pi() * k * i / 64)) AS re, -sum(x * sin(2 * pi() * k * i / 64)) AS im FROM m CROSS JOIN range(0, 33) q(k) GROUP BY 1, 2, 3)
-SELECT a.label, CAST(a.k AS INTEGER) AS bin, round((a.re * b.re + a.im * b.im) / sqrt((a.re * a.re + a.im * a.im) * (b.re * b.re + b.im * b.im)), 5) + 0.0 AS cosine
-FROM d a JOIN d b ON a.label = b.label AND a.k = b.k AND a.half = 0 AND b.half = 1 WHERE a.k BETWEEN 1 AND 31
+SPLIT_SQL = """
+WITH v AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS m, embedding FROM embeddings),
+h AS (SELECT label, 'interleaved' AS split, vec_id % 2 AS half, embedding FROM v WHERE m >= 6 UNION ALL SELECT label, 'blocks', CASE WHEN i < m // 2 THEN 0 ELSE 1 END, embedding FROM v WHERE m >= 6),
+x AS (SELECT label, split, half, j, avg(CAST(embedding[j + 1] AS DOUBLE)) AS x FROM h CROSS JOIN range(0, 64) r(j) GROUP BY ALL),
+d AS (SELECT label, split, half, k, sum(x * cos(2 * pi() * k * j / 64)) AS re, -sum(x * sin(2 * pi() * k * j / 64)) AS im FROM x CROSS JOIN range(0, 33) q(k) GROUP BY ALL)
+SELECT a.label, a.split, CAST(a.k AS INTEGER) AS bin, round((a.re * b.re + a.im * b.im) / sqrt((a.re * a.re + a.im * a.im) * (b.re * b.re + b.im * b.im)), 5) + 0.0 AS cosine
+FROM d a JOIN d b ON a.label = b.label AND a.split = b.split AND a.k = b.k AND a.half = 0 AND b.half = 1 WHERE a.k BETWEEN 1 AND 31
 """
-)
+
+
+@query(SPLIT_SQL)
 def phase_consistency(t: Tables) -> DataFrame:
-    s = halves(t).select("label", "half", cycles.spectrum_of("mean").alias("s"))
-    bins = s.select("label", "half", F.posexplode(F.arrays_zip(F.col("s.re").alias("re"), F.col("s.im").alias("im"))).alias("bin", "z"))
-    pick = lambda h, c: F.max(F.when(F.col("half") == h, F.col(f"z.{c}")))
-    wide = bins.filter("bin BETWEEN 1 AND 31").groupBy("label", "bin").agg(*[pick(h, c).alias(f"{c}{h}") for h in (0, 1) for c in ("re", "im")])
-    cos = cycles.phase_consistency(F.col("re0"), F.col("im0"), F.col("re1"), F.col("im1"))
-    return wide.select("label", "bin", (F.round(cos, 5) + 0.0).alias("cosine"))
+    """Phase agreement of two halves per label, interleaved and in blocks; every vector is a cycle seen alike on both channels."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    rows = t.embeddings.select(F.col("label").alias("path"), F.explode(F.array(*map(F.lit, cycles.FRONTAL))).alias("channel"), F.col("vec_id").alias("cycle"), x.alias("x"))
+    out = cycles.split_phase_consistency(rows).filter("bin BETWEEN 1 AND 31")
+    return out.select(F.col("path").alias("label"), "split", "bin", (F.round("cosine", 5) + 0.0).alias("cosine"))
 
 
 @query()
 def cycle_report(t: Tables) -> DataFrame:
     """Observed and randomised group statistics of the derived recordings."""
     h = cycles.half_spectra(cycles.good_cycles(files(t)))
-    records = cycles.record_spectra(h, min_cycles=2).withColumn("subject", F.col("path"))
-    out = cycles.report(records, n_surrogates=50)
+    records = cycles.record_spectra(h).withColumn("subject", F.col("path"))
+    out = cycles.report(records)
     return out.select("statistic", *[r6(c).alias(c) for c in ("observed", "null_mean", "null_q05", "null_q95", "p")])
 
 
