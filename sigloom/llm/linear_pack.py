@@ -119,8 +119,9 @@ def plan_large(counts: dict[int, int], capacity: int, groups: int = GROUPS) -> t
     total = sum(counts.values())
     sizes, demand, begin = [], [], []
     ends = np.cumsum([counts[n] for n in lengths])
-    for g in range(min(groups, total)):
-        first, end = total * g // groups, total * (g + 1) // groups
+    # few different lengths need no rounding: each is a group of its own
+    cuts = [0, *ends.tolist()] if len(lengths) <= groups else [total * g // groups for g in range(groups + 1)]
+    for first, end in zip(cuts[:-1], cuts[1:], strict=True):
         if first == end:
             continue
         size = lengths[int(np.searchsorted(ends, first, "right"))]
