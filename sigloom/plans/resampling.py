@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sigloom.operators import folds, metrics, ordered, resample
 from sigloom.plans.registry import Tables, query, r6
-from sigloom.plans.statistics import PTSD, SCORED, scored
+from sigloom.plans.statistics import SCORED, is_ptsd, scored
 
 B = 100
 
@@ -79,7 +79,7 @@ SELECT r.cls AS stratum, round(1 - max(v), 6) AS value, round(1 - quantile_cont(
 )
 def specificity_ci(t: Tables) -> DataFrame:
     """Specificity per stratum: one minus the false-positive share, interval ends swapped."""
-    rows = scored(t).filter(~PTSD)
+    rows = scored(t).filter(~is_ptsd())
     out = resample.rate_with_ci(rows, ["stratum"], "source", F.col("p") >= 0.5, B)
     return out.select("stratum", r6(1 - F.col("value")).alias("value"), r6(1 - F.col("ci_high")).alias("ci_low"), r6(1 - F.col("ci_low")).alias("ci_high"))
 
@@ -162,7 +162,7 @@ def disorder_specificity(t: Tables) -> DataFrame:
             F.struct(F.lit("remainder").alias("feature"), (F.col("n_chars") % 97).cast("double").alias("v")),
         )).alias("f"),
     ).select("doc_id", "stratum", "f.*")
-    case, other, ctrl = PTSD, F.col("stratum") == "somatoform", F.col("stratum").startswith("control_")
+    case, other, ctrl = is_ptsd(), F.col("stratum") == "somatoform", F.col("stratum").startswith("control_")
     same_format = F.col("stratum") == "control_A"
     parts = [("pc", F.when(case, True).when(ctrl, False)), ("sc", F.when(other, True).when(same_format, False)), ("ps", F.when(case, True).when(other, False))]
     table = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.operators import metrics, ordered
@@ -39,7 +39,9 @@ def scored(t: Tables) -> DataFrame:
     )
 
 
-PTSD = F.col("stratum") == "ptsd"
+def is_ptsd() -> Column:
+    return F.col("stratum") == "ptsd"
+
 
 # rank-sum AUC of column s for label y within column g
 RANK_AUC = """
@@ -77,7 +79,7 @@ def auc_rank(t: Tables) -> DataFrame:
     "SELECT a.g AS stratum, CAST((SELECT count(*) FROM scored s WHERE s.stratum = a.g) AS BIGINT) AS n, a.auc FROM a"
 )
 def auc_by_stratum(t: Tables) -> DataFrame:
-    out = metrics.auc_against(scored(t), "p", PTSD, "stratum")
+    out = metrics.auc_against(scored(t), "p", is_ptsd(), "stratum")
     return out.select("stratum", "n", r6("auc").alias("auc"))
 
 
@@ -109,18 +111,18 @@ SELECT round(30 * greatest(0, ({_auc_sql("'control_A','control_B','control_C','c
 def score_formula(t: Tables) -> DataFrame:
     rows, s = scored(t), F.col("stratum")
     is_ = lambda *names: s.isin(*names)
-    one = metrics.selection_score(rows, [], "p", PTSD, s.startswith("control_"), [is_("somatoform")], "score_controls")
+    one = metrics.selection_score(rows, [], "p", is_ptsd(), s.startswith("control_"), [is_("somatoform")], "score_controls")
     two = metrics.selection_score(
-        rows, [], "p", PTSD, is_("control_A", "control_B", "somatoform"),
+        rows, [], "p", is_ptsd(), is_("control_A", "control_B", "somatoform"),
         [is_("control_A"), is_("control_B"), is_("somatoform")], "score_groups",
     )
     three = metrics.selection_score(
-        rows, [], "p", PTSD, is_("control_A", "control_B"), [is_("control_ageing"), is_("somatoform")], "score_specific"
+        rows, [], "p", is_ptsd(), is_("control_A", "control_B"), [is_("control_ageing"), is_("somatoform")], "score_specific"
     )
     free = metrics.selection_score_two_aucs(
-        rows, [], "p", PTSD, is_("control_A", "control_B", "control_C"), is_("control_ageing", "somatoform"), "score_free"
+        rows, [], "p", is_ptsd(), is_("control_A", "control_B", "control_C"), is_("control_ageing", "somatoform"), "score_free"
     )
-    every = ordered.auc(rows, [], "p", PTSD, name="auc_all")
+    every = ordered.auc(rows, [], "p", is_ptsd(), name="auc_all")
     out = one
     for other in (two, three, free, every):  # every frame is one row
         out = out.crossJoin(F.broadcast(other))
@@ -139,7 +141,7 @@ GROUP BY GROUPING SETS ((stratum), ())
 """
 )
 def threshold_metrics(t: Tables) -> DataFrame:
-    out = metrics.threshold_metrics(scored(t), "p", PTSD, F.col("stratum").isin("control_A", "control_B"), "stratum")
+    out = metrics.threshold_metrics(scored(t), "p", is_ptsd(), F.col("stratum").isin("control_A", "control_B"), "stratum")
     cols = ("sensitivity", "specificity", "balanced_vs_controls", "balanced_vs_all")
     return out.select("stratum", "n", *[r6(c).alias(c) for c in cols])
 
@@ -158,7 +160,7 @@ SELECT round(quantile_cont(cut, 0.5), 6) AS shift FROM g, (SELECT min(gap) AS b
 )
 def equal_error(t: Tables) -> DataFrame:
     rows = scored(t).withColumn("z", F.round(F.ln(F.col("p") / (1 - F.col("p"))), 9))
-    out = metrics.equal_error_shift(rows, "z", PTSD, F.col("stratum").isin("control_ageing", "somatoform"))
+    out = metrics.equal_error_shift(rows, "z", is_ptsd(), F.col("stratum").isin("control_ageing", "somatoform"))
     return out.select(r6("shift").alias("shift"))
 
 
@@ -203,10 +205,10 @@ def age_bands(t: Tables) -> DataFrame:
     band = F.lit(None)
     for name, lo, hi in reversed(BANDS):
         band = F.when((F.col("n_chars") >= lo) & (F.col("n_chars") < hi), name).otherwise(band)
-    rest = rows.filter(~PTSD).withColumn("band", band)
+    rest = rows.filter(~is_ptsd()).withColumn("band", band)
     per = rest.groupBy("band").agg(F.count("p").alias("n"), metrics.share(F.col("p") < 0.5).alias("specificity"))
     mid = ordered.median(rest, ["band"], "p", "median_p")
-    area = metrics.auc_against(rows, "p", PTSD, band).select(F.col("stratum").alias("band"), "auc")
+    area = metrics.auc_against(rows, "p", is_ptsd(), band).select(F.col("stratum").alias("band"), "auc")
     bands = t.spark.createDataFrame([(b,) for b, _, _ in BANDS], "band string")
     out = bands.join(per, "band", "left").join(mid, "band", "left").join(area, "band", "left")
     return out.select(
@@ -236,7 +238,7 @@ SELECT p AS threshold, round(sum(np) OVER (ORDER BY p DESC) / sum(np) OVER (), 6
 """
 )
 def roc_curve(t: Tables) -> DataFrame:
-    out = metrics.roc_points(scored(t), "p", PTSD)
+    out = metrics.roc_points(scored(t), "p", is_ptsd())
     return out.select("threshold", r6("tpr").alias("tpr"), r6("fpr").alias("fpr"))
 
 
@@ -292,7 +294,7 @@ SELECT prevalence, round(sens * prevalence / (sens * prevalence + (1 - spec) * (
 def prevalence_odds(t: Tables) -> DataFrame:
     hit = F.col("p") >= 0.5
     rates = scored(t).agg(
-        metrics.share(F.when(PTSD, hit)).alias("sens"), metrics.share(F.when(~PTSD, ~hit)).alias("spec"), metrics.share(PTSD).alias("prior")
+        metrics.share(F.when(is_ptsd(), hit)).alias("sens"), metrics.share(F.when(~is_ptsd(), ~hit)).alias("spec"), metrics.share(is_ptsd()).alias("prior")
     )
     q = F.explode(F.array(*map(F.lit, (0.01, 0.05, 0.1, 0.3)))).alias("prevalence")
     q_, sens, spec, prior = F.col("prevalence"), F.col("sens"), F.col("spec"), F.col("prior")

@@ -26,3 +26,12 @@ def test_query_matches_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = entry.queries()[name](spark, str(SF)).toPandas()
     assert compare(got, con.execute(entry.oracle_sql()[name]).df()) == "ok"
+
+
+def test_queries_can_be_listed_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= 90, bool(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True, timeout=120)
+    assert said.stdout.split() == ["True", "True"], said.stderr[-500:]
