@@ -3,7 +3,7 @@
 Lengths are integers up to the capacity, so the histogram of lengths is a bounded table whatever the corpus holds. The
 plan is made on histograms only:
 
-1. lengths above ``capacity / SMALL_PART`` are ordered downwards and cut into groups of equal cardinality; a group counts
+1. lengths above a part of the capacity are ordered downwards and cut into groups of equal cardinality; a group counts
    as its largest length (rounding up);
 2. few sizes remain; the best mix of configurations (multisets of sizes that fit one sequence) comes from the
    configuration linear program, solved by column generation with a knapsack, rounded down, and first-fit for the rest;
@@ -33,8 +33,9 @@ from sigloom.llm.common import ranked_within, small_batches, stored, whole_text
 from sigloom.llm.token_cache import chunk_encoder
 
 CAPACITY = 4096
-GROUPS = 32
-SMALL_PART = 8
+GROUPS = 16
+#: lengths above capacity / part are large; the part with the fewest planned sequences is taken
+SMALL_PARTS = (3, 4, 8)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Span = tuple[int, int, int, int]  # first position, end, first sequence, items a sequence
 
@@ -113,8 +114,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, steps: in
     return chosen
 
 
-def plan_large(counts: dict[int, int], capacity: int, groups: int = GROUPS) -> tuple[list[Span], int]:
-    """Spans over the positions of all large documents, longest first; and the number of sequences used."""
+def plan_large(counts: dict[int, int], capacity: int, groups: int = GROUPS) -> tuple[list[Span], int, list[tuple[int, int, int]]]:
+    """Spans over the positions of all large documents, longest first; the sequences used; their free space as planned."""
     lengths = sorted(counts, reverse=True)
     total = sum(counts.values())
     sizes, demand, begin = [], [], []
@@ -131,14 +132,15 @@ def plan_large(counts: dict[int, int], capacity: int, groups: int = GROUPS) -> t
             sizes.append(size)
             demand.append(end - first)
             begin.append(first)
-    spans, used, taken = [], 0, [0] * len(sizes)
+    spans, used, taken, free = [], 0, [0] * len(sizes), []
     for column, times in configurations(sizes, demand, capacity):
         for g in np.flatnonzero(column):
             first = begin[g] + taken[g]
             spans.append((first, first + int(column[g]) * times, used, int(column[g])))
             taken[g] += int(column[g]) * times
+        free.append((capacity - int(column @ np.array(sizes)), used, times))
         used += times
-    return sorted(spans), used
+    return sorted(spans), used, free
 
 
 def plan_small(small: dict[int, int], free: list[tuple[int, int, int]], capacity: int, opened: int) -> tuple[dict[int, list[Span]], int]:
@@ -191,6 +193,16 @@ def plan_small(small: dict[int, int], free: list[tuple[int, int, int]], capacity
     return plan, opened
 
 
+def small_limit(counts: dict[int, int], capacity: int, groups: int = GROUPS) -> int:
+    """Length up to which documents are small: the choice that plans the fewest sequences, on rounded lengths."""
+    found = []
+    for part in SMALL_PARTS:
+        limit = capacity // part
+        _, used, free = plan_large({n: c for n, c in counts.items() if n > limit}, capacity, groups)
+        found.append((plan_small({n: c for n, c in counts.items() if n <= limit}, [f for f in free if f[0]], capacity, used)[1], part, limit))
+    return min(found)[2]
+
+
 def _follow(df: DataFrame, position: str, spans: list[Span], out: str, by: str | None = None, plan: dict[int, list[Span]] | None = None) -> DataFrame:
     """Adds ``out``: the sequence of a position, by binary search in the spans (of the row's ``by`` where given)."""
     tables = {k: np.array(v, np.int64).reshape(-1, 4) for k, v in (plan if plan is not None else {0: spans}).items()}
@@ -214,12 +226,12 @@ def _follow(df: DataFrame, position: str, spans: list[Span], out: str, by: str |
 def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to written pieces (columns ``doc_id, piece, start, length``; 1 <= length <= capacity)."""
     order = ["doc_id", "piece", "start"]
-    small_to = capacity // SMALL_PART
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
+    small_to = small_limit(counts, capacity, groups)
     ranked = ranked_within(pieces, "length", order)
     large = {n: c for n, c in counts.items() if n > small_to}
     small = {n: c for n, c in counts.items() if n <= small_to}
-    spans, used = plan_large(large, capacity, groups)
+    spans, used, _ = plan_large(large, capacity, groups)
 
     starts, at = {}, 0
     for n in sorted(large, reverse=True):
