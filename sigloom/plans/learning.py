@@ -135,7 +135,7 @@ def population(t: Tables) -> DataFrame:
 PROTOCOL = nested.Protocol(
     name="documents",
     feature_sets={"size": FEATURES[:3], "all": FEATURES},
-    candidates=tuple(nested.Candidate(c, n, f) for f in ("size", "all") for n in nested.NEGATIVES for c in (0.03, 0.3)),
+    candidates=tuple(nested.Candidate(c, n, f, w) for w in (1.0, 3.0) for f in ("size", "all") for n in nested.NEGATIVES for c in nested.C_GRID),
     controls=("control_en", "control_de", "control_fr", "control_es"),
 )
 
