@@ -14,6 +14,7 @@ stay; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm.common import shuffle_parts, small_batches, whole_text
-from sigloom.llm.token_cache import chunk_encoder, plain_tokenizer
+from sigloom.llm.token_cache import byte_letters, chunk_encoder, plain_tokenizer
 
 LEAF_CHARS = 8192
 SPREAD_CHARS = 1 << 16
@@ -166,14 +167,35 @@ class TreeEncoder:
         return out
 
 
-def digests(tok, names: list[str], ids: list[np.ndarray]) -> dict[str, list]:
-    """Count, digest of the decimal ids and digest of the decoded text."""
-    lists = [x.tolist() for x in ids]
-    sha = [hashlib.sha256(",".join([names[i] for i in x]).encode()).hexdigest() for x in lists]
-    decoded = [hashlib.sha256(t.encode()).hexdigest() for t in tok.decode_batch(lists, skip_special_tokens=False)]
-    return {"n_tokens": [len(x) for x in lists], "ids_sha256": sha, "decoded_sha256": decoded}
+class Digester:
+    """Digests of ids and of what they decode to. Byte-level tokens are bytes, so decoding joins them; should the bytes not be
+    valid UTF-8, the library decodes."""
 
+    def __init__(self, tree: TreeEncoder) -> None:
+        byte_of = {letter: bytes([b]) for b, letter in enumerate(byte_letters())}
+        self.tok = tree.tok
+        self.names = [str(i) for i in range(len(tree.pieces))]
+        self.raw = [t.encode() if t in tree.special else b"".join([byte_of[c] for c in t]) for t in tree.pieces]
 
+    def _decoded(self, ids: list[int]) -> bytes:
+        raw = b"".join([self.raw[i] for i in ids])
+        try:
+            raw.decode()
+        except UnicodeDecodeError:
+            return self.tok.decode(ids, skip_special_tokens=False).encode()
+        return raw
+
+    def digests(self, ids: list[np.ndarray]) -> dict[str, list]:
+        lists = [x.tolist() for x in ids]
+        sha = [hashlib.sha256(",".join([self.names[i] for i in x]).encode()).hexdigest() for x in lists]
+        return {"n_tokens": [len(x) for x in lists], "ids_sha256": sha, "decoded_sha256": [hashlib.sha256(self._decoded(x)).hexdigest() for x in lists]}
+
+
+@functools.cache
+def tools(tokenizer: str, leaf: int) -> tuple[TreeEncoder, Digester]:
+    """Built once per worker."""
+    tree = TreeEncoder(tokenizer, leaf)
+    return tree, Digester(tree)
 
 
 def _leaf_spans(n: int, leaf: int) -> list[tuple[int, int]]:
@@ -190,10 +212,9 @@ def _leaf_spans(n: int, leaf: int) -> list[tuple[int, int]]:
 
 def _short_texts(docs: DataFrame, tokenizer: str, leaf: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = TreeEncoder(tokenizer, leaf)
-        names = [str(i) for i in range(len(tree.pieces))]
+        tree, digester = tools(tokenizer, leaf)
         for batch in batches:
-            got = digests(tree.tok, names, tree.encode_batch(batch.column("text").to_pylist()))
+            got = digester.digests(tree.encode_batch(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(got["n_tokens"], pa.int64())} | {k: got[k] for k in ("ids_sha256", "decoded_sha256")})
 
     return docs.mapInArrow(run, f"doc_id long, {DIGEST}")
@@ -210,19 +231,19 @@ def _long_texts(texts: DataFrame, tokenizer: str, leaf: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"key": [key] * len(cut), "k": pa.array(range(len(cut)), pa.int32()), "text": [text[a:b] for a, b in cut]})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = TreeEncoder(tokenizer, leaf)
+        tree, _ = tools(tokenizer, leaf)
         for batch in batches:
             made = [tree.part(t) for t in batch.column("text").to_pylist()]
             rows = {"key": batch.column("key"), "k": batch.column("k"), "text": batch.column("text")}
             yield pa.RecordBatch.from_pydict(rows | {c: [getattr(p, c).astype("<u4").tobytes() for p in made] for c in ("ids", "starts", "at")})
 
     def join(_: tuple, group: pa.Table) -> pa.Table:
-        tree = TreeEncoder(tokenizer, leaf)
+        tree, digester = tools(tokenizer, leaf)
         rows = sorted(group.to_pylist(), key=lambda r: r["k"])
         read = lambda r, c: np.frombuffer(r[c], "<u4")
         leaves = iter([Part(read(r, "ids"), read(r, "starts").astype(np.int64), read(r, "at").astype(np.int64)) for r in rows])
         ids = tree.tree("".join(r["text"] for r in rows), leaves).ids
-        got = digests(tree.tok, [str(i) for i in range(len(tree.pieces))], [ids])
+        got = digester.digests([ids])
         return pa.table({"key": [rows[0]["key"]], "n_tokens": pa.array(got["n_tokens"], pa.int64())} | {k: got[k] for k in ("ids_sha256", "decoded_sha256")})
 
     leaves = texts.mapInArrow(spans, "key string, k int, text string").repartition(parts, "key", "k")
