@@ -223,13 +223,15 @@ def likely_pairs(n: np.ndarray, pos: np.ndarray, maps: list[bytes], percent: int
 
 def _candidate_links(base: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between set digests that hold every similar pair within a component."""
-    rows = base.select("sid", F.col("n_shingles").cast("int").alias("n"), F.posexplode(F.arrays_zip("keys", "ranks")).alias("pos", "_e"))
-    rows = rows.select(F.col("_e.keys").alias("key"), F.col("_e.ranks").alias("rank"), "sid", "n", "pos")
-    owners = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.bit_xor("sid").alias("_x"), F.min("sid").alias("lowest"), F.max("sid").alias("_high"), F.min("rank").alias("rank"))
+    rows = base.select("sid", F.col("n_shingles").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key"))
+    # exact copies count once: the digests below tell sets of owners apart only if every owner enters one time
+    sole = base.select("sid", "keys", "ranks").dropDuplicates(["sid"]).select("sid", F.explode(F.arrays_zip("keys", "ranks")).alias("_e"))
+    sole = sole.select(F.col("_e.keys").alias("key"), F.col("_e.ranks").alias("rank"), "sid")
+    owners = sole.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.bit_xor("sid").alias("_x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("_y"), F.min("sid").alias("lowest"), F.max("sid").alias("_high"), F.min("rank").alias("rank"))
     owners = owners.filter("lowest < _high")
     # one key for each group of owners: the first in the common order, so positions stay valid for the first common element
-    kept = owners.groupBy("_c", "_x", "lowest", "_high").agg(F.min(F.struct("rank", "key")).alias("_k")).select(F.col("_k.key").alias("key"), "lowest")
-    members = stored(rows.drop("rank").join(kept, "key").distinct(), "members")
+    kept = owners.groupBy("_c", "_x", "_y", "lowest", "_high").agg(F.min(F.struct("rank", "key")).alias("_k")).select(F.col("_k.key").alias("key"), "lowest")
+    members = stored(rows.join(kept, "key").distinct(), "members")
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n_owners"))
     members = members.join(counts, "key")
     large = members.filter(F.col("n_owners") > SMALL_KEY).select(F.col("sid").alias("a"), F.col("lowest").alias("b"))

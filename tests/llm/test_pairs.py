@@ -66,6 +66,18 @@ def test_near_copies_of_every_strength(spark, monkeypatch):
     assert sorted(map(tuple, signature_tree.near_duplicates(docs).collect()), key=str) == brute(rows)
 
 
+def test_even_numbers_of_copies_keep_their_keys(spark):
+    rows = []
+    for group in range(24):
+        words = [f"g{group}w{i}" for i in range(54)]
+        first, second = list(words), list(words)
+        first[14], second[34] = "changed", "altered"
+        # two copies each of two near copies: their digests cancel out of an xor over rows
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate([words, [*words, "more"], first, first, second, second])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, signature_tree.near_duplicates(docs).collect()), key=str) == brute(rows)
+
+
 def test_forest_finds_all_components():
     rnd = np.random.default_rng(2)
     sets = []
