@@ -58,7 +58,7 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
             (
                 1.0, min(len(raw), 2000) / 500, upper / letters, 10 * min(0.3, signs / n), 5 * min(0.4, digits / n), 5 * min(0.4, ends / n), (upper + lower) / n,
                 len(set(words)) / k, min(k, 200) / 50, min(n / k, 20) / 10, float(seen[line] > 1 and bool(words)), float(raw[-1:] in (b".", b"?", b'"')),
-                float(2 * sum(not w.isalnum() for w in words[:400]) > min(k, 400)), float(not words),
+                float(2 * sum(not w.isalnum() for w in words) > k), float(not words),
             )
         )
     return np.array(rows, np.float32), np.array([max(1, len(s)) for s in lines], np.float64)

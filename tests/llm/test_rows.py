@@ -182,6 +182,11 @@ def test_line_crf(spark):
     assert line_crf.score_documents(empty(spark).select("doc_id", "text"), model).count() == 0
 
 
+def test_line_features_read_the_whole_line():
+    marks = line_crf.line_features("word " * 400 + "!! " * 600)[0][0, 12], line_crf.line_features("!! " * 400 + "word " * 600)[0][0, 12]
+    assert marks == (1.0, 0.0)
+
+
 def test_chain_equals_enumeration():
     rnd = np.random.default_rng(0)
     model = line_crf.LineCrf(np.zeros(3 * line_crf.FEATURES), rnd.normal(size=(2, 2)))
