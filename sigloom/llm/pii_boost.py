@@ -2,9 +2,12 @@
 
 Base spans come from four fixed patterns with exact validators and always stay. Three loose generators propose further,
 overlapping candidates (obfuscated addresses, separated digit groups, dotted quads with odd separators). A candidate's
-format and context give binary features. For each kind a few boosted trees learn to tell candidates that hold a base span
-from those that do not, and a threshold is calibrated on documents that the trees have not seen: the lowest score from
-which on at least ``PRECISION`` of the candidates are right. Candidates above it that touch no base span are added.
+format and context give binary features. A candidate is right if it touches a base span of its kind or if its normalised
+form is valid (``FORM``): "(at)" and "(dot)" read as "@" and ".", separators removed, the kind's validator, and a marker,
+grouping or word before it as context. Right forms that touch no base span are always added, however frequent they are.
+For each kind a few boosted trees learn to tell right candidates from others, and a threshold is calibrated on documents
+that the trees have not seen: the lowest score from which on at least ``PRECISION`` of the candidates are right, where the
+precision in training counts as one candidate more. Candidates above it that touch no base span are added too.
 
 The feature table is one aggregation of all candidates by kind and feature bits: a table whose size is bounded by the number
 of bit patterns. Trees become column expressions. Positions are code points, from the lengths of the pieces between matches.
@@ -45,7 +48,6 @@ LOOSE = {
 TREES = 24
 RATE = 0.4
 PRECISION = 0.98
-LEAST_CALIBRATION = 30
 FEATURE_NAMES = (
     "plus_first", "blank_inside", "dash_inside", "dot_inside", "bracket_inside", "letters_inside", "digits_10_15", "digits_14_19",
     "luhn", "bytes", "word_before", "blank_before", "blank_after", "sign_after",
@@ -107,8 +109,36 @@ def _bits(hit: Column, before: Column, after: Column) -> Column:
     return bits
 
 
+def _said_before(before: Column, words: str) -> Column:
+    return F.right(before, F.lit(24)).rlike(rf"(?i)(?<![a-z])(?:{words})[^\p{{L}}\p{{N}}]*$")
+
+
+def _address_form(hit: Column, before: Column) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(hit, r" ?[(\[]at[)\]] ?", "@"), r" ?[(\[]dot[)\]] ?", ".")
+    # a blank at "@" needs a word before it; a blank behind a plain dot is the end of a sentence
+    valid = F.regexp_replace(plain, " ?@ ?", "@").rlike(rf"^[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++(?<=\.[A-Za-z]{{2,63}})(?:$|[. ])")
+    return valid & (hit.rlike(r"[(\[]at[)\]]") | _said_before(before, "e-?mails?|contact|address|write to"))
+
+
+def _card_form(hit: Column, before: Column) -> Column:
+    return _luhn(hit) & (hit.rlike(r"^[0-9]{4}([^0-9]{1,2})[0-9]{4,6}(?:\1[0-9]{3,5})+$") | _said_before(before, "card|visa|account|(?:card|account) (?:number|no)"))
+
+
+def _phone_form(hit: Column, before: Column) -> Column:
+    grouped = hit.rlike(r"^\+?(?:1[ .-])?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4})$")
+    return VALID["phone"](hit) & (hit.startswith("+") | grouped | _said_before(before, "tel|telephone|phone|call|fax|mobile|(?:phone|fax|mobile) (?:number|no)"))
+
+
+def _quad_form(hit: Column, before: Column) -> Column:
+    marked = hit.rlike(r"^[0-9]+(?:(?: ?[(\[]\.[)\]] ?[0-9]+){3}|(?: \. [0-9]+){3})$")
+    return VALID["ip"](F.regexp_replace(hit, "[^0-9]+", ".")) & (marked | _said_before(before, "ip|host|server|ip address"))
+
+
+# right normalised forms of loose candidates
+FORM: dict[str, Callable[[Column, Column], Column]] = {"email": _address_form, "ip": _quad_form, "card": _card_form, "phone": _phone_form}
+
 SPAN = "struct<start:int,end:int,kind:int>"
-CANDIDATE = "struct<start:int,end:int,kind:int,bits:int>"
+CANDIDATE = "struct<start:int,end:int,kind:int,bits:int,forms:int>"
 
 
 def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
@@ -122,7 +152,8 @@ def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
     loose = []
     for name, (pattern, kinds) in LOOSE.items():
         may = (F.contains(t, F.lit("@")) | t.rlike(r"[(\[]at[)\]]")) if name == "address" else digits
-        made = lambda b, e, h, x, y: (F.lit(True), F.struct(b.alias("start"), e.alias("end"), F.lit(0).alias("kind"), _bits(h, x, y).alias("bits")))
+        forms = lambda h, x, kinds=kinds: sum((F.when(FORM[k](h, x), 1 << KINDS.index(k)).otherwise(0) for k in kinds), F.lit(0))
+        made = lambda b, e, h, x, y, forms=forms: (F.lit(True), F.struct(b.alias("start"), e.alias("end"), F.lit(0).alias("kind"), _bits(h, x, y).alias("bits"), forms(h, x).alias("forms")))
         found = _spans(t, pattern, may, made, CANDIDATE)
         for kind in kinds:
             loose.append((F.lit(KINDS.index(kind)), found, name, kind))
@@ -135,7 +166,11 @@ def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _as_kind(found: str, k: Column) -> Column:
-    return F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), k.cast("int").alias("kind"), c["bits"].alias("bits")))
+    return F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), k.cast("int").alias("kind"), c["bits"].alias("bits"), c["forms"].alias("forms")))
+
+
+def _right_form(c: Column) -> Column:
+    return c["forms"].bitwiseAND(F.call_function("shiftleft", F.lit(1), c["kind"])) != 0
 
 
 def _number_of(k: int) -> Column:
@@ -207,12 +242,13 @@ def fit_booster(table: list[tuple[int, int, int, int, int]]) -> Booster:
         for bits in scores:
             a, b, c, v = tree
             scores[bits] += v[2 * (bits >> a & 1) + (bits >> (c if bits >> a & 1 else b) & 1)]
-    good = bad = 0
+    good = bad = seen_good = seen_bad = 0
     ranked = sorted(table, key=lambda r: -scores[r[0]])
-    for i, (bits, _, _, p, n) in enumerate(ranked):
-        good, bad = good + p, bad + n
+    for i, (bits, tp, tn, p, n) in enumerate(ranked):
+        good, bad, seen_good, seen_bad = good + p, bad + n, seen_good + tp, seen_bad + tn
+        share = (seen_good + 0.5) / (seen_good + seen_bad + 1)
         ends = i + 1 == len(ranked) or scores[ranked[i + 1][0]] < scores[bits]
-        if ends and good + bad >= LEAST_CALIBRATION and good >= PRECISION * (good + bad):
+        if ends and good + share >= PRECISION * (good + bad + 1):
             model.threshold = scores[bits]
     return model
 
@@ -220,7 +256,7 @@ def fit_booster(table: list[tuple[int, int, int, int, int]]) -> Booster:
 def train(docs: DataFrame, text: str = "text") -> dict[int, Booster]:
     """One aggregation over the candidates of all documents; every fifth text (by hash) calibrates."""
     found = with_candidates(docs.select(F.col(text).alias("text"))).withColumn("_fold", F.pmod(F.xxhash64(whole_text()), F.lit(5)) == 0)
-    rows = found.select("_fold", F.explode(F.transform("_loose", lambda c: F.struct(c["kind"].alias("kind"), c["bits"].alias("bits"), _touches(c, "_base", True).alias("ok")))).alias("c"))
+    rows = found.select("_fold", F.explode(F.transform("_loose", lambda c: F.struct(c["kind"].alias("kind"), c["bits"].alias("bits"), (_touches(c, "_base", True) | _right_form(c)).alias("ok")))).alias("c"))
     count = lambda fold, ok: F.count_if((F.col("_fold") == fold) & (F.col("c.ok") == ok))
     table = rows.groupBy(F.col("c.kind").alias("kind"), F.col("c.bits").alias("bits")).agg(count(False, True).alias("p"), count(False, False).alias("n"), count(True, True).alias("cp"), count(True, False).alias("cn"))
     by_kind: dict[int, list[tuple[int, int, int, int, int]]] = {}
@@ -232,16 +268,15 @@ def train(docs: DataFrame, text: str = "text") -> dict[int, Booster]:
 def with_spans(df: DataFrame, models: dict[int, Booster], text: str = "text") -> DataFrame:
     """Adds ``_base`` and ``_spans``: base spans, and both kinds of spans by start, kind and end."""
     found = with_candidates(df, text)
-    taken = F.lit(False)
     live = {k: m for k, m in models.items() if m.threshold < math.inf}
 
     def chosen(c: Column) -> Column:
-        ok = taken
+        ok = _right_form(c)
         for k, m in live.items():
             ok = ok | ((c["kind"] == k) & (m.column(c["bits"]) >= m.threshold - 1e-9))
         return ok & ~_touches(c, F.col("_base"), False)
 
-    extra = F.transform(F.filter("_loose", chosen), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))) if live else F.array().cast(f"array<{SPAN}>")
+    extra = F.transform(F.filter("_loose", chosen), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
     return found.withColumn("_spans", F.array_sort(F.array_distinct(F.concat("_base", extra)), _by_place)).drop("_loose")
 
 

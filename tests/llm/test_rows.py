@@ -126,6 +126,18 @@ def test_boosted_candidates_and_redaction(spark):
     assert pii_boost.fit_booster([(1, 5, 0, 5, 0)]).threshold == float("inf")
 
 
+def test_obfuscated_forms_are_taken_at_any_frequency(spark):
+    forms = {"write x.y (at) mail (dot) org soon": "write [EMAIL] soon", "paid 4111.1111.1111.1111 today": "paid [CARD] today", "phone: 202-555-0143 x": "phone: [PHONE] x", "seen 10[.]0[.]0[.]7 twice": "seen [IP] twice"}
+    wrong = ["lunch @ noon. Then home", "on 2020-01-02 10-11-13 we met", "4111.1111.1111.1112 is no card", "lists 1. 2. 3. 4 follow", "from 300[.]0[.]0[.]7 on"]
+    for often in (1, 60):
+        texts = [t for t in [*forms, *wrong] for _ in range(often)]
+        docs = spark.createDataFrame([(i, f"{t} {i}x") for i, t in enumerate(texts)], "doc_id long, text string")
+        out = {r["doc_id"]: r["text"] for r in pii_boost.redact(docs, pii_boost.train(docs)).collect()}
+        assert out == {i: f"{forms.get(t, t)} {i}x" for i, t in enumerate(texts)}
+    # few candidates are weighed, not refused
+    assert pii_boost.fit_booster([(1, 40, 0, 9, 0), (2, 0, 40, 0, 9)]).threshold < float("inf")
+
+
 def test_fingerprints(spark):
     rows = sorted(awkward_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     got = {}
