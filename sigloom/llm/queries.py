@@ -127,3 +127,85 @@ WITH RECURSIVE v AS (
 SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
 FROM embeddings e JOIN m ON m.s = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 """
+
+
+@registered
+def op11_hash_set_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm import decontamination
+
+    return decontamination.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("spans")
+
+
+ORACLES["op11_hash_set_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS k, unnest(list_transform(range(1, greatest(1, len(ws) - 9) + 1), lambda i: array_to_string(ws[i:i + 9], ' '))) AS w FROM b WHERE len(ws) > 0
+), ks AS (SELECT DISTINCT k FROM bw
+), dw AS (
+  SELECT r, k, unnest(range(1, CAST(len(ws) - k + 2 AS BIGINT))) AS i, unnest(list_transform(range(1, CAST(len(ws) - k + 2 AS BIGINT)), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS w FROM d, ks WHERE len(ws) >= k
+), m AS (SELECT r, i, dw.k, item_id FROM dw JOIN bw ON dw.w = bw.w AND dw.k = bw.k
+), h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM m) GROUP BY r
+), t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY r)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, h.r IS NOT NULL AS contaminated
+FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN t ON t.r = d.r
+"""
+
+
+@registered
+def op12_skip_list_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm import skip_list_fim
+
+    return skip_list_fim.digests(load(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_skip_list_fim"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS ls, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents
+), c AS (
+  SELECT *, len(ls) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(ls) + 1) AS r1, CAST('0x' || h[9:16] AS BIGINT) % (len(ls) + 1) AS r2,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain' WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT *, array_to_string(ls[1:least(r1, r2)], '') AS pre, array_to_string(ls[least(r1, r2) + 1:greatest(r1, r2)], '') AS mid, array_to_string(ls[greatest(r1, r2) + 1:n], '') AS suf FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+
+@registered
+def op13_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm import gnat_codes
+
+    return gnat_codes.compress(load(spark, sf_dir, "embeddings"))
+
+
+def _assigned(book: str) -> str:
+    """SQL: nearest entry of every part, ties to the lower index."""
+    return f"""SELECT p.r, p.part, p.x, d.e, d.d2 FROM p JOIN LATERAL (
+      SELECT b.e, CAST(list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i]))) AS BIGINT) AS d2 FROM {book} b WHERE b.part = p.part ORDER BY d2, e LIMIT 1) d ON true"""
+
+
+def _updated(found: str, book: str) -> str:
+    """SQL: entries replaced by the floored means of their parts; unused entries stay."""
+    return f"""SELECT b.part, b.e, coalesce(m.x, b.x) AS x FROM {book} b LEFT JOIN (
+      SELECT part, e, list(x ORDER BY i) AS x FROM (SELECT part, e, i, CAST(floor(sum(v) / count(*)) AS BIGINT) AS x FROM (SELECT part, e, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS v FROM {found}) GROUP BY part, e, i) GROUP BY part, e) m ON m.part = b.part AND m.e = b.e"""
+
+
+ORACLES["op13_gnat_codes"] = f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), p AS MATERIALIZED (SELECT r, CAST(part AS INTEGER) AS part, v[part * len(v) // 16 + 1:(part + 1) * len(v) // 16] AS x FROM k, range(16) t(part)
+), b0 AS MATERIALIZED (SELECT part, r - 1 AS e, x FROM p WHERE r <= 64
+), a0 AS MATERIALIZED ({_assigned('b0')}
+), b1 AS MATERIALIZED ({_updated('a0', 'b0')}
+), a1 AS MATERIALIZED ({_assigned('b1')}
+), b2 AS MATERIALIZED ({_updated('a1', 'b1')}
+), a2 AS MATERIALIZED ({_assigned('b2')}
+), c AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d2) AS BIGINT) AS error FROM a2 GROUP BY r
+), s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c ON c.r = k.r, s
+"""
