@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.operators import folds, ordered
+from sigloom.operators import folds, ordered, replicates
+from sigloom.session import checkpointed
 
 N_BOOTSTRAP = 2000
 CI = {"ci_low": 0.025, "ci_high": 0.975}
@@ -22,34 +23,20 @@ def leave_group_out_mean(df: DataFrame, group: str, value: str) -> DataFrame:
     return joined.select(group, F.col("_n0").alias("n_test"), (F.col("_n1") - F.col("_n0")).alias("n_train"), rest.alias("train_mean"))
 
 
-def group_draws(groups: DataFrame, within: Sequence[str], group: str, n_boot: int, seed: int) -> DataFrame:
-    """Bootstrap multiplicities: (within, rep, group, m) for groups drawn at least once.
-
-    Every replicate draws as many groups as there are, with replacement; draw j of replicate b is a hash of
-    (seed, within, b, j). Draws are spread over the cluster and counted with partial sums.
-    """
-    index = folds.dense_index(groups, group, within)
-    slots = index.select(*within, F.col("idx").alias("_j"), "idx_count", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-    pick = folds.hash_number(seed, *[F.col(c) for c in within], F.col("rep"), F.col("_j")) % F.col("idx_count")
-    drawn = slots.select(*within, "rep", pick.alias("idx")).groupBy(*within, "rep", "idx").agg(F.count(F.lit(1)).alias("m"))
-    return drawn.join(index.select(*within, group, "idx"), [*within, "idx"]).select(*within, "rep", group, "m")
-
-
 def bootstrap_auc(
     df: DataFrame, keys: Sequence[str], group: str, scores: Sequence[str], positive: Column, n_boot: int = N_BOOTSTRAP, seed: int = 42
 ) -> DataFrame:
     """AUC per (keys, rep) for each score under one class-stratified group bootstrap.
 
-    Rows collapse to (class, group, score) counts before they meet the replicates.
+    Every replicate draws as many groups of a class as there are, with replacement; draw j of replicate b is a hash of
+    (seed, keys, class, b, j). Rows collapse to (class, group, score) counts before tasks turn them into replicate vectors.
     """
     keys = list(keys)
     rows = df.filter(positive.isNotNull()).withColumn("_cls", F.when(positive, "pos").otherwise("neg"))
-    draws = group_draws(rows.select(*keys, "_cls", group), [*keys, "_cls"], group, n_boot, seed)
+    index = checkpointed(replicates.indexed(rows.select(*keys, "_cls", group), [*keys, "_cls"], group, seed))
     out = None
     for score in scores:
-        counts = rows.filter(F.col(score).isNotNull()).groupBy(*keys, "_cls", group, score).agg(F.count(F.lit(1)).alias("_n"))
-        drawn = counts.join(draws, [*keys, "_cls", group])
-        area = ordered.auc(drawn, [*keys, "rep"], score, F.col("_cls") == "pos", F.col("_n") * F.col("m"), score)
+        area = replicates.auc(rows, keys, group, score, index, n_boot)
         out = area if out is None else out.join(area, [*keys, "rep"])
     return out
 
@@ -71,10 +58,9 @@ def rate_with_ci(df: DataFrame, keys: Sequence[str], group: str, hit: Column, n_
     """Share of hits with a group-bootstrap percentile interval per key."""
     keys = list(keys)
     rows = df.groupBy(*keys, group).agg(F.sum(hit.cast("double")).alias("_h"), F.count(hit).alias("_n"))
+    rows = checkpointed(rows)
     value = rows.groupBy(*keys).agg((F.sum("_h") / F.sum("_n")).alias("value"))
-    reps = rows.join(group_draws(rows, keys, group, n_boot, seed), [*keys, group])
-    reps = reps.groupBy(*keys, "rep").agg((F.sum(F.col("m") * F.col("_h")) / F.sum(F.col("m") * F.col("_n"))).alias("_r"))
-    ci = interval(reps, keys, "_r")
+    ci = interval(replicates.ratio(rows, keys, group, "_h", "_n", n_boot, seed, "_r"), keys, "_r")
     return value.join(ci, keys) if keys else value.crossJoin(F.broadcast(ci))
 
 

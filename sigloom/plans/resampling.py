@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.operators import folds, metrics, ordered, resample
+from sigloom.operators import folds, metrics, ordered, replicates, resample
 from sigloom.plans.registry import Tables, query, r6
 from sigloom.plans.statistics import SCORED, is_ptsd, scored
 
-B = 100
+B = resample.N_BOOTSTRAP
+PERMUTATIONS = 100
 
 
 def h32(*parts: str) -> str:
@@ -26,11 +27,31 @@ def logo_mean(t: Tables) -> DataFrame:
     return out.select("source", "n_test", "n_train", r6("train_mean").alias("train_mean"))
 
 
+def _mixed(src: str) -> str:
+    """SQL: ``src`` with its 31-bit column x mixed."""
+    keep = "* EXCLUDE (x)"
+    (a, b), (s, t, u) = replicates.FACTORS, replicates.SHIFTS
+    for step in (f"xor(x, x >> {s})", f"(x * {a}) & {replicates.BITS}", f"xor(x, x >> {t})", f"(x * {b}) & {replicates.BITS}", f"xor(x, x >> {u})"):
+        src = f"(SELECT {keep}, {step} AS x FROM {src})"
+    return src
+
+
+def _picks(ix: str, *keys: str) -> str:
+    """SQL: one row per slot of ``ix`` and replicate with the drawn index ``pick``; ``keys`` seed the draws."""
+    seed = "'42'"
+    base = f"(SELECT *, (({h32(seed, *keys)} & {replicates.BITS}) + rep) & {replicates.BITS} AS x FROM (SELECT DISTINCT {', '.join(keys)} FROM {ix}) CROSS JOIN range(0, {B}) r(rep))"
+    first = f"(SELECT *, x AS r1 FROM {_mixed(base)})"
+    second = f"(SELECT * EXCLUDE (x), x AS r2 FROM {_mixed(f'(SELECT * REPLACE (xor(x, {replicates.SECOND}) & {replicates.BITS} AS x) FROM {first})')})"
+    slots = f"(SELECT s.*, i.n, (r1 + i.idx) & {replicates.BITS} AS x FROM {second} s JOIN {ix} i USING ({', '.join(keys)}))"
+    last = _mixed(f"(SELECT * REPLACE (xor(x, r2) AS x) FROM {_mixed(slots)})")
+    return f"(SELECT *, x % n AS pick FROM {last})"
+
+
 def _draws(src: str, cls: str) -> str:
     """Multiplicities per (cls, rep, source) of the rows in ``src``."""
     return f"""
 k AS (SELECT DISTINCT {cls} AS cls, source FROM {src}), ix AS (SELECT cls, source, row_number() OVER (PARTITION BY cls ORDER BY source) - 1 AS idx, count(*) OVER (PARTITION BY cls) AS n FROM k),
-dr AS (SELECT cls, rep, {h32("'42'", "cls", "rep", "idx")} % n AS pick FROM ix CROSS JOIN range(0, {B}) r(rep)),
+dr AS (SELECT cls, rep, pick FROM {_picks('ix', 'cls')}),
 mult AS (SELECT dr.cls, dr.rep, ix.source, count(*) AS m FROM dr JOIN ix ON dr.cls = ix.cls AND dr.pick = ix.idx GROUP BY 1, 2, 3)"""
 
 
@@ -99,7 +120,7 @@ def permute_labels(t: Tables) -> DataFrame:
 
 
 @query(
-    SCORED + "," + _permuted(B) + """, u AS (SELECT m.perm AS g, s.p AS s, m.y FROM scored s JOIN moved m ON s.source = m.source),
+    SCORED + "," + _permuted(PERMUTATIONS) + """, u AS (SELECT m.perm AS g, s.p AS s, m.y FROM scored s JOIN moved m ON s.source = m.source),
 n AS (SELECT g, (sum(ar) FILTER (WHERE y = 1) - max(np) * (max(np) + 1) / CAST(2 AS DOUBLE)) / (max(np) * max(nn)) AS auc
   FROM (SELECT g, y, rank() OVER (PARTITION BY g ORDER BY s) + (count(*) OVER (PARTITION BY g, s) - 1) / CAST(2 AS DOUBLE) AS ar,
         CAST(count(*) FILTER (WHERE y = 1) OVER (PARTITION BY g) AS DOUBLE) AS np, CAST(count(*) FILTER (WHERE y = 0) OVER (PARTITION BY g) AS DOUBLE) AS nn FROM u) GROUP BY g HAVING max(np) > 0 AND max(nn) > 0)
@@ -112,7 +133,7 @@ def permutation_null(t: Tables) -> DataFrame:
     """Null distribution of an AUC under labels permuted between groups."""
     rows = scored(t).select("source", "p")
     observed = ordered.auc(scored(t), [], "p", F.col("y") == 1).select(F.round("auc", 12).alias("observed"))  # one number
-    moved = resample.permuted_labels(scored(t), "source", "doc_id", ["stratum", "y"], B)
+    moved = resample.permuted_labels(scored(t), "source", "doc_id", ["stratum", "y"], PERMUTATIONS)
     null = ordered.auc(rows.join(moved, "source"), ["perm"], "p", F.col("y") == 1).filter("auc IS NOT NULL")
     q = ordered.quantiles(null, [], "auc", {"null_q95": 0.95})
     null = null.crossJoin(F.broadcast(observed))
@@ -137,7 +158,8 @@ rows AS (SELECT 'pc' AS part, doc_id, feature, v, CASE WHEN stratum = 'ptsd' THE
   UNION ALL SELECT 'sc', doc_id, feature, v, CASE WHEN stratum = 'somatoform' THEN 'pos' ELSE 'neg' END FROM f WHERE stratum IN ('somatoform', 'control_A')
   UNION ALL SELECT 'ps', doc_id, feature, v, CASE WHEN stratum = 'ptsd' THEN 'pos' ELSE 'neg' END FROM f WHERE stratum IN ('ptsd', 'somatoform')),
 ix AS (SELECT part, feature, cls, doc_id, row_number() OVER (PARTITION BY part, feature, cls ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY part, feature, cls) AS n FROM rows),
-dr AS (SELECT part, feature, cls, rep, {h32("'42'", "feature", "cls", "rep", "idx")} % n AS pick FROM ix CROSS JOIN range(0, {B}) r(rep)),
+dr AS (SELECT part, feature, cls, rep, pick FROM (SELECT p.*, 'pc' AS part FROM {_picks("(SELECT * FROM ix WHERE part = 'pc')", "feature", "cls")} p
+  UNION ALL SELECT p.*, 'sc' FROM {_picks("(SELECT * FROM ix WHERE part = 'sc')", "feature", "cls")} p UNION ALL SELECT p.*, 'ps' FROM {_picks("(SELECT * FROM ix WHERE part = 'ps')", "feature", "cls")} p)),
 mult AS (SELECT dr.part, dr.feature, dr.cls, ix.doc_id, dr.rep, count(*) AS m FROM dr JOIN ix ON dr.part = ix.part AND dr.feature = ix.feature AND dr.cls = ix.cls AND dr.pick = ix.idx GROUP BY ALL
   UNION ALL SELECT part, feature, cls, doc_id, -1, 1 FROM ix),
 w AS (SELECT part, feature, rep, v, coalesce(sum(m) FILTER (WHERE cls = 'pos'), 0) AS wp, coalesce(sum(m) FILTER (WHERE cls = 'neg'), 0) AS wn FROM rows JOIN mult USING (part, feature, cls, doc_id) GROUP BY ALL),

@@ -9,7 +9,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from sigloom.operators import folds, learn, nested, ordered, resample
+from sigloom.operators import folds, learn, nested, ordered, replicates, resample
 
 
 @pytest.fixture(scope="module")
@@ -87,10 +87,32 @@ def test_group_bootstrap_brackets_the_value_and_same_scores_differ_by_zero(rows)
     assert d["value"] == d["ci_low"] == d["ci_high"] == 0.0
 
 
-def test_draws_use_every_slot(rows):
-    _, df = rows
-    d = resample.group_draws(df, [], "grp", 50, 42).groupBy("rep").agg(F.sum("m").alias("m")).toPandas()
-    assert len(d) == 50 and (d["m"] == 6).all()
+def test_draws_use_every_slot():
+    reps = np.arange(300)
+    m = replicates.multiplicities(12345, 40, reps, np.arange(40))
+    assert (m.sum(axis=0) == 40).all() and abs((m == 0).mean() - (1 - 1 / 40) ** 40) < 0.01
+    assert len({tuple(c) for c in m.T}) == 300 and np.abs(np.corrcoef(m.T) - np.eye(300)).max() < 0.75
+    some = replicates.multiplicities(12345, 40, reps[7:20], np.array([3, 30]))
+    assert (some == m[[3, 30], 7:20]).all()
+
+
+@pytest.mark.parametrize("small", [10**6, 0])
+def test_replicate_vectors_equal_drawn_rows(rows, monkeypatch, small):
+    pdf, df = rows
+    monkeypatch.setattr(ordered, "SMALL_ROWS", small)
+    df, pdf = df.withColumns({"g": F.col("row") % 17, "s": F.round("a", 1), "k": F.col("grp") % 2}), pdf.assign(g=pdf["row"] % 17, s=pdf["a"].round(1), k=pdf["grp"] % 2)
+    got = resample.bootstrap_auc(df, ["k"], "g", ["s"], F.col("y") == 1, 25).toPandas().set_index(["k", "rep"])["s"]
+    bases = {(r["k"], r["_cls"]): r["_base"] for r in replicates.indexed(df.withColumn("_cls", F.when(F.col("y") == 1, "pos").otherwise("neg")), ["k", "_cls"], "g", 42).collect()}
+    for k in (0, 1):
+        draws = {}
+        for cls, y in (("pos", 1), ("neg", 0)):
+            part = pdf[(pdf["k"] == k) & (pdf["y"] == y)]
+            groups = sorted(part["g"].unique())
+            m = replicates.multiplicities(bases[k, cls], len(groups), np.arange(25), np.arange(len(groups)))
+            draws[cls] = [np.repeat(part["s"].to_numpy(), m[[groups.index(g) for g in part["g"]], b].astype(int)) for b in range(25)]
+        for b in range(25):
+            p, q = draws["pos"][b][:, None], draws["neg"][b][None, :]
+            assert got[k, b] == pytest.approx(((p > q) + 0.5 * (p == q)).mean())
 
 
 def test_permutation_keeps_pairs_and_respects_the_mask(rows):
