@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sigloom.llm import cover_tree, signature_tree
 
@@ -133,11 +134,62 @@ def test_vectors_against_brute_force(spark):
     assert cover_tree.threshold_join(df.filter("false")).count() == 0
 
 
+def chunk_of(points, ids=None):
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    turned = cover_tree.directions(unit[:500])
+    ids = np.arange(len(points)) if ids is None else ids
+    return cover_tree.Chunk(ids, np.ones(len(points), np.int64), points, cover_tree.described(unit, turned))
+
+
 def test_cover_tree_is_nested():
-    points = np.random.default_rng(4).normal(size=(300, 6))
-    points /= np.linalg.norm(points, axis=1, keepdims=True)
-    tree = cover_tree.CoverTree(points)
-    for k, kids in enumerate(tree.children):
-        assert np.linalg.norm(points[tree.members[k]] - points[tree.centre[k]], axis=1).max() <= tree.radius[k] + 1e-12
-        if kids:
-            assert sorted(np.concatenate([tree.members[c] for c in kids])) == sorted(tree.members[k])
+    rnd = np.random.default_rng(4)
+    for points in (rnd.normal(size=(900, 6)), np.repeat(rnd.normal(size=(3, 40)), 200, axis=0) + 1e-3 * rnd.normal(size=(600, 40)), np.ones((300, 20)), np.ones((1, 2))):
+        c = chunk_of(points)
+        unit = c.raw / c.norm[:, None]
+        for k in range(len(c.nodes)):
+            own = slice(c.start[k], c.end[k])
+            assert np.linalg.norm(c.short[own] - c.near[k], axis=1).max() <= c.radius[k] + 1e-12
+            assert np.linalg.norm(unit[own] - c.unit[k], axis=1).max() <= c.wide[k] + 1e-12
+            kids = range(c.child[k], c.child[k] + c.childs[k])
+            if kids:
+                assert [c.start[kids[0]], *[c.end[j] for j in kids]] == [c.start[k], *[c.start[j] for j in kids[1:]], c.end[k]]
+                assert any(np.array_equal(c.unit[j], c.unit[k]) for j in kids) and len(kids) <= cover_tree.FAN
+            else:
+                assert c.end[k] - c.start[k] <= cover_tree.LEAF or c.radius[k] < cover_tree.SLACK
+        assert sorted(c.ids) == list(range(len(points)))
+
+
+def full(points, cosine=0.93):
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    near = unit @ unit.T >= cosine
+    np.fill_diagonal(near, False)
+    return near
+
+
+def test_few_cosines_are_computed():
+    rnd = np.random.default_rng(9)
+    plain = rnd.normal(size=(2000, 64))
+    planted = np.repeat(rnd.normal(size=(100, 64)), 20, axis=0) + 0.15 * rnd.normal(size=(2000, 64))
+    tight = np.repeat(rnd.normal(size=(2, 64)), 1000, axis=0) + 0.01 * rnd.normal(size=(2000, 64))
+    for points, share in ((plain, 0.02), (planted, 0.05), (tight, 0.05)):
+        near = full(points)
+        ids, count, root, cosines = cover_tree.linked(c := chunk_of(points), c, 0.93)
+        assert dict(zip(ids.tolist(), count.tolist(), strict=True)) == {i: int(n) for i, n in enumerate(near.sum(axis=1)) if n}
+        comp = components(range(len(points)), list(zip(*np.nonzero(near), strict=True)))
+        assert all(comp[i] == r for i, r in zip(ids.tolist(), root.tolist(), strict=True))
+        assert cosines < share * len(points) ** 2 / 2
+        one, two = chunk_of(points[:900], np.arange(900)), chunk_of(points[900:], np.arange(900, 2000))
+        got = {}
+        for x, y in ((one, one), (two, two), (one, two)):
+            other = cover_tree.described(points[900:] / np.linalg.norm(points[900:], axis=1, keepdims=True), cover_tree.directions(points[:500] / np.linalg.norm(points[:500], axis=1, keepdims=True)))
+            y = cover_tree.Chunk(np.arange(900, 2000), np.ones(1100, np.int64), points[900:], other) if y is two else y
+            x = y if x is two else x
+            for i, n, *_ in zip(*cover_tree.linked(x, y, 0.93)[:2], strict=True):
+                got[int(i)] = got.get(int(i), 0) + int(n)
+        assert got == {i: int(n) for i, n in enumerate(near.sum(axis=1)) if n}
+
+
+def test_equal_descriptions_still_split(spark):
+    rows = [(i, ([0.0] * 30 + [1.0, 0.001 * i]), 0) for i in range(120)] + [(200 + i, [1.0 + i] + [0.0] * 31, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"v": F.lit(1), "cell": F.lit("c"), "rep": F.lit(2)})
+    assert sorted(map(tuple, cover_tree.threshold_join(df, chunk=10).collect())) == brute_vectors(rows)
