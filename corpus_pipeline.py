@@ -20,6 +20,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 # the first stage is a fitted model and the last a packing plan, which SQL cannot express
 ORACLE_SQL = None
+FIRST_NUMBER = 1 << 62
+FEW_IDS = 100_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +33,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of each group of linked documents the one with the smallest id stays, in one row."""
-    groups = signature_tree.near_duplicates(docs)
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    single = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return single.unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    """Operator 4: of each group of linked documents the one with the smallest id stays, in one row.
+
+    Different texts under one id are different documents: all but the one with the least digest take part under a number of
+    their own, beyond all ids.
+    """
+    base = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("number"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    ids = base.filter("number IS NOT NULL").groupBy("number").agg(F.min("digest").alias("first"), F.max("digest").alias("last"))
+    several = stored(ids.filter("first <> last").select("number", "first"), "several")
+    n = several.count()
+    if n:
+        own = F.lit(FIRST_NUMBER) + F.pmod(F.xxhash64("number", "digest"), F.lit(FIRST_NUMBER))
+        base = base.join(F.broadcast(several) if n <= FEW_IDS else several, "number", "left").withColumn("number", F.when(F.col("first") != F.col("digest"), own).otherwise(F.col("number")))
+    groups = stored(signature_tree.near_duplicates(base.select(F.col("number").alias("doc_id"), "text")), "groups")
+    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("number")).distinct()
+    kept = base.select("row", "number").join(gone, "number", "left_anti")
+    repeated = groups.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("number")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("number")
+    single = kept.join(repeated, "number", "left_anti").select("row")
+    one = kept.join(repeated, "number", "left_semi").groupBy("number").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return single.unionByName(one.select("row")).select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

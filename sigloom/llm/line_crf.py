@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import small_batches, whole_text
+from sigloom.llm.common import small_batches, stored, whole_text
 
 TRAIN_DOCS = 6000
 TRAIN_WINDOWS = 4
@@ -188,38 +188,46 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> L
     """Fit on a bounded sample of labelled documents that are not held out."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), "doc_id").select("text", "quality")  # at most `train_docs` rows
+    # one text an id, so at most `train_docs` rows whatever repeats
+    texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    texts = stored(texts.select("text", "quality"), "training")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {"quality": [], "n": [], "windows": [], "lengths": []}
+            rows: dict[str, list] = {"quality": [], "windows": []}
             for text, quality in zip(batch.column("text").to_pylist(), batch.column("quality").to_pylist(), strict=True):
-                x, size = line_features(text)
+                x, _ = line_features(text)
                 k = -(-len(x) // WINDOW_LINES)
                 picked = range(k) if k <= TRAIN_WINDOWS else [i * k // TRAIN_WINDOWS for i in range(TRAIN_WINDOWS)]
                 at = np.concatenate([np.arange(i * WINDOW_LINES, min(len(x), (i + 1) * WINDOW_LINES)) for i in picked])
                 rows["quality"].append(quality)
-                rows["n"].append(len(at))
                 rows["windows"].append(x[at].tobytes())
-                rows["lengths"].append(size[at].tobytes())
-            yield pa.RecordBatch.from_pydict({"quality": pa.array(rows["quality"], pa.int32()), "n": pa.array(rows["n"], pa.int32()), "windows": rows["windows"], "lengths": rows["lengths"]})
+            yield pa.RecordBatch.from_pydict({"quality": pa.array(rows["quality"], pa.int32()), "windows": pa.array(rows["windows"], pa.binary())})
 
-    got = texts.mapInArrow(read, "quality int, n int, windows binary, lengths binary").collect()  # bounded by the parameters above
+    got = texts.mapInArrow(read, "quality int, windows binary").collect()  # bounded by the parameters above
     got.sort(key=lambda r: bytes(r["windows"]))  # the fit does not depend on the order of tasks
     documents = [np.frombuffer(bytes(r["windows"]), np.float32).reshape(-1, FEATURES) for r in got]
-    sizes = [np.frombuffer(bytes(r["lengths"])) for r in got]
     quality = np.array([r["quality"] for r in got], np.int64)
     windows = [(d[a : a + WINDOW_LINES], q) for d, q in zip(documents, quality, strict=True) for a in range(0, len(d), WINDOW_LINES)]
     model = fit([w for w, _ in windows], np.array([q for _, q in windows], np.int64))
-    return calibrate(model, model.evidence(documents, sizes), quality) if model.slope else model
+    if not model.slope:
+        return model
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [line_features(t) for t in batch.column("text").to_pylist()]
+            found = model.evidence([x for x, _ in made], [s for _, s in made]) if made else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(found, pa.float64())], names=["quality", "evidence"])
+
+    # the curve belongs to whole texts, as the scores do; two numbers a training document
+    points = sorted((r["evidence"], r["quality"]) for r in texts.select("quality", "text").mapInArrow(whole, "quality int, evidence double").collect())
+    return calibrate(model, np.array([e for e, _ in points]), np.array([q for _, q in points], np.int64))
 
 
 def score_documents(docs: DataFrame, model: LineCrf, keep: list[str] | None = None) -> DataFrame:
-    """Adds ``score`` and ``predicted`` to the columns ``keep`` (all by default) of every document."""
+    """Adds ``score`` and ``predicted`` to the columns ``keep`` (all by default) of every document; columns of these names give way."""
     small_batches(docs.sparkSession)
-    keep = keep if keep is not None else docs.columns
-    if "score" in keep or "predicted" in keep:
-        raise ValueError("rename the columns score and predicted first")
+    keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("score", "predicted")]
     rows = docs.select(*keep, whole_text().alias("_text_"))
     kind = rows.drop("_text_").withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
 

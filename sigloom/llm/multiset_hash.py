@@ -5,8 +5,9 @@ the pieces cover every character. Each is hashed to a wide vector; a fingerprint
 
 * ``sums``: four sums modulo 2^32 of the halves of two 64-bit hashes. Equal multisets have equal sums, others differ but
   for a chance of about 2^-128; order does not matter.
-* ``lanes``: 63 counters modulo 2^20, three to a number, each counting the paragraphs whose hash has that bit. With the
-  paragraph count they give 63 sums of random signs, whose normalised dot product estimates how much two multisets share.
+* ``lanes``: 62 counters modulo 2^30, two to a number, each counting the paragraphs whose hash has that bit. With the
+  paragraph count they give 62 sums of random signs, whose normalised dot product estimates how much two multisets share. A
+  text would need 2^30 pieces for a counter to wrap, which is more than a column value holds in any text but one of single blanks.
 
 Sums and lanes add: the fingerprint after an insertion or deletion is the old one plus or minus that of the paragraphs.
 
@@ -24,13 +25,13 @@ from sigloom.llm.common import shuffle_parts, stored, whole_text
 from sigloom.operators.ordered import BUCKET, range_bucket
 
 PARAGRAPH_WORDS = 3
-LANE_BITS = 21
-LANES = 3 * LANE_BITS
-ONES = 1 | 1 << LANE_BITS | 1 << 2 * LANE_BITS
+LANE_BITS = 31
+LANES = 2 * LANE_BITS
+ONES = 1 | 1 << LANE_BITS
 LANE = (1 << LANE_BITS - 1) - 1
 KEEP = LANE * ONES
 HALF = 0xFFFFFFFF
-MAX_LEVELS = 16
+MAX_LEVELS = 20
 
 
 def _long(x: int) -> Column:
@@ -74,14 +75,14 @@ def as_text(f: Column) -> Column:
 
 
 def _signed_dot(a: Column, b: Column) -> Column:
-    def three(x: Column, y: Column) -> Column:
+    def both(x: Column, y: Column) -> Column:
         out = F.lit(0.0)
-        for k in range(3):
+        for k in range(2):
             u, v = (2 * F.shiftrightunsigned(z, k * LANE_BITS).bitwiseAND(_long(LANE)) - f["n"] for z, f in ((x, a), (y, b)))
             out = out + u.cast("double") * v.cast("double")
         return out
 
-    return F.aggregate(F.zip_with(a["lanes"], b["lanes"], three), F.lit(0.0), lambda t, x: t + x)
+    return F.aggregate(F.zip_with(a["lanes"], b["lanes"], both), F.lit(0.0), lambda t, x: t + x)
 
 
 def likeness(a: Column, b: Column) -> Column:

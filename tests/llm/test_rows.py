@@ -167,6 +167,21 @@ def test_fingerprints_add(spark):
     assert r["added"] and r["removed"] and r["whole"] == b + a
 
 
+def test_likeness_of_very_many_pieces(spark):
+    df = spark.createDataFrame([("\n" * (1 << 21) + "x", "\n" * ((1 << 21) - 50_000), "y " * 9)], "a string, b string, c string")
+    for c in "abc":
+        df = multiset_hash.with_fingerprint(df, c, f"f_{c}")
+    near, far = df.select(multiset_hash.likeness(F.col("f_a"), F.col("f_b")), multiset_hash.likeness(F.col("f_a"), F.col("f_c"))).first()
+    assert near > 0.999 and far < 0.5
+
+
+def test_likeness_follows_the_shared_pieces(spark):
+    rows = [(i, " ".join(f"a{i}w{k}" for k in range(3000)), " ".join(f"a{i}w{k}" if k < 30 * i else f"b{k}" for k in range(3000))) for i in range(0, 101, 10)]
+    df = multiset_hash.with_fingerprint(multiset_hash.with_fingerprint(spark.createDataFrame(rows, "i long, a string, b string"), "a", "x"), "b", "y")
+    for i, like in df.select("i", multiset_hash.likeness(F.col("x"), F.col("y"))).collect():
+        assert abs(like - i / 100) < 0.3
+
+
 def quality_rows():
     rows, labels = [], []
     for i in range(240):
@@ -189,6 +204,8 @@ def test_line_crf(spark):
     held = [r for r in got if r["held"] and r["doc_id"] in truth]
     assert {r["doc_id"] for r in held} == {i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1}
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.95 * len(held)
+    named = line_crf.score_documents(docs.withColumn("predicted", F.lit("p")), model)
+    assert named.columns == [*[c for c in docs.columns if c != "score"], "score", "predicted"] and named.filter("score > 1").count() == 0
     nothing = line_crf.train(docs, known.filter("quality = 1"))
     assert {r["score"] for r in line_crf.score_documents(docs.select("doc_id", "text"), nothing).collect()} == {0.5}
     assert line_crf.score_documents(empty(spark).select("doc_id", "text"), model).count() == 0
@@ -228,6 +245,9 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         steps.append(stage(spark, steps[-1], str(tmp_path)))
     _, kept, single, clean, packed = steps
+    again = spark.createDataFrame([(7, prose(901, 60)), (7, prose(902, 60)), (7, prose(901, 60)), (9, prose(902, 60)), (8, prose(903, 60))], "doc_id long, text string").withColumn("number", F.lit(1))
+    two = sorted(map(tuple, corpus_pipeline.STAGES[1][1](spark, again, str(tmp_path)).collect()))
+    assert two in ([(7, prose(901, 60), 1), (7, prose(902, 60), 1), (8, prose(903, 60), 1)], [(7, prose(901, 60), 1), (8, prose(903, 60), 1), (9, prose(902, 60), 1)])
     assert [s.columns for s in (kept, single, clean)] == [docs.columns] * 3
     ids = {r["doc_id"] for r in kept.collect()}
     assert len([i for i, q, _ in labels if q and i not in ids]) <= 3 and len([i for i, q, _ in labels if not q and i in ids]) <= 3
