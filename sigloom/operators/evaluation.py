@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions import strata
-from sigloom.operators import folds, learn, metrics, nested, ordered, resample
+from sigloom.operators import folds, learn, metrics, nested, ordered, permutations, resample
 from sigloom.session import checkpointed
 
 FORMAT_B = (strata.CONTROL_B, strata.CONTROL_B_SUPPLEMENT, strata.AGEING)
@@ -153,21 +153,9 @@ def permutation_test(
 ) -> DataFrame:
     """Null distribution of the nested AUC when (label, stratum) pairs move between groups, and its p-value.
 
-    With ``inside`` only rows satisfying it are permuted. Every permutation reruns the whole procedure.
+    With ``inside`` only rows satisfying it are permuted. Every permutation reruns the whole procedure; all of them are one job.
     """
-    null = []
-    for i in range(n_perm):
-        moved = resample.permuted_labels(df, "grp", "row", ["y", "stratum"], 1, seed + i, inside).drop("perm")
-        moved = moved.toDF("grp", "_y", "_stratum")
-        swap = F.col("_y").isNotNull() if inside is None else (F.col("_y").isNotNull() & inside)
-        rows = df.join(moved, "grp", "left").withColumns({"y": F.when(swap, F.col("_y")).otherwise(F.col("y")), "stratum": F.when(swap, F.col("_stratum")).otherwise(F.col("stratum"))})
-        oof = nested.nested_oof(checkpointed(rows.drop("_y", "_stratum")), protocol)
-        label = F.when(F.col("stratum") == strata.PTSD, True).when(negatives, False)
-        null.append((i, ordered.auc(oof, [], score, label).first()["auc"]))
-    table = df.sparkSession.createDataFrame(null, "permutation int, auc double")
-    q = ordered.quantiles(table, [], "auc", {"null_q95": 0.95})
-    agg = table.agg(F.count("auc").alias("n_permutations"), F.avg("auc").alias("null_mean"), resample.permutation_p(F.lit(observed), F.col("auc")).alias("p_value"))
-    return agg.crossJoin(q).withColumn("observed_auc", F.lit(observed))
+    return permutations.summary(permutations.null_distribution(df, protocol, n_perm, negatives, score, inside, seed), observed)
 
 
 def within_format_b(stratum: Column) -> Column:

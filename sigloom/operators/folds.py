@@ -61,14 +61,19 @@ def stratified_group_folds(df: DataFrame, group: str, label: str, k: int = 5, se
     Groups of one composition differ only by name, so dealing each composition round-robin keeps label shares
     even. The deal continues from one composition to the next, which keeps the fold sizes even as well.
     """
-    counts = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
+    return deal_groups(df.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n")), group, label, k, seed, name)
+
+
+def deal_groups(counts: DataFrame, group: str, label: str, k: int = 5, seed: int = 42, name: str = "fold", within: Sequence[str] = ()) -> DataFrame:
+    """``stratified_group_folds`` from the label counts ``_n`` of the groups; ``within`` names keys that are dealt independently."""
+    within = list(within)
     parts = F.array_sort(F.collect_list(F.concat_ws(":", F.col(label).cast("string"), F.col("_n").cast("string"))))
     # the list has one entry per label value of a group
-    shape = counts.groupBy(group).agg(F.array_join(parts, ",").alias("_shape"))
+    shape = counts.groupBy(*within, group).agg(F.array_join(parts, ",").alias("_shape"))
     shape = shape.withColumn("_shape", F.md5("_shape")).withColumn("_h", hash_number(seed, F.col(group)))
-    shape = _hash_bucket(shape, ordered.BUCKET, ["_shape"])
-    rows = ordered.scan(shape, ["_shape"], ["_h", group], position="_seat").drop(ordered.BUCKET)
-    sizes = shape.groupBy("_shape").agg(F.count(F.lit(1)).alias("_size"))
-    offsets = ordered.scan(_order_bucket(sizes, "_shape", ordered.BUCKET), [], ["_shape"], {"_upto": F.col("_size")}).select("_shape", (F.col("_upto") - F.col("_size")).alias("_before"))
-    rows = rows.join(offsets, "_shape")
-    return rows.select(group, F.pmod(F.col("_before") + F.col("_seat") - 1, F.lit(k)).cast("int").alias(name))
+    shape = _hash_bucket(shape, ordered.BUCKET, [*within, "_shape"])
+    rows = ordered.scan(shape, [*within, "_shape"], ["_h", group], position="_seat").drop(ordered.BUCKET)
+    sizes = shape.groupBy(*within, "_shape").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = ordered.scan(_order_bucket(sizes, "_shape", ordered.BUCKET, within), within, ["_shape"], {"_upto": F.col("_size")})
+    rows = rows.join(offsets.select(*within, "_shape", (F.col("_upto") - F.col("_size")).alias("_before")), [*within, "_shape"])
+    return rows.select(*within, group, F.pmod(F.col("_before") + F.col("_seat") - 1, F.lit(k)).cast("int").alias(name))

@@ -127,7 +127,7 @@ def equal_error_shift(
 ) -> DataFrame:
     """Threshold per key where sensitivity equals specificity: median of the cuts with the smallest gap.
 
-    Cuts are the midpoints between neighbouring distinct logits and one beyond each end.
+    Cuts are the midpoints between neighbouring distinct logits and one beyond each end. Keys without one of the classes are absent.
     """
     keys = list(keys)
     kept = df.filter(positive | negative)
@@ -143,10 +143,11 @@ def equal_error_shift(
         following={"_next": logit},
     )
     cut = F.when(F.col("_next").isNull(), F.col(logit) + 1.0).otherwise((F.col(logit) + F.col("_next")) / 2.0)
-    gap = F.abs((F.col("_np") - F.col("_cp")) / F.col("_np") - F.col("_cq") / F.col("_nq"))
-    cuts = counts.select(*keys, cut.alias("cut"), gap.alias("gap"))
-    below = kept.groupBy(*keys).agg((F.min(logit) - 1.0).alias("cut")).withColumn("gap", F.lit(1.0))
-    cuts = cuts.unionByName(below)
+    both = (F.col("_np") > 0) & (F.col("_nq") > 0)
+    gap = F.when(both, F.abs((F.col("_np") - F.col("_cp")) / F.col("_np") - F.col("_cq") / F.col("_nq")))
+    cuts = counts.select(*keys, cut.alias("cut"), gap.alias("gap")).filter("gap IS NOT NULL")
+    below = kept.groupBy(*keys).agg((F.min(logit) - 1.0).alias("cut"), F.count_if(positive).alias("_np"), F.count_if(negative).alias("_nq"))
+    cuts = cuts.unionByName(below.filter(both).select(*keys, "cut", F.lit(1.0).alias("gap")))
     best = cuts.groupBy(*keys).agg(F.min("gap").alias("_best"))
     both = cuts.join(best, keys) if keys else cuts.crossJoin(F.broadcast(best))
     near = both.filter(F.col("gap") - F.col("_best") <= 1e-8 + 1e-5 * F.col("_best"))

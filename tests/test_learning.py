@@ -201,3 +201,35 @@ def test_string_keys_with_a_common_beginning_spread(spark):
         ordered.SMALL_ROWS = before
     assert len(b) >= 8 and max(r["n"] for r in b) <= 100 and all(x["hi"] < y["lo"] for x, y in zip(b, b[1:]))
     assert [index[f"Customer#{i:09d}"] for i in range(400)] == list(range(400))
+
+
+@pytest.mark.parametrize("masked", [False, True])
+def test_permutations_in_one_job_equal_the_serial_form(rows, masked):
+    from sigloom.operators import permutations
+
+    _, df = rows
+    p = nested.Protocol("p", {"two": ("a", "c"), "one": ("b",)}, tuple(nested.Candidate(c, n, f, w) for f, w in (("two", 3.0), ("one", 1.0)) for n in nested.NEGATIVES for c in (0.03, 0.3)), ("control_A", "control_B"))
+    inside = F.col("stratum").isin("ptsd", "control_A", "control_B") if masked else None
+    negatives = F.col("stratum").startswith("control_")
+    moved = permutations.permuted_strata(df, 3, 42, inside).toPandas()
+    oof = permutations.permuted_oof(df, p, 3, inside=inside)
+    one = oof.toPandas().set_index(["perm", "row"]).sort_index()
+    areas = {r["permutation"]: r["auc"] for r in permutations.null_distribution(df, p, 3, negatives, inside=inside).collect()}
+    keep = F.lit(True) if inside is None else inside
+    for perm in range(3):
+        labels = df.sparkSession.createDataFrame([(int(g), None if pd.isna(y) else int(y), s) for g, y, s in moved[moved["perm"] == perm][["grp", "_y", "_stratum"]].to_numpy().tolist()], "grp long, _y int, _stratum string")
+        swap = keep & F.col("_stratum").isNotNull()
+        again = df.join(labels, "grp", "left").withColumn("_s", swap).withColumns({"y": F.when(F.col("_s"), F.col("_y")).otherwise(F.col("y")), "stratum": F.when(F.col("_s"), F.col("_stratum")).otherwise(F.col("stratum"))})
+        serial = nested.nested_oof(again.drop("_y", "_stratum", "_s"), p).toPandas().set_index("row").sort_index()
+        mine = one.loc[perm]
+        assert list(serial["stratum"]) == list(mine["stratum"]) and list(serial["y"]) == list(mine["y"])
+        np.testing.assert_allclose(serial["p_raw"], mine["p_raw"], atol=1e-6)
+        np.testing.assert_allclose(serial["p"], mine["p"], atol=1e-5)
+        pos, neg = (mine["stratum"] == "ptsd").to_numpy(), mine["stratum"].str.startswith("control_").to_numpy()
+        assert areas[perm] == pytest.approx(permutations.area(pos, neg, mine["p"].to_numpy()))
+
+
+def test_ordered_choice_needs_a_real_gain(spark):
+    scores = spark.createDataFrame([(0, 0, 0.5), (0, 1, 0.5 + 1e-13), (0, 2, 0.7), (0, 3, 0.7 + 1e-11), (1, 1, 0.2), (1, 0, 0.3)], "outer long, candidate int, score double")
+    p = nested.Protocol("p", {"f": ("a",)}, tuple(nested.Candidate(c, "control", "f") for c in (0.1, 0.2, 0.3, 0.4)), ordered_choice=True)
+    assert sorted(map(tuple, nested.choose(scores, p).select("outer", "candidate").collect())) == [(0, 3), (1, 0)]
