@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions import strata
-from sigloom.operators import cycles, evaluation, features, learn, nested, protocols, recordings
+from sigloom.operators import cycles, evaluation, features, learn, nested, protocols, recordings, task_branch
 from sigloom.session import checkpointed, get_session
 from sigloom.sources import registry as reg
 
 
+BRANCH_PROTOCOLS = ("protocol4", "protocol5")
+
+
 def feature_tables(spark: SparkSession, data: str, protocol: str) -> DataFrame:
     """Training rows of a registered protocol from a folder of recordings."""
     found, _, subjects = reg.scan(spark, data)
@@ -30,7 +33,49 @@ def scan(spark: SparkSession, a: argparse.Namespace) -> None:
         table.write.mode("overwrite").parquet(f"{a.out}/{name}")
 
 
+def branch_tables(spark: SparkSession, data: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Subjects, resting and task features of a folder of recordings."""
+    found, _, subjects = reg.scan(spark, data)
+    power, people = features.window_power(found), subjects.select("subject_key")
+    durations = features.usable_records(found).filter("usable AND condition = 'task'").select("subject_key", "trial", "active_duration_s")
+    return subjects, checkpointed(features.subject_features(power, people)), checkpointed(features.task_features(power, durations, people))
+
+
+def _write_report(tables: dict[str, DataFrame], folder: str) -> None:
+    for name, table in tables.items():
+        table.write.mode("overwrite").json(f"{folder}/{name}")
+
+
+def evaluate_branches(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Protocol 4 (task branch) or 5 (two-branch model) over a folder of recordings."""
+    subjects, rest, task = branch_tables(spark, a.data)
+    if a.protocol == "protocol4":
+        task.write.mode("overwrite").option("header", "true").csv(f"{a.out}/task_features")
+        for name, population in task_branch.populations(subjects, task).items():
+            models = task_branch.PLAN[name]
+            found = task_branch.oofs(population, models)
+            tables = task_branch.report(found, (("combined", "behaviour"), ("eeg", "behaviour")))
+            names = sorted({f for m in models.values() for f in m})
+            _write_report(tables | {"share_missing": task_branch.missing_by_stratum(population, names)}, f"{a.out}/metrics/{name}")
+            for model, oof in found.items():
+                oof.write.mode("overwrite").option("header", "true").csv(f"{a.out}/oof/{name}/{model}")
+        return
+    population = checkpointed(task_branch.two_branch_population(subjects, rest, task))
+    found = task_branch.oofs(population, task_branch.TWO_BRANCHES, two_aucs=True)
+    tables = task_branch.report(found, (("combined", "behaviour"), ("combined", "rest_eeg")), two_aucs=True)
+    model, scores = task_branch.fit_final(population)
+    unseen, shares = task_branch.unseen_controls(subjects, rest, task, population, model)
+    _write_report(tables | {"selection_scores": scores, "unseen_controls": shares}, f"{a.out}/metrics")
+    for name, oof in found.items():
+        oof.write.mode("overwrite").option("header", "true").csv(f"{a.out}/oof/{name}")
+    unseen.write.mode("overwrite").option("header", "true").csv(f"{a.out}/unseen_controls")
+    spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.out}/model")
+
+
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
+    if a.protocol in BRANCH_PROTOCOLS:
+        evaluate_branches(spark, a)
+        return
     rows, p = feature_tables(spark, a.data, a.protocol), protocols.PROTOCOLS[a.protocol].procedure
     oof = checkpointed(nested.nested_oof(rows, p))
     oof.join(rows.select("row", "subject_key", "export_family"), "row").write.mode("overwrite").option("header", "true").csv(f"{a.out}/nested_oof")
@@ -99,7 +144,7 @@ def main() -> None:
         p.add_argument("--data", required=True)
         p.add_argument("--out", required=True)
         if name in ("evaluate", "train", "robustness"):
-            p.add_argument("--protocol", choices=sorted(protocols.PROTOCOLS), default="protocol8")
+            p.add_argument("--protocol", choices=sorted((*protocols.PROTOCOLS, *(BRANCH_PROTOCOLS if name == "evaluate" else ()))), default="protocol8")
             p.add_argument("--n-perm", type=int, default=0)
         if name == "score":
             p.add_argument("--model", required=True)
