@@ -233,3 +233,35 @@ def test_ordered_choice_needs_a_real_gain(spark):
     scores = spark.createDataFrame([(0, 0, 0.5), (0, 1, 0.5 + 1e-13), (0, 2, 0.7), (0, 3, 0.7 + 1e-11), (1, 1, 0.2), (1, 0, 0.3)], "outer long, candidate int, score double")
     p = nested.Protocol("p", {"f": ("a",)}, tuple(nested.Candidate(c, "control", "f") for c in (0.1, 0.2, 0.3, 0.4)), ordered_choice=True)
     assert sorted(map(tuple, nested.choose(scores, p).select("outer", "candidate").collect())) == [(0, 3), (1, 0)]
+
+
+def test_batched_standardisation_is_exact_and_needs_no_more_jobs_for_more_folds(spark):
+    from sigloom.operators import batched
+
+    rng = np.random.default_rng(4)
+    n = 400
+    x = np.stack([rng.normal(size=n), np.round(rng.normal(size=n)), np.where(rng.random(n) < 0.4, np.nan, -rng.random(n) * 1e9), np.full(n, 3.25), np.full(n, np.nan)], axis=1)
+    pdf = pd.DataFrame({"row": np.arange(n), "outer": np.arange(n) % 7, "fold": np.arange(n) % 7 % 5, "y": (rng.random(n) < 0.4).astype(int), "stratum": rng.choice(["ptsd", "somatoform", "control_A"], n)})
+    for j in range(5):
+        pdf[f"f{j}"] = x[:, j]
+    rows = spark.createDataFrame(pdf).repartition(3)
+    names, jobs = [f"f{j}" for j in range(5)], []
+    for outers in (2, 7):
+        fits = [batched.Fit(o, f, c, (0,), 1.0, 0.1, 0) for o in range(outers) for f in (0, batched.NONE) for c in (False, True)]
+        spark.sparkContext.setJobGroup(f"batched-{outers}", "count")
+        std = batched.standardised(rows, names, fits)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"batched-{outers}")))
+        for b, (o, f, c) in enumerate(std.bases):
+            own = pdf[(pdf["outer"] != o) & (pdf["fold"] != f) & ~((pdf["stratum"] == "somatoform") & c)]
+            med = own[names].median().fillna(0).to_numpy()
+            full = np.where(np.isnan(own[names]), med, own[names])
+            np.testing.assert_array_equal(std.fill[b], med)
+            np.testing.assert_allclose(std.mean[b], full.mean(axis=0), rtol=1e-9, atol=1e-12)
+            np.testing.assert_allclose(std.scale[b], np.where(full.std(axis=0) > 0, full.std(axis=0), 1), rtol=1e-9)
+            spec = own["stratum"] == "somatoform"
+            assert list(std.mass[b]) == [len(own), own["y"].sum(), spec.sum(), own["y"][spec].sum()]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+    keys = np.array([-np.inf, -3.0, -0.0, 0.0, 1e-300, 2.5, np.inf])
+    np.testing.assert_array_equal(batched.from_keys(batched.ordered_keys(keys)), keys)
+    assert (np.diff(batched.ordered_keys(keys).astype(float)) >= 0).all()
