@@ -105,23 +105,44 @@ def butter_highpass_response(freqs: np.ndarray, order: int, cutoff: float) -> np
     return out
 
 
-def butter_highpass(x: np.ndarray, sfreq: float, order: int, cutoff: float) -> np.ndarray:
-    """Causal digital Butterworth high-pass along the last axis from rest (bilinear transform, pole by pole)."""
-    if order == 0:
-        return np.array(x, dtype=float)
-    warped = 2 * sfreq * np.tan(np.pi * cutoff / sfreq)
+def _digital_poles(sfreq: float, order: int, cutoff: float) -> list[tuple[complex, complex]]:
+    """Gain and feedback of each first-order section s / (s - p) under the bilinear transform."""
+    warped, k = 2 * sfreq * np.tan(np.pi * cutoff / sfreq), 2 * sfreq
     poles = warped / np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
-    k = 2 * sfreq
+    return [(k / (k - p), (k + p) / (k - p)) for p in poles]
+
+
+def recurrence(u: np.ndarray, feed: complex, start: complex | np.ndarray = 0.0) -> np.ndarray:
+    """y[i] = feed * y[i - 1] + u[i] along the last axis, by doubling: after k steps every value holds its last 2^k inputs."""
+    y = np.array(u, dtype=complex)
+    y[..., :1] += feed * np.asarray(start)[..., None]
+    step, factor = 1, feed
+    while step < y.shape[-1] and abs(factor) > 1e-300:
+        y[..., step:] = y[..., step:] + factor * y[..., :-step]
+        step, factor = 2 * step, factor * factor
+    return y
+
+
+def highpass_from(x: np.ndarray, sfreq: float, order: int, cutoff: float, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Causal Butterworth high-pass of one piece and the state behind it: the last input of each section and the last output."""
     y = np.asarray(x, dtype=complex)
-    for p in poles:
-        # s / (s - p) with s = k (1 - z^-1) / (1 + z^-1)
-        gain, feed = k / (k - p), (k + p) / (k - p)
-        out = np.empty_like(y)
-        state = np.zeros(y.shape[:-1], dtype=complex)
-        previous = np.zeros(y.shape[:-1], dtype=complex)
-        for i in range(y.shape[-1]):
-            state = gain * (y[..., i] - previous) + feed * state
-            previous = y[..., i]
-            out[..., i] = state
-        y = out
-    return y.real
+    state = np.zeros((*y.shape[:-1], order + 1), complex) if state is None else state
+    if not y.shape[-1]:
+        return y.real, state
+    behind = [y[..., -1]]
+    for k, (gain, feed) in enumerate(_digital_poles(sfreq, order, cutoff)):
+        u = gain * np.diff(y, axis=-1, prepend=state[..., k, None])
+        y = recurrence(u, feed, state[..., k + 1])
+        behind.append(y[..., -1])
+    return y.real, np.stack(behind, axis=-1)
+
+
+def highpass_transition(n: int, sfreq: float, order: int, cutoff: float) -> np.ndarray:
+    """State behind ``n`` zero inputs for each unit state: matrix with the new state in rows."""
+    _, out = highpass_from(np.zeros((order + 1, n)), sfreq, order, cutoff, np.eye(order + 1, dtype=complex))
+    return out.T
+
+
+def butter_highpass(x: np.ndarray, sfreq: float, order: int, cutoff: float) -> np.ndarray:
+    """Causal digital Butterworth high-pass along the last axis from rest."""
+    return np.array(x, dtype=float) if order == 0 else highpass_from(x, sfreq, order, cutoff)[0]
