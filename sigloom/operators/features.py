@@ -11,6 +11,7 @@ from sigloom.functions import signal
 from sigloom.operators import fingerprint as fp
 from sigloom.operators import learn, recordings, spectral, windows
 from sigloom.session import checkpointed
+from sigloom.sinks.single_file import write_csv
 from sigloom.sources import edf
 
 CH = edf.CHANNELS
@@ -189,13 +190,12 @@ def score(features: DataFrame, model: learn.LogisticModel, key: str = "subject_i
     return filled.select(key, model.safe_probability().alias("ptsd_probability"))
 
 
-def write_predictions(scored: DataFrame, out_dir: str, key: str = "subject_id") -> None:
-    """Sorted CSV parts in UTF-8 with a byte-order mark, one header line per part."""
-    named = scored.orderBy(key).select(F.col(key).alias("﻿subject_id"), "ptsd_probability")
-    named.write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(out_dir)
+def write_predictions(scored: DataFrame, path: str, key: str = "subject_id") -> None:
+    """One CSV file sorted by subject, with byte-order mark and header."""
+    write_csv(scored.select(F.col(key).alias("subject_id"), "ptsd_probability"), path, ["subject_id"])
 
 
-def run_scoring(spark: SparkSession, model: learn.LogisticModel, input_dir: str, out_dir: str | None = None) -> DataFrame:
+def run_scoring(spark: SparkSession, model: learn.LogisticModel, input_dir: str, out_path: str | None = None) -> DataFrame:
     """Score every subject folder below ``input_dir`` (``group/subject/stem.edf``)."""
     from sigloom.sources import registry as reg
 
@@ -208,6 +208,6 @@ def run_scoring(spark: SparkSession, model: learn.LogisticModel, input_dir: str,
         durations = usable_records(registry).filter("usable AND condition = 'task'").select("subject_key", "trial", "active_duration_s")
         table = table.join(task_features(power, durations, subjects), "subject_key", "left")
     result = score(table.join(subjects, "subject_key"), model)
-    if out_dir is not None:
-        write_predictions(result, out_dir)
+    if out_path is not None:
+        write_predictions(result, out_path)
     return result

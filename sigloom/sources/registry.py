@@ -41,9 +41,12 @@ def build_registry(files: DataFrame) -> DataFrame:
     subjects = found.select("group", "subject_id").distinct()
     slots = F.explode(F.array(*[F.struct(F.lit(s).alias("stem"), F.lit(i).alias("trial")) for i, s in enumerate((edf.REST_STEM, *edf.TASK_STEMS))]))
     expected = subjects.select("group", "subject_id", slots.alias("s")).select("group", "subject_id", "s.stem", "s.trial")
-    meta = edf.headers(found).drop("file_bytes")
-    digests = edf.channel_digests(found)
-    stretches = recordings.outline(found).edges
+    known = recordings.outline(found)
+    stretches, readable = known.edges, found.join(known.meta.select("path"), "path", "left_semi")
+    broken = known.quarantine.groupBy("path").agg(F.min_by("error", "piece").alias("_broken"))
+    meta = edf.headers(found).drop("file_bytes").join(broken, "path", "left")
+    meta = meta.withColumns({"status": F.when(F.col("_broken").isNotNull(), "error").otherwise(F.col("status")), "error": F.coalesce("_broken", "error")}).drop("_broken")
+    digests = edf.channel_digests(readable)
     described = found.drop("content").join(meta, "path").join(edf.content_hashes(digests), "path", "left").join(stretches, "path", "left")
     rows = expected.join(described, ["group", "subject_id", "stem"], "left")
     age = text.age_from_name(F.col("subject_id"), F.col("group") == CONTROL_GROUP)
@@ -52,7 +55,7 @@ def build_registry(files: DataFrame) -> DataFrame:
         "group", "subject_id", F.concat_ws("/", "group", "subject_id").alias("subject_key"), (F.col("group") == CASE_GROUP).cast("int").alias("label"),
         age.alias("age"), "stem", F.when(F.col("trial") == 0, "rest").otherwise("task").alias("condition"), "trial",
         F.concat_ws("/", "group", "subject_id", F.coalesce("file_name", F.concat("stem", F.lit(".edf")))).alias("relpath"), "path",
-        F.coalesce("status", F.lit("missing")).alias("status"), "file_bytes", "file_name", "sfreq", "n_times", "duration_s",
+        F.coalesce("status", F.lit("missing")).alias("status"), "error", "file_bytes", "file_name", "sfreq", "n_times", "duration_s",
         ((F.col("head") + F.col("tail")) / rate).alias("edge_constant_s"), ((F.col("constant") - F.col("head") - F.col("tail")) / rate).alias("interior_constant_s"),
         ((F.col("n_times") - F.col("head") - F.col("tail")) / rate).alias("active_duration_s"), "head", "tail",
         "n_records_header", "n_records", "trailing_bytes", "physical_dim", "physical_min", "physical_max", "digital_min", "digital_max",
@@ -102,7 +105,8 @@ def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFram
 
     files = edf.list_files(spark, root)
     registry = checkpointed(build_registry(files))
-    links = checkpointed(duplicate_links(registry, edf.record_digests(files)))
+    readable = files.join(registry.filter("status = 'ok'").select("path"), "path", "left_semi")
+    links = checkpointed(duplicate_links(registry, edf.record_digests(readable)))
     subjects = checkpointed(subject_table(registry, links))
     if not fp.mixed_groups(subjects, "split_group", F.col("holdout")).isEmpty():
         raise ValueError("split groups mix held-out and training subjects")

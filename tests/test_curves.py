@@ -85,3 +85,24 @@ def test_causal_filter_equals_the_recurrence(spark, order):
     got = longfilter.highpass_pieces(df, ["k"], "piece", "x", 250.0, order, 0.7).toPandas().sort_values(["k", "piece"])
     for k, s in (("u", 1.0), ("v", -2.0)):
         np.testing.assert_allclose(np.concatenate(got[got["k"] == k]["filtered"].to_list()), s * want, atol=1e-8)
+
+
+def test_one_sorted_csv_file(spark, tmp_path):
+    import csv
+
+    from sigloom.sinks import single_file
+
+    rows = [(f"s{i % 97:03d}-{i}", None if i % 31 == 0 else 1.0 / (i + 3) ** 4) for i in range(800)] + [('quo"te, comma', 0.1), ("two\nlines", 1e-7), ("ü", 1e22), ("Z", 0.5)]
+    df = spark.createDataFrame(rows, "subject_id string, ptsd_probability double").repartition(7)
+    path = tmp_path / "deep" / "predictions.csv"
+    for _ in range(2):  # a second attempt replaces the first
+        single_file.write_csv(df, str(path), ["subject_id"])
+        want = tmp_path / "want.csv"
+        with open(want, "w", newline="", encoding="utf-8-sig") as f:
+            w = csv.writer(f)
+            w.writerow(["subject_id", "ptsd_probability"])
+            w.writerows(sorted(rows, key=lambda r: r[0]))
+        assert path.read_bytes() == want.read_bytes()
+        assert [p.name for p in path.parent.iterdir() if not p.name.startswith(".")] == ["predictions.csv"]
+    single_file.write_csv(df.filter("false"), str(path), ["subject_id"])
+    assert path.read_bytes() == b"\xef\xbb\xbfsubject_id,ptsd_probability\r\n"

@@ -159,8 +159,8 @@ def test_registry_links_and_scoring(spark, tmp_path):
     out = features.run_scoring(spark, model, str(tmp_path), str(tmp_path / "out")).toPandas().set_index("subject_id")["ptsd_probability"]
     fallback = 1 / (1 + np.exp(-(0.8 * 0.3 + 0.1)))
     assert len(out) == 4 and out["d"] == pytest.approx(fallback) and out["b_70"] != pytest.approx(fallback)
-    part = next((tmp_path / "out").glob("part-*.csv")).read_bytes()
-    assert part.startswith(b"\xef\xbb\xbfsubject_id,ptsd_probability")
+    want = "\ufeffsubject_id,ptsd_probability\r\n" + "".join(f"{i},{out[i]!r}\r\n" for i in sorted(out.index)).replace("np.float64(", "").replace(")", "")
+    assert (tmp_path / "out").read_bytes() == want.encode()
 
 
 def test_cycle_recovery_of_known_phase_and_position():
@@ -209,3 +209,58 @@ def test_no_exchange_carries_samples(spark):
     above = plan[: plan.index("MapInPandas")]
     assert "Exchange" not in above
     assert not any("Exchange" in line and "array<double>" in line for line in plan.splitlines())
+
+
+def test_a_file_cut_within_its_samples_is_a_status_row(spark):
+    content = [edf.encode(np.round(np.random.default_rng(i).normal(0, 400, (6, 125 * 60))), edf.CHANNELS, 125, -800.0, 800.0) for i in range(3)]
+    rows = [(f"r{i}", len(c), bytearray(c if i != 1 else c[: len(c) * 2 // 3])) for i, c in enumerate(content)]
+    files = spark.createDataFrame(rows, "path string, file_bytes long, content binary")
+    known = recordings.outline(files, per_piece=1000)
+    bad = known.quarantine.collect()
+    assert {r["path"] for r in bad} == {"r1"} and 1 <= len(bad) <= 4 and all(r["error"] for r in bad)
+    assert {r["path"] for r in known.meta.collect()} == {"r0", "r2"}
+    whole = recordings.flagged_windows(files.filter("path <> 'r1'")).groupBy("path").agg(F.sum("reject").alias("r"), F.count("*").alias("n")).collect()
+    assert sorted(whole) == sorted(recordings.flagged_windows(files).groupBy("path").agg(F.sum("reject").alias("r"), F.count("*").alias("n")).collect()) and len(whole) == 2
+
+
+def test_broken_recordings_stay_in_the_registry(spark, tmp_path, monkeypatch):
+    control = edf.GROUPS[0]
+    for k in (1, 2):
+        write(tmp_path / control / f"s{k}_30" / "T-П.edf", noise(40 + k, 30))
+    listed = edf.list_files(spark, str(tmp_path)).collect()
+    path = tmp_path / control / "s1_30" / "T-П.edf"
+    path.write_bytes(path.read_bytes()[:20_000])
+    files = spark.createDataFrame(listed)
+    monkeypatch.setattr(edf, "list_files", lambda *_: files)
+    reg, links, subjects = registry.scan(spark, str(tmp_path))
+    status = {r["subject_id"]: (r["status"], r["error"]) for r in reg.filter("stem = 'T-П'").collect()}
+    assert status["s2_30"] == ("ok", None) and status["s1_30"][0] == "error" and status["s1_30"][1]
+    assert subjects.count() == 2 and links.count() == 0
+
+
+def test_spectra_are_computed_once_a_content(spark, tmp_path):
+    from sigloom.operators import spectra_cache
+    from sigloom.session import checkpointed
+
+    content = [edf.encode(np.round(np.random.default_rng(i % 3).normal(0, 400, (6, 125 * 60))), edf.CHANNELS, 125, -800.0, 800.0) for i in range(4)]
+    files = spark.createDataFrame([(f"r{i}", len(c), bytearray(c)) for i, c in enumerate(content)], "path string, file_bytes long, content binary")
+    hashes = edf.content_hashes(edf.channel_digests(files))
+    reg = checkpointed(files.join(hashes, "path").withColumn("status", F.lit("ok")))
+    folder = str(tmp_path / "spectra")
+    cfg = recordings.Conditioning()
+    assert spectra_cache.missing(reg, folder, cfg).count() == 3
+    one = sorted(map(tuple, spectra_cache.update(reg.filter("path IN ('r0', 'r1')"), folder, cfg).collect()))
+    assert len(one) == 12 and len(spectra_cache.committed(spark, folder)) == 1
+    plain = {(r["path"], r["channel"]): r for r in spectra_cache.record_spectra(files, cfg).collect()}
+    assert all(any(np.allclose(s, r["spectrum"]) and n == r["n_good"] for r in plain.values()) for _, _, _, n, s in one)
+    # a batch without the success mark does not count
+    spark.createDataFrame([("x", "y", "O1", 1, [1.0])], spectra_cache.SCHEMA).write.parquet(folder + "/batch-broken")
+    (tmp_path / "spectra" / "batch-broken" / "_SUCCESS").unlink()
+    two = spectra_cache.update(reg, folder, cfg)
+    assert two.select("content_hash").distinct().count() == 3 and two.count() == 18 and len(spectra_cache.committed(spark, folder)) == 2
+    # nothing is read any more: the files are gone and the plan holds no samples
+    lost = reg.withColumns({"content": F.lit(b""), "file_bytes": F.lit(0).cast("long")})
+    again = spectra_cache.update(lost, folder, cfg)
+    assert "MapInPandas" not in again._jdf.queryExecution().executedPlan().toString() and again.count() == 18
+    assert len(spectra_cache.committed(spark, folder)) == 2
+    assert spectra_cache.missing(reg, folder, recordings.VARIANTS["requantized"]).count() == 3
