@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions import strata
-from sigloom.operators import cycles, evaluation, features, learn, nested, protocols, recordings, task_branch
+from sigloom.operators import condition, cycles, evaluation, features, learn, nested, protocols, recordings, task_branch
 from sigloom.session import checkpointed, get_session
 from sigloom.sources import registry as reg
 
@@ -125,7 +125,10 @@ def fold_cycles(spark: SparkSession, a: argparse.Namespace) -> None:
     halves = checkpointed(cycles.half_spectra(cycles.good_cycles(first.select("path", "file_bytes"))))
     records = cycles.record_spectra(halves).join(first.select("path", F.col("subject_key").alias("subject")), "path")
     cycles.report(records, a.n_surrogates, 42, band).write.mode("overwrite").json(f"{a.out}/{a.condition}")
-    cycles.record_measures(records, band).drop("curve").write.mode("overwrite").parquet(f"{a.out}/records_{a.condition}")
+    measures = checkpointed(cycles.record_measures(records, band))
+    condition.group_curves(condition.aligned_curves(halves, measures, band)).write.mode("overwrite").parquet(f"{a.out}/curves_{a.condition}")
+    condition.topography(halves, records, min(a.n_surrogates, condition.CHANNEL_SURROGATES), 42, band).write.mode("overwrite").json(f"{a.out}/channels_{a.condition}")
+    measures.drop("curve").write.mode("overwrite").parquet(f"{a.out}/records_{a.condition}")
 
 
 def cycles_input(usable: DataFrame) -> DataFrame:

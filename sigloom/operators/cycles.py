@@ -6,7 +6,6 @@ the records of one partition; the randomisation keeps records where they are and
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
@@ -15,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.operators import ordered, recordings
+from sigloom.operators import folds, ordered, recordings, replicates
 from sigloom.session import checkpointed
 
 # Fixed values
@@ -210,19 +209,33 @@ def record_measures(records: DataFrame, band: tuple[float, float] = BAND_HZ) ->
     return records.select("path", "subject", "re0", "im0", "re1", "im1").mapInPandas(run, f"path string, subject string, {cols}, curve array<double>")
 
 
-def surrogate_shift(seed: int, surrogate: int, path: str) -> int:
-    return int(hashlib.md5(f"{seed}|{surrogate}|{path}".encode()).hexdigest()[:8], 16) % FINE
+def delay_base(seed: int) -> Column:
+    """31-bit number from which the delays of a record's surrogates follow."""
+    return folds.hash_number(seed, F.col("path")).bitwiseAND(F.lit(replicates.BITS))
 
 
-def surrogate_sums(records: DataFrame, n_surrogates: int, seed: int, band: tuple[float, float] = BAND_HZ) -> DataFrame:
-    """Group statistics and mean curve per surrogate: (surrogate, pos, value), subjects weighing equally.
+def random_delays(base: np.ndarray, surrogates: np.ndarray) -> np.ndarray:
+    """(record, surrogate): delay of the second half in steps."""
+    return replicates.mixed(replicates.mixed((base[:, None].astype(np.int64) + surrogates) & replicates.BITS) ^ replicates.SECOND & replicates.BITS) % FINE
 
-    A record counts 1 / (records of its subject) / (subjects), so group means are weighted sums and each
-    partition sends one row of sums per surrogate. The full onset search is repeated for every surrogate.
+
+def record_weights(measures: DataFrame) -> DataFrame:
+    """Weights ``w`` of a record in the group means, one a statistic and one for the curve: valid records of a subject, then subjects, count alike."""
+    valid = [F.when(F.isnan(s) | F.col(s).isNull(), 0.0).otherwise(1.0).alias(f"_v{i}") for i, s in enumerate(STATS)] + [F.lit(1.0).alias(f"_v{len(STATS)}")]
+    rows, n = measures.select("path", "subject", *valid), len(valid)
+    per = rows.groupBy("subject").agg(*[F.sum(f"_v{i}").alias(f"_k{i}") for i in range(n)])
+    total = per.agg(*[F.count_if(F.col(f"_k{i}") > 0).alias(f"_g{i}") for i in range(n)])  # one row
+    both = rows.join(per, "subject").crossJoin(F.broadcast(total))
+    return both.select("path", F.array(*[F.when(F.col(f"_v{i}") > 0, 1.0 / (F.col(f"_k{i}") * F.col(f"_g{i}"))).otherwise(0.0) for i in range(n)]).alias("w"))
+
+
+def surrogate_sums(records: DataFrame, measures: DataFrame, n_surrogates: int, seed: int, band: tuple[float, float] = BAND_HZ) -> DataFrame:
+    """Group statistics and mean curve per surrogate: (surrogate, pos, value), the same means as the observed ones.
+
+    Whether a record has an agreement does not depend on the delay, so its weights are those of the observed data; group means are
+    weighted sums and each partition sends one row of sums per surrogate. The full onset search is repeated for every surrogate.
     """
-    per = records.groupBy("subject").agg(F.count(F.lit(1)).alias("_k"))
-    n_subjects = per.agg(F.count(F.lit(1)).alias("_g"))
-    rows = records.join(per, "subject").crossJoin(F.broadcast(n_subjects)).withColumn("w", 1.0 / (F.col("_k") * F.col("_g")))
+    rows = records.join(record_weights(measures), "path").withColumn("_base", delay_base(seed))
     size = len(STATS) + TIMES.size
 
     def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,14 +243,14 @@ def surrogate_sums(records: DataFrame, n_surrogates: int, seed: int, band: tuple
         for pdf in blocks:
             if not len(pdf):
                 continue
-            halves, w = Agreement(*_block(pdf), band), pdf["w"].to_numpy()
+            halves, w, base = Agreement(*_block(pdf), band), np.stack(pdf["w"].to_numpy()), pdf["_base"].to_numpy()
             for s in range(n_surrogates):
-                m = halves.at(np.array([surrogate_shift(seed, s, p) for p in pdf["path"]]))
-                sums[s, : len(STATS)] += [np.nansum(w * m[k]) for k in STATS]
-                sums[s, len(STATS) :] += w @ m["curve"]
+                m = halves.at(random_delays(base, np.array([s]))[:, 0])
+                sums[s, : len(STATS)] += [w[:, i] @ np.nan_to_num(m[k]) for i, k in enumerate(STATS)]
+                sums[s, len(STATS) :] += w[:, -1] @ m["curve"]
         yield pd.DataFrame({"surrogate": np.repeat(np.arange(n_surrogates), size), "pos": np.tile(np.arange(size), n_surrogates), "v": sums.ravel()})
 
-    parts = rows.select("path", "re0", "im0", "re1", "im1", "w").mapInPandas(run, "surrogate int, pos int, v double")
+    parts = rows.select("path", "re0", "im0", "re1", "im1", "w", "_base").mapInPandas(run, "surrogate int, pos int, v double")
     return parts.groupBy("surrogate", "pos").agg(F.sum("v").alias("v"))
 
 
@@ -264,10 +277,11 @@ def group_statistics(measures: DataFrame) -> DataFrame:
 def report(records: DataFrame, n_surrogates: int = N_SURROGATES, seed: int = 42, band: tuple[float, float] = BAND_HZ) -> DataFrame:
     """One row per statistic: observed value, null mean and quantiles, one-sided p."""
     records = checkpointed(records)
-    observed = group_statistics(record_measures(records, band))
+    measures = checkpointed(record_measures(records, band))
+    observed = group_statistics(measures)
     names = list(DIRECTION)
     obs = observed.withColumn("_one", F.lit(1)).unpivot("_one", names, "statistic", "observed").drop("_one")
-    null = checkpointed(_curve_stats(surrogate_sums(records, n_surrogates, seed, band), "surrogate")).unpivot("surrogate", names, "statistic", "v")
+    null = checkpointed(_curve_stats(surrogate_sums(records, measures, n_surrogates, seed, band), "surrogate")).unpivot("surrogate", names, "statistic", "v")
     sign = F.create_map(*[F.lit(v) for n, d in DIRECTION.items() for v in (n, d)])
     joined = null.join(obs, "statistic")
     extreme = (F.col("v") - F.col("observed")) * F.element_at(sign, F.col("statistic")) >= 0

@@ -31,3 +31,6 @@ def test_scan_train_score_and_cycles(spark, tmp_path, monkeypatch):
     assert pred.count() == 18 and pred.filter("ptsd_probability BETWEEN 0 AND 1").count() == 18
     jobs.fold_cycles(spark, argparse.Namespace(**a))
     assert spark.read.json(a["out"] + "/rest").count() == 8
+    curves = spark.read.parquet(a["out"] + "/curves_rest")
+    assert curves.select("channel").distinct().count() == 6 and curves.filter("kind = 'grid' AND channel = 'O1'").count() == 350
+    assert spark.read.json(a["out"] + "/channels_rest").filter("p BETWEEN 0 AND 1").count() == 12

@@ -264,3 +264,43 @@ def test_spectra_are_computed_once_a_content(spark, tmp_path):
     assert "MapInPandas" not in again._jdf.queryExecution().executedPlan().toString() and again.count() == 18
     assert len(spectra_cache.committed(spark, folder)) == 2
     assert spectra_cache.missing(reg, folder, recordings.VARIANTS["requantized"]).count() == 3
+
+
+def test_condition_curves_and_null_means(spark):
+    from sigloom.operators import condition
+
+    rng = np.random.default_rng(7)
+    channels, rows, flat = ("Fp1", "Fp2", "O1"), [], {}
+    for r in range(6):
+        for c in channels:
+            for h in (0, 1):
+                s = np.fft.rfft(rng.normal(size=500))
+                if r == 4:
+                    s[cycles.harmonics(cycles.GRID_HZ)] = 0  # no agreement to speak of
+                flat[r, c, h] = s
+                rows.append((f"p{r}", c, h, 2 if (r, c, h) == (5, "O1", 1) else 9, s.real.tolist(), s.imag.tolist()))
+    halves = spark.createDataFrame(rows, "path string, channel string, half int, n_cycles long, re array<double>, im array<double>")
+    records = cycles.record_spectra(halves).withColumn("subject", F.when(F.col("path") < "p2", "s0").otherwise(F.concat(F.lit("s"), "path")))
+    measures = cycles.record_measures(records)
+    m = measures.toPandas().set_index("path")
+    assert m["grid_r"].isna().sum() == 1
+    curves = condition.aligned_curves(halves, measures).toPandas().set_index(["path", "channel", "kind"])["curve"]
+    assert len(curves) == (6 * 3 - 1) * 2
+    fine, t = np.arange(cycles.FINE), np.arange(*cycles.EPOCH)
+    for (path, channel, kind), got in curves.items():
+        bins, mark, gain = (cycles.offbeat(), "tau", cycles.GAIN) if kind == "deviant" else (cycles.harmonics(cycles.GRID_HZ), "onset", 1.0)
+        wave = [2 / 500 * (flat[int(path[1]), channel, h][bins] @ np.exp(2j * np.pi * np.outer(bins, fine) / cycles.FINE)).real for h in (0, 1)]
+        a, b = (round(m.loc[path, f"{mark}_{x}_s"] * cycles.FINE_HZ) for x in "ab")
+        np.testing.assert_allclose(got, 0.5 * gain * (wave[1][(t + a) % cycles.FINE] + wave[0][(t + b) % cycles.FINE]), atol=1e-9)
+    g = condition.group_curves(condition.aligned_curves(halves, measures)).filter("kind = 'deviant' AND channel = 'O1'").toPandas().sort_values("time_s")
+    per = [np.mean([curves[f"p{r}", "O1", "deviant"] for r in group], axis=0) for group in ((0, 1), (2,), (3,), (4,))]
+    np.testing.assert_allclose(g["mean_uv"], np.mean(per, axis=0), atol=1e-9)
+    np.testing.assert_allclose(g["sem_uv"], np.std(per, axis=0, ddof=1) / 2, atol=1e-9)
+    top = condition.topography(halves, records, 40).toPandas().set_index(["channel", "statistic"])
+    assert len(top) == 6 and top.loc[("O1", "grid_r"), "n_records"] == 5 and top["p"].between(1 / 41, 1).all()
+    # without a delay the weighted sums are the observed group statistics, also where a record has no agreement
+    w = cycles.record_weights(measures).toPandas().set_index("path")["w"]
+    observed = cycles.group_statistics(measures).first()
+    for i, k in enumerate(cycles.STATS):
+        assert observed[k] == pytest.approx(sum(w[p][i] * np.nan_to_num(m.loc[p, k]) for p in m.index))
+    assert (cycles.random_delays(np.array([5, 9]), np.arange(300))[0] != cycles.random_delays(np.array([5, 9]), np.arange(300))[1]).mean() > 0.9
