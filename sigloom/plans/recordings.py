@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.functions import signal
 from sigloom.operators import recordings, windows
 from sigloom.operators.windows import Reject
 from sigloom.plans.registry import Tables, query, r6
@@ -90,7 +91,92 @@ def edf_windows(t: Tables) -> DataFrame:
     return w.select("path", "channel", "window_idx", F.round("sd", 5).alias("sd"), F.round("ptp", 5).alias("ptp"))
 
 
-@query()
+GAIN_UV = "(CAST(1600 AS DOUBLE) / 65535)"
+
+
+def _listed(values: np.ndarray) -> str:
+    return "[" + ", ".join(f"CAST({float(v)!r} AS DOUBLE)" for v in values) + "]"
+
+
+UV = f"{GAIN_UV} * d + (-800 + {GAIN_UV} * 32768)"
+
+
+def _convolved(taps: np.ndarray, step: int = 1) -> str:
+    """SQL: sums of taps and the padded samples px(rec, channel, n, pos, v), read at every ``step``-th place."""
+    return f"""taps AS (SELECT unnest({_listed(taps)}) AS tap, unnest(range(0, {taps.size})) AS j),
+cv AS (SELECT rec, channel, (pos - j) // {step} AS t, sum(v * tap) AS v FROM px CROSS JOIN taps WHERE pos - j >= 0 AND pos - j < n AND (pos - j) % {step} = 0 GROUP BY 1, 2, 3)"""
+
+
+def filtered_sql(low: float | None, high: float | None) -> str:
+    """CTEs up to y(rec, channel, t, v): the zero-phase filtered signal; the ends go on by odd reflection."""
+    taps = signal.fir_taps(125.0, low, high)
+    half = taps.size // 2
+    return DIGITAL_SQL + f""", xs AS (SELECT rec, channel, t, {UV} AS v, used AS n FROM s),
+e AS (SELECT rec, channel, arg_min(v, t) AS first, arg_max(v, t) AS last FROM xs GROUP BY 1, 2),
+px AS (SELECT rec, channel, n, t + {half} AS pos, v FROM xs UNION ALL SELECT x.rec, x.channel, n, {half} - t, 2 * first - v FROM xs x JOIN e ON x.rec = e.rec AND x.channel = e.channel WHERE t BETWEEN 1 AND {half}
+  UNION ALL SELECT x.rec, x.channel, n, {half} + 2 * (n - 1) - t, 2 * last - v FROM xs x JOIN e ON x.rec = e.rec AND x.channel = e.channel WHERE t BETWEEN n - 1 - {half} AND n - 2),
+{_convolved(taps)}, y AS (SELECT * FROM cv)"""
+
+
+def resampled_sql(target: float) -> str:
+    """CTEs up to y(rec, channel, t, v): every so many samples after the anti-alias filter, around the line from first to last sample."""
+    up, down = signal.resample_ratio(125.0, target)
+    assert up == 1
+    taps = signal.resample_taps(up, down)
+    return DIGITAL_SQL + f""", xs AS (SELECT rec, channel, t, {UV} AS v, used AS n FROM s),
+e AS (SELECT rec, channel, arg_min(v, t) AS first, (arg_max(v, t) - arg_min(v, t)) / (count(*) - 1) AS slope FROM xs GROUP BY 1, 2),
+px AS (SELECT x.rec, x.channel, n, t + {taps.size // 2} AS pos, v - (first + slope * t) AS v FROM xs x JOIN e ON x.rec = e.rec AND x.channel = e.channel),
+{_convolved(taps, down)}, y AS (SELECT c.rec, c.channel, t, v + first + slope * t * {down} AS v FROM cv c JOIN e ON c.rec = e.rec AND c.channel = e.channel)"""
+
+
+def windowed_sql(width: int, step: int) -> str:
+    """CTE q(rec, channel, k, sd, ptp, lv) behind y: statistics of detrended windows."""
+    return f""", z AS (SELECT rec, max(t) + 1 AS size FROM y GROUP BY rec),
+cut AS (SELECT y.rec, channel, k, v, t - k * {step} AS i FROM (SELECT y.*, size, unnest(range(greatest(0, (t - {width} + {step}) // {step}), t // {step} + 1)) AS k FROM y JOIN z ON z.rec = y.rec) y WHERE k * {step} + {width} <= size AND t >= k * {step} AND t < k * {step} + {width}),
+fit AS (SELECT rec, channel, k, regr_slope(v, i) AS b, regr_intercept(v, i) AS a FROM cut GROUP BY 1, 2, 3),
+q AS (SELECT c.rec, c.channel, c.k, stddev_pop(v - (a + b * i)) AS sd, max(v - (a + b * i)) - min(v - (a + b * i)) AS ptp, round(ln(var_pop(v - (a + b * i)) + {recordings.TINY!r}), 12) AS lv
+  FROM cut c JOIN fit f ON c.rec = f.rec AND c.channel = f.channel AND c.k = f.k GROUP BY 1, 2, 3)"""
+
+
+WINDOW_ROWS = " SELECT 'rec-' || rec AS path, channel, CAST(k AS BIGINT) AS window_idx, round(sd, 5) AS sd, round(ptp, 5) AS ptp FROM q"
+
+
+def _stats(t: Tables, cfg: recordings.Conditioning) -> DataFrame:
+    w = recordings.conditioned_windows(files(t), cfg, per_piece=3, values=False)
+    return w.select("path", "channel", "window_idx", F.round("sd", 5).alias("sd"), F.round("ptp", 5).alias("ptp"))
+
+
+@query(filtered_sql(None, 40.0) + windowed_sql(500, 250) + WINDOW_ROWS)
+def edf_lowpass(t: Tables) -> DataFrame:
+    """Windows of the standard conditioning: low-pass, half overlapping, detrended."""
+    return _stats(t, recordings.Conditioning())
+
+
+@query(filtered_sql(2.0, 20.0) + windowed_sql(500, 500) + WINDOW_ROWS)
+def edf_bandpass(t: Tables) -> DataFrame:
+    """Windows of the band-passed signal."""
+    return _stats(t, recordings.Conditioning(band_hz=(2.0, 20.0), frame_s=(4.0, 4.0)))
+
+
+@query(resampled_sql(62.5) + windowed_sql(250, 250) + WINDOW_ROWS)
+def edf_resampled(t: Tables) -> DataFrame:
+    """Windows of the signal at half the rate."""
+    return _stats(t, recordings.Conditioning(rate_hz=62.5, band_hz=(None, None), frame_s=(4.0, 4.0)))
+
+
+LIMITS = recordings.Limits()
+
+
+@query(
+    filtered_sql(None, 40.0) + windowed_sql(500, 250) + f""", a AS (SELECT *, CASE WHEN sd < {LIMITS.flat_uv} THEN 1 ELSE 0 END + CASE WHEN ptp > {LIMITS.range_uv} THEN 4 ELSE 0 END AS f0 FROM q),
+m AS (SELECT rec, channel, quantile_cont(lv, 0.5) AS med, count(*) AS ref FROM a WHERE f0 = 0 GROUP BY 1, 2),
+mad AS (SELECT a.rec, a.channel, quantile_cont(abs(lv - med), 0.5) AS mad FROM a JOIN m ON a.rec = m.rec AND a.channel = m.channel WHERE f0 = 0 GROUP BY 1, 2),
+f AS (SELECT a.*, f0 + CASE WHEN ref >= {LIMITS.outlier_windows} AND mad > 0 AND (lv - med) / (1.4826 * mad) > {LIMITS.outlier_z} THEN 8 ELSE 0 END + CASE WHEN a.channel IN ('O1', 'O2') THEN 32 ELSE 0 END AS reject
+  FROM a LEFT JOIN m ON a.rec = m.rec AND a.channel = m.channel LEFT JOIN mad ON a.rec = mad.rec AND a.channel = mad.channel)
+SELECT 'rec-' || rec AS path, channel, CAST(count(*) AS BIGINT) AS n_windows, CAST(count(*) FILTER (WHERE reject = 0) AS BIGINT) AS n_good, """
+    + ", ".join(f"round(avg(CASE WHEN reject & {int(r)} > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS frac_{r.name.lower()}" for r in Reject)
+    + " FROM f GROUP BY rec, channel"
+)
 def edf_quality(t: Tables) -> DataFrame:
     """Share of windows per rejection reason, per file and channel."""
     w = recordings.flagged_windows(files(t), values=False)
