@@ -46,11 +46,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         own = F.lit(FIRST_NUMBER) + F.pmod(F.xxhash64("number", "digest"), F.lit(FIRST_NUMBER))
         base = base.join(F.broadcast(several) if n <= FEW_IDS else several, "number", "left").withColumn("number", F.when(F.col("first") != F.col("digest"), own).otherwise(F.col("number")))
     groups = stored(signature_tree.near_duplicates(base.select(F.col("number").alias("doc_id"), "text")), "groups")
-    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("number")).distinct()
-    kept = base.select("row", "number").join(gone, "number", "left_anti")
-    repeated = groups.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("number")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("number")
-    single = kept.join(repeated, "number", "left_anti").select("row")
-    one = kept.join(repeated, "number", "left_semi").groupBy("number").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    # one row a document; texts are shuffled once, and again only where one text has several rows
+    state = stored(groups.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("number")).agg(F.bool_or(F.col("component_id") != F.col("doc_id")).alias("gone"), F.count(F.lit(1)).alias("n")), "state")
+    # states grow with the documents, so this join is never a broadcast
+    kept = base.select("row", "number").join(state.hint("merge"), "number", "left").filter("gone IS NULL OR NOT gone")
+    if state.filter("n > 1").isEmpty():
+        return kept.select("row.*")
+    single = kept.filter("n IS NULL OR n = 1").select("row")
+    one = kept.filter("n > 1").groupBy("number").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return single.unionByName(one.select("row")).select("row.*")
 
 
