@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ARROW_ROWS = 500
+SORT_ROWS = 200_000
 
 
 @functools.cache
@@ -48,6 +49,11 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def salts_for(largest: int) -> int:
+    """How far to spread the rows of a value so that none of its parts passes about ``SORT_ROWS`` of them."""
+    return max(64, -(-largest // SORT_ROWS))
+
+
 def ranked_within(df: DataFrame, value: str, order: list[str], salts: int = 64) -> DataFrame:
     """Adds ``_rank`` from 0 within ``value``; a frequent value is spread by a salt."""
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import ranked_within, small_batches, stored, whole_text
+from sigloom.llm.common import ranked_within, salts_for, small_batches, stored, whole_text
 from sigloom.llm.token_cache import chunk_encoder
 
 CAPACITY = 4096
@@ -228,7 +228,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
     order = ["doc_id", "piece", "start"]
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     small_to = small_limit(counts, capacity, groups)
-    ranked = ranked_within(pieces, "length", order)
+    salts = salts_for(max(counts.values(), default=0))
+    ranked = ranked_within(pieces, "length", order, salts)
     large = {n: c for n, c in counts.items() if n > small_to}
     small = {n: c for n, c in counts.items() if n <= small_to}
     spans, used, _ = plan_large(large, capacity, groups)
@@ -241,7 +242,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
     big = stored(_follow(big.drop("_rank"), "_position", spans, "_bin").drop("_position"), "large")
 
     bins = big.groupBy("_bin").agg((F.lit(capacity) - F.sum("length")).alias("_free"))
-    bins = ranked_within(bins, "_free", ["_bin"])
+    bins = ranked_within(bins, "_free", ["_bin"], salts)
     free = {r["_free"]: r["n"] for r in bins.groupBy("_free").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     classes, base, at = [], {}, 0
     for space in sorted(free):

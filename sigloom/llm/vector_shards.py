@@ -22,13 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import ranked_within, stored, whole_text
+from sigloom.llm.common import ranked_within, salts_for, stored, whole_text
 
 SHARDS = 24
 PARTS = 8
 LARGE = 64
 BLOCK_ITEMS = 32_768
-MAX_BLOCKS = 1024
 ROW_BYTES = 8
 DIMENSIONS = ("bytes", "tokens", "rows")
 #: weights in the dot product; the law is about bytes
@@ -69,7 +68,7 @@ def assign(rows: DataFrame, shards: int = SHARDS, block_items: int = BLOCK_ITEMS
     fragment = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.lit(0))
     rows = rows.join(F.broadcast(cut), "digest", "left").withColumn("fragment", fragment).drop("parts")
 
-    blocks = max(1, min(MAX_BLOCKS, -(-total["n"] // block_items)))
+    blocks = max(1, -(-total["n"] // block_items))
     items = _vectors(rows, "digest", "fragment").withColumn("share", share).withColumn("block", F.pmod(F.xxhash64("digest", "fragment"), F.lit(blocks)).cast("int"))
     items = stored(items, "items")
     scale = np.array([total[d] for d in DIMENSIONS], float)
@@ -101,6 +100,7 @@ def assign(rows: DataFrame, shards: int = SHARDS, block_items: int = BLOCK_ITEMS
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Per row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``; slots count from 0 within a shard."""
-    rows = assign(stored(measured(docs), "measured"), shards)
-    slots = ranked_within(rows, "shard", ["doc_id", "text_crc32", "size"])
+    known = stored(measured(docs), "measured")
+    rows = assign(known, shards)
+    slots = ranked_within(rows, "shard", ["doc_id", "text_crc32", "size"], salts_for(known.count() // shards))
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("_rank").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
