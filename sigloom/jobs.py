@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sigloom.functions import strata
 from sigloom.operators import condition, cycles, evaluation, features, learn, nested, protocols, recordings, task_branch
 from sigloom.session import checkpointed, get_session
+from sigloom.sinks.single_file import write_csv
 from sigloom.sources import registry as reg
 
 
@@ -79,15 +80,25 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     rows, p = feature_tables(spark, a.data, a.protocol), protocols.PROTOCOLS[a.protocol].procedure
     oof = checkpointed(nested.nested_oof(rows, p))
     oof.join(rows.select("row", "subject_key", "export_family"), "row").write.mode("overwrite").option("header", "true").csv(f"{a.out}/nested_oof")
+    aged = checkpointed(oof.join(rows.select("row", "age"), "row"))
     for score in ("p", "p_raw"):
-        for name, table in evaluation.report(oof, score).items():
-            table.write.mode("overwrite").json(f"{a.out}/metrics/{score}/{name}")
+        _write_report(evaluation.report(oof, score) | {"age_bands": evaluation.by_age_band(aged, score)}, f"{a.out}/metrics/{score}")
+    # control: what the export settings alone can tell
+    meta = checkpointed(evaluation.fixed_oof(rows, protocols.METADATA, scale=False))
+    meta.write.mode("overwrite").option("header", "true").csv(f"{a.out}/metadata_oof")
+    _write_report(evaluation.report(meta), f"{a.out}/metrics/metadata")
     if a.n_perm:
         controls = F.col("stratum").startswith("control_")
         observed = evaluation.report(oof)["auc"].filter("slice = 'controls_excl_ageing'").first()["value"]
         evaluation.permutation_test(rows, p, observed, a.n_perm, controls).write.mode("overwrite").json(f"{a.out}/permutation")
 
 
+def history(spark: SparkSession, a: argparse.Namespace) -> None:
+    """One sorted table of the areas of finished evaluations; ``--data`` is a folder of their output folders."""
+    runs = {r: spark.read.json(f"{a.data}/{r}/metrics/p/auc") for r in a.runs.split(",")}
+    write_csv(evaluation.history(runs), f"{a.out}/history.csv", ["run", "slice"])
+
+
 def train(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = feature_tables(spark, a.data, a.protocol)
     model, scores = nested.train_final(rows, protocols.PROTOCOLS[a.protocol].procedure)
@@ -141,7 +152,7 @@ def cycles_input(usable: DataFrame) -> DataFrame:
 def main() -> None:
     parser = argparse.ArgumentParser(description="Recording analytics on Spark")
     sub = parser.add_subparsers(dest="job", required=True)
-    for name, f in (("scan", scan), ("evaluate", evaluate), ("train", train), ("score", score), ("robustness", robustness), ("cycles", fold_cycles)):
+    for name, f in (("scan", scan), ("evaluate", evaluate), ("train", train), ("score", score), ("robustness", robustness), ("cycles", fold_cycles), ("history", history)):
         p = sub.add_parser(name)
         p.set_defaults(run=f)
         p.add_argument("--data", required=True)
@@ -149,6 +160,8 @@ def main() -> None:
         if name in ("evaluate", "train", "robustness"):
             p.add_argument("--protocol", choices=sorted((*protocols.PROTOCOLS, *(BRANCH_PROTOCOLS if name == "evaluate" else ()))), default="protocol8")
             p.add_argument("--n-perm", type=int, default=0)
+        if name == "history":
+            p.add_argument("--runs", required=True, help="names of the runs, joined by commas")
         if name == "score":
             p.add_argument("--model", required=True)
         if name == "cycles":

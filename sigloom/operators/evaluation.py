@@ -201,6 +201,29 @@ def report(oof: DataFrame, score: str = "p", n_boot: int = resample.N_BOOTSTRAP)
     return out
 
 
+# Bands [lo, hi) of the report
+AGE_BANDS = (("17-29", 0.0, 30.0), ("30-45", 30.0, 46.0), ("46-64", 46.0, 65.0), ("65+", 65.0, float("inf")))
+
+
+def by_age_band(oof: DataFrame, score: str = "p", bands: Sequence[tuple[str, float, float]] = AGE_BANDS) -> DataFrame:
+    """Per age band of the others: size, median score, specificity, and the area of all cases against the band."""
+    case, band = F.col("stratum") == strata.PTSD, F.lit(None).cast("string")
+    for name, lo, hi in bands:
+        band = F.when((F.col("age") >= lo) & (F.col("age") < hi), name).otherwise(band)
+    rest = oof.filter(~case).withColumn("band", band)
+    per = rest.groupBy("band").agg(F.count(score).alias("n"), metrics.share(F.col(score) < metrics.DECISION_THRESHOLD).alias("specificity"))
+    area = metrics.auc_against(oof, score, case, band, "auc").select(F.col("stratum").alias("band"), "auc")
+    names = oof.sparkSession.createDataFrame([(b,) for b, _, _ in bands], "band string")
+    out = names.join(per, "band", "left").join(ordered.median(rest.filter("band IS NOT NULL"), ["band"], score, "median_p"), "band", "left").join(area, "band", "left")
+    return out.select("band", F.coalesce("n", F.lit(0)).alias("n"), "median_p", "specificity", "auc")
+
+
+def history(reports: dict[str, DataFrame]) -> DataFrame:
+    """Areas of several runs in one table: (run, slice, value, ci_low, ci_high)."""
+    parts = [t.select(F.lit(name).alias("run"), "slice", "value", "ci_low", "ci_high") for name, t in reports.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def restricted_runs(df: DataFrame, protocol: nested.Protocol) -> DataFrame:
     """Ablation: the nested AUC against controls with each feature set alone."""
     s = F.col("stratum")

@@ -80,14 +80,25 @@ PROTOCOLS: dict[str, Registered] = {
 }
 
 
+# what a model of export settings alone sees
+METADATA = ("meta_family_A", "meta_family_B", "meta_family_C", "meta_notch_share", "meta_share_125")
+
+
+def export_descriptors(subjects: DataFrame) -> DataFrame:
+    """Subjects with their export family as one flag a family, the share of notch-filtered files and of files at the target rate."""
+    flags = {f"meta_family_{f}": F.coalesce((F.col("export_family") == f).cast("double"), F.lit(0.0)) for f in "ABC"}
+    shares = {"meta_notch_share": F.coalesce("notch_share", F.lit(0.0)), "meta_share_125": F.coalesce("share_125", F.lit(0.0))}
+    return subjects.withColumns(flags | shares)
+
+
 def training_table(subjects: DataFrame, table: DataFrame, registered: Registered, requantized: DataFrame | None = None) -> DataFrame:
     """Rows for ``nested.nested_oof``: subjects of the population with their features, label, group and stratum."""
     keep = (~F.col("holdout") | F.lit(registered.include_ageing)) & (F.col("has_task_files") | F.lit(registered.include_rest_only))
-    rows = subjects.filter(keep).join(table, "subject_key")
+    rows = export_descriptors(subjects.filter(keep)).join(table, "subject_key")
     if requantized is not None:
         rows = rows.join(requantized.select("subject_key", *[F.col(n).alias(f"rq_{n}") for n in features.FEATURE_NAMES]), "subject_key", "left")
     # subject keys are unique: their hash stands in for a row number
     return rows.select(
         F.xxhash64("subject_key").alias("row"), "subject_key", F.col("split_group").alias("grp"), F.col("label").alias("y"), "stratum", "export_family",
-        *registered.procedure.features,
+        F.col("age").cast("double").alias("age"), *METADATA, *registered.procedure.features,
     )

@@ -7,8 +7,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.operators import nested, permutations, task_branch
-from sigloom.plans.learning import FIXED, PROTOCOL, population
+from sigloom.operators import evaluation, nested, permutations, task_branch
+from sigloom.plans.learning import FEAT_SQL, FIXED, PROTOCOL, population
 from sigloom.plans.registry import Tables, query, r6
 from sigloom.plans.resampling import _permuted, h32
 from sigloom.plans.statistics import SCORED, scored
@@ -80,3 +80,47 @@ def branch_scores(t: Tables) -> DataFrame:
     scores = nested.criterion(long, ["model"], task_branch.procedure("two branches", ("s",), True))
     every = ordered.auc(long, ["model"], "p", F.col("stratum") == "ptsd", name="auc_all")
     return scores.join(every, "model").select("model", r6("score").alias("score"), r6("auc_all").alias("auc_all"))
+
+
+GROUPED_SQL = FEAT_SQL + ", g AS (SELECT doc_id AS r, CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS grp, y, log_words AS x, log_chars AS t FROM f), o AS (SELECT DISTINCT grp AS o FROM g)"
+
+
+@query(
+    GROUPED_SQL + """, w AS (SELECT o, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS np FROM o JOIN g ON g.grp <> o GROUP BY o),
+it(o, k, a, b) AS (SELECT o, 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM o UNION ALL
+  SELECT o, k + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT o, k, a, b, a + sum(w * (p - y) * x) AS ga, sum(w * (p - y)) AS gb, 1 + sum(w * p * (1 - p) * x * x) AS haa, sum(w * p * (1 - p) * x) AS hab, sum(w * p * (1 - p)) AS hbb
+        FROM (SELECT it.o, it.k, it.a, it.b, x, y, CASE WHEN y = 1 THEN n / (2 * np) ELSE n / (2 * (n - np)) END AS w, 1 / (1 + exp(-(it.a * x + it.b))) AS p FROM it JOIN w ON w.o = it.o JOIN g ON g.grp <> it.o) GROUP BY o, k, a, b) WHERE k < 25)
+SELECT r AS row, round(1 / (1 + exp(-(a * x + b))), 6) AS p FROM g JOIN it ON it.o = g.grp WHERE k = 25"""
+)
+def metadata_oof(t: Tables) -> DataFrame:
+    """Leave-one-group-out probabilities of a fixed model of one plain descriptor."""
+    out = evaluation.fixed_oof(population(t), ["log_words"], scale=False)
+    return out.select("row", r6("p").alias("p"))
+
+
+# one feature: standardised per training set, alpha by leave-one-out error
+RIDGE_SQL = GROUPED_SQL + f""", k AS (SELECT * FROM g WHERE t IS NOT NULL), m AS (SELECT o, CAST(count(*) AS DOUBLE) AS n, avg(x) AS mx, stddev_pop(x) AS sx, avg(t) AS mt, covar_pop(x, t) / stddev_pop(x) * count(*) AS zt FROM o JOIN k ON k.grp <> o GROUP BY o),
+al AS (SELECT m.*, alpha, zt / (n + alpha) AS coef FROM m CROSS JOIN (SELECT unnest([{', '.join(f'CAST({a} AS DOUBLE)' for a in evaluation.AGE_RIDGE_ALPHAS)}]) AS alpha)),
+loo AS (SELECT o, alpha, sum(pow((t - mt - (x - mx) / sx * coef) / (1 - 1 / n - pow((x - mx) / sx, 2) / (n + alpha)), 2)) AS sse FROM al JOIN k ON k.grp <> o GROUP BY o, alpha),
+best AS (SELECT o, alpha FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY sse, alpha) AS i FROM loo) WHERE i = 1),
+p AS (SELECT r, t, mt + (x - mx) / sx * coef AS predicted, mt AS reference FROM k JOIN best ON best.o = k.grp JOIN al ON al.o = best.o AND al.alpha = best.alpha)"""
+
+
+@query(RIDGE_SQL + " SELECT r AS row, round(t, 6) AS target, round(predicted, 5) AS predicted, round(reference, 5) AS reference FROM p")
+def ridge_oof(t: Tables) -> DataFrame:
+    """Leave-one-group-out ridge prediction of a number, alpha chosen inside every training set."""
+    out = _ridge(t)
+    return out.select("row", r6("target").alias("target"), F.round("predicted", 5).alias("predicted"), F.round("reference", 5).alias("reference"))
+
+
+def _ridge(t: Tables) -> DataFrame:
+    return evaluation.ridge_oof(population(t), ["log_words"], "log_chars")
+
+
+@query(RIDGE_SQL + " SELECT round(1 - sum(pow(t - predicted, 2)) / sum(pow(t - reference, 2)), 5) AS r_squared, round(avg(abs(t - predicted)), 5) AS mae, round(avg(abs(t - reference)), 5) AS mae_mean FROM p")
+def out_of_sample_fit(t: Tables) -> DataFrame:
+    """Out-of-sample R-squared, and mean absolute error beside that of the training mean."""
+    square = lambda c: F.sum(F.pow(F.col("target") - F.col(c), 2))
+    error = lambda c: F.avg(F.abs(F.col("target") - F.col(c)))
+    return _ridge(t).agg(F.round(1 - square("predicted") / square("reference"), 5).alias("r_squared"), F.round(error("predicted"), 5).alias("mae"), F.round(error("reference"), 5).alias("mae_mean"))
