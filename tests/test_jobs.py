@@ -33,7 +33,7 @@ def test_scan_train_score_and_cycles(spark, tmp_path, monkeypatch):
     assert spark.read.csv(str(tmp_path / "runs" / "one" / "metadata_oof"), header=True).count() == 18
     jobs.history(spark, argparse.Namespace(data=str(tmp_path / "runs"), out=str(tmp_path / "out"), runs="one"))
     lines = (tmp_path / "out" / "history.csv").read_text("utf-8-sig").splitlines()
-    assert lines[0] == "run,slice,value,ci_low,ci_high" and len(lines) == 6 and lines[1].startswith("one,all_controls")
+    assert lines[0] == "run,slice,value,ci_low,ci_high" and len(lines) == 6 and lines[1].startswith("one,ageing_and_somatoform,")
     jobs.score(spark, argparse.Namespace(**{**a, "out": str(tmp_path / "pred"), "model": a["out"] + "/model"}))
     pred = spark.read.csv(str(tmp_path / "pred"), header=True, inferSchema=True)
     assert pred.count() == 18 and pred.filter("ptsd_probability BETWEEN 0 AND 1").count() == 18
