@@ -51,11 +51,11 @@ def phase_consistency(t: Tables) -> DataFrame:
     return out.select(F.col("path").alias("label"), "split", "bin", (F.round("cosine", 5) + 0.0).alias("cosine"))
 
 
-@query(f"SELECT split, bin, CAST(count(*) AS BIGINT) AS n, round(avg(cosine), 5) + 0.0 AS mean_cosine FROM ({SPLIT_SQL}) GROUP BY split, bin")
+@query(f"SELECT split, bin, CAST(count(*) AS BIGINT) AS n, round(avg(cosine), 7) + 0.0 AS mean_cosine FROM ({SPLIT_SQL}) GROUP BY split, bin")
 def mean_phase_consistency(t: Tables) -> DataFrame:
     """Mean over the records of the cosine of the phase difference, per split and bin."""
     each = phase_consistency(t)
-    return each.groupBy("split", "bin").agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg("cosine"), 5) + 0.0).alias("mean_cosine"))
+    return each.groupBy("split", "bin").agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg("cosine"), 7) + 0.0).alias("mean_cosine"))
 
 
 @query()
