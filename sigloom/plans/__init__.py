@@ -6,7 +6,7 @@ import importlib
 
 from sigloom.plans.registry import QUERIES, Query
 
-MODULES = ("relational", "statistics", "runs", "windows", "fingerprints", "spectra", "learning", "resampling", "selection", "curves", "responses", "cycles", "recordings")
+MODULES = ("relational", "statistics", "runs", "windows", "fingerprints", "spectra", "learning", "resampling", "selection", "curves", "responses", "cycles", "recordings", "controls", "storage")
 
 
 def all_queries() -> dict[str, Query]:

@@ -167,12 +167,16 @@ def edf_resampled(t: Tables) -> DataFrame:
 LIMITS = recordings.Limits()
 
 
-@query(
-    filtered_sql(None, 40.0) + windowed_sql(500, 250) + f""", a AS (SELECT *, CASE WHEN sd < {LIMITS.flat_uv} THEN 1 ELSE 0 END + CASE WHEN ptp > {LIMITS.range_uv} THEN 4 ELSE 0 END AS f0 FROM q),
+# CTE f(rec, channel, k, reject) behind q: the reject bits of the standard limits
+FLAGS_SQL = f""", a AS (SELECT *, CASE WHEN sd < {LIMITS.flat_uv} THEN 1 ELSE 0 END + CASE WHEN ptp > {LIMITS.range_uv} THEN 4 ELSE 0 END AS f0 FROM q),
 m AS (SELECT rec, channel, quantile_cont(lv, 0.5) AS med, count(*) AS ref FROM a WHERE f0 = 0 GROUP BY 1, 2),
 mad AS (SELECT a.rec, a.channel, quantile_cont(abs(lv - med), 0.5) AS mad FROM a JOIN m ON a.rec = m.rec AND a.channel = m.channel WHERE f0 = 0 GROUP BY 1, 2),
 f AS (SELECT a.*, f0 + CASE WHEN ref >= {LIMITS.outlier_windows} AND mad > 0 AND (lv - med) / (1.4826 * mad) > {LIMITS.outlier_z} THEN 8 ELSE 0 END + CASE WHEN a.channel IN ('O1', 'O2') THEN 32 ELSE 0 END AS reject
-  FROM a LEFT JOIN m ON a.rec = m.rec AND a.channel = m.channel LEFT JOIN mad ON a.rec = mad.rec AND a.channel = mad.channel)
+  FROM a LEFT JOIN m ON a.rec = m.rec AND a.channel = m.channel LEFT JOIN mad ON a.rec = mad.rec AND a.channel = mad.channel)"""
+
+
+@query(
+    filtered_sql(None, 40.0) + windowed_sql(500, 250) + FLAGS_SQL + """
 SELECT 'rec-' || rec AS path, channel, CAST(count(*) AS BIGINT) AS n_windows, CAST(count(*) FILTER (WHERE reject = 0) AS BIGINT) AS n_good, """
     + ", ".join(f"round(avg(CASE WHEN reject & {int(r)} > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS frac_{r.name.lower()}" for r in Reject)
     + " FROM f GROUP BY rec, channel"

@@ -12,6 +12,12 @@ def read_listing(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("Key").alias("key"), F.col("Size").alias("size"))
 
 
+def parse_listing(pages: DataFrame, column: str = "xml") -> DataFrame:
+    """Key and size of every object in listing pages held as text, one page of a bounded number of objects a row."""
+    entries = F.from_xml(column, "Contents array<struct<Key: string, Size: bigint>>")["Contents"]
+    return pages.select(F.explode(entries).alias("c")).select(F.col("c.Key").alias("key"), F.col("c.Size").alias("size"))
+
+
 def select_files(listing: DataFrame, group: str | None = None, limit_subjects: int | None = None) -> DataFrame:
     """Keys of the form ``group/subject/file``, optionally of one group and of the first subjects per group in key order."""
     parts = F.split("key", "/")
