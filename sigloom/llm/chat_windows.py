@@ -167,7 +167,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """Digests of every conversation from its windows, which must follow one another as ``format_conversations`` leaves them."""
+    """Digests of every conversation from its stored windows, in whatever order and partitions these come."""
+    ordered = windows.repartition(4 * shuffle_parts(windows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "window")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
@@ -196,4 +197,4 @@ def read_back(windows: DataFrame) -> DataFrame:
         longs = [(c, pa.int64()) for c in ("conv_id", "n_turns")] + [("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_windows", pa.int64())]
         yield from _batches(rows(), pa.schema(longs), 1000)
 
-    return windows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sigloom.llm import chat_windows, line_crf, multiset_hash, pii_boost, vector_shards
+from sigloom.llm.common import stored
 
 from .cases import SCHEMA, awkward, awkward_rows, empty, prose
 
@@ -58,6 +59,7 @@ def test_chat_windows(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit("x")).repartition(3)
     windows = chat_windows.format_conversations(df, budget=120, history=40)
     got = {r["conv_id"]: r for r in chat_windows.read_back(windows).collect()}
+    assert got == {r["conv_id"]: r for r in chat_windows.read_back(stored(windows).repartition(5, "formatted")).collect()}
     by = {}
     for c, t, role, text in sorted(rows, key=lambda r: (str(r[0]), r[1] or 0, r[2] or "", r[3] or "")):
         by.setdefault(c, []).append((role or "", text or ""))
