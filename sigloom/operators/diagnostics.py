@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions import signal
-from sigloom.operators import erp, features, ordered, recordings, spectral
+from sigloom.operators import arrays, erp, features, ordered, recordings, spectral
+from sigloom.session import checkpointed
 
 LOWFREQ = recordings.Conditioning(band_hz=(None, None), frame_s=(16.0, 8.0), detrend=False)
 
@@ -37,14 +38,14 @@ def lowfreq_spectrum(files: DataFrame, channels: Sequence[str] = ("Fp1", "Fp2"))
     w = recordings.conditioned_windows(files, LOWFREQ, per_piece=30).filter(F.col("channel").isin(*channels))
     mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")
     w = w.withColumn("m", mean).withColumn("x", F.transform("x", lambda v: v - F.col("m")))
-    cells = w.select("path", "channel", F.posexplode(signal.psd(F.col("x"), LOWFREQ.rate_hz)).alias("bin", "v"))
-    mid = ordered.median(cells, ["path", "channel", "bin"], "v", "v")
-    size = cells.groupBy("path", "channel", "bin").agg(F.count(F.lit(1)).alias("n"))
+    spectra = checkpointed(w.select("path", "channel", signal.psd(F.col("x"), LOWFREQ.rate_hz).alias("psd")))
+    sizes = spectra.groupBy("path", "channel").agg(F.count(F.lit(1)).alias("n"))
     half = F.floor((F.col("n") - 1) / 2).cast("int")
     # bias of the median of n exponential variables
     bias = F.when(half < 1, 1.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(half, F.lit(1))), F.lit(1.0), lambda a, i: a + 1 / (2 * i + 1) - 1 / (2 * i)))
-    both = mid.join(size, ["path", "channel", "bin"]).withColumn("v", F.col("v") / bias)
-    return both.groupBy("path", (F.col("bin") / LOWFREQ.frame_s[0]).alias("freq")).agg(F.avg("v").alias("psd"))
+    mid = arrays.median(spectra, ["path", "channel"], "psd").join(sizes.select("path", "channel", bias.alias("bias")), ["path", "channel"])
+    cells = mid.select("path", "bias", F.posexplode("median").alias("bin", "v"))
+    return cells.groupBy("path", (F.col("bin") / LOWFREQ.frame_s[0]).alias("freq")).agg(F.avg(F.col("v") / F.col("bias")).alias("psd"))
 
 
 def summarize_power(replicates: DataFrame, nulls: DataFrame, microvolts_per_unit: float) -> DataFrame:

@@ -12,6 +12,7 @@ from sigloom.operators import diagnostics, features, learn, recordings, spectra_
 from sigloom.plans.learning import ALL_SQL, FIXED, described
 from sigloom.plans.recordings import DIGITAL_SQL, FLAGS_SQL, UV, files, filtered_sql, windowed_sql
 from sigloom.plans.registry import Tables, query
+from sigloom.session import checkpointed
 from sigloom.sources import edf, listing
 
 UNITS = ("uV", "mV", "V")
@@ -87,7 +88,8 @@ SELECT 'rec-' || rec AS path, channel, CAST(count(DISTINCT k) AS BIGINT) AS n_go
 def stored_spectra(t: Tables) -> DataFrame:
     """Alpha range of the spectra table, filled in two runs: the second one reads the samples of contents that the first has not seen."""
     have = files(t)
-    registry = edf.headers(have).select("path", "status").join(edf.content_hashes(edf.channel_digests(have)), "path").join(have, "path")
+    known = edf.headers(have).select("path", "status").join(edf.content_hashes(edf.channel_digests(have)), "path")
+    registry = checkpointed(known).join(have, "path")
     folder = working_folder(t.spark, "spectra")
     spectra_cache.update(registry.filter(number() % 2 == 0), folder)
     table = spectra_cache.update(registry, folder)
