@@ -265,3 +265,11 @@ def test_batched_standardisation_is_exact_and_needs_no_more_jobs_for_more_folds(
     keys = np.array([-np.inf, -3.0, -0.0, 0.0, 1e-300, 2.5, np.inf])
     np.testing.assert_array_equal(batched.from_keys(batched.ordered_keys(keys)), keys)
     assert (np.diff(batched.ordered_keys(keys).astype(float)) >= 0).all()
+
+
+def test_fold_tasks_send_bounded_lists_and_lose_nothing():
+    sent = [(3, k, np.arange(n), np.full(n, k / 10)) for k, n in enumerate((0, 25, 7, 3, 40))]
+    lists = list(nested._bounded(iter(sent), 10))
+    assert [sum(len(t) for *_, t, _ in part) for part in lists] == [10] * 7 + [5]
+    rows = [(o, c, int(r), float(v)) for part in lists for o, c, t, p in part for r, v in zip(t, p, strict=True)]
+    assert rows == [(o, c, int(r), float(v)) for o, c, t, p in sent for r, v in zip(t, p, strict=True)]
