@@ -273,3 +273,18 @@ def test_fold_tasks_send_bounded_lists_and_lose_nothing():
     assert [sum(len(t) for *_, t, _ in part) for part in lists] == [10] * 7 + [5]
     rows = [(o, c, int(r), float(v)) for part in lists for o, c, t, p in part for r, v in zip(t, p, strict=True)]
     assert rows == [(o, c, int(r), float(v)) for o, c, t, p in sent for r, v in zip(t, p, strict=True)]
+
+
+def test_calibrations_hold_points_as_columns(spark):
+    rng = np.random.default_rng(3)
+    p = rng.uniform(0.05, 0.95, 600)
+    oof = pd.DataFrame({"outer": np.arange(600) % 3, "stratum": "x", "y": (rng.uniform(size=600) < p).astype(float), "p": p})
+    protocol = nested.Protocol("t", {"a": ("a",)}, (nested.Candidate(1.0, "control", "a"),), equal_error=False)
+    out = nested.calibrations(spark.createDataFrame(oof), ["outer"], protocol)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    for r in out.collect():
+        own = oof[oof.outer == r["outer"]]
+        n, cases = len(own), own.y.sum()
+        w = np.where(own.y == 1, n / (2 * cases), n / (2 * (n - cases)))
+        want = nested.learn.solve_local(np.log(own.p / (1 - own.p)).to_numpy()[:, None], own.y.to_numpy(), w, nested.learn.PLATT_C)
+        assert np.allclose([r["a"], r["b"]], want, atol=1e-7)
