@@ -119,6 +119,7 @@ def fold_aucs(df: DataFrame, protocol: nested.Protocol, comparisons: dict[str, S
     """AUC inside the test folds of repeated grouped, stratified K-fold runs of the whole procedure."""
     parts = []
     s = F.col("stratum")
+    df = checkpointed(df)  # every repeat starts from this table, so what is behind it is computed once
     for r in range(n_repeats):
         cut = folds.stratified_group_folds(df, "grp", "stratum", n_splits, seed + r, "test_fold")
         oof = checkpointed(nested.nested_oof(df.join(cut, "grp"), protocol, outer="test_fold"))

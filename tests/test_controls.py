@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -54,3 +55,22 @@ def test_no_unit_no_reading(spark):
     odd = files.withColumn("content", F.concat(F.substring("content", 1, at), F.lit("ohm".ljust(8) * storage.SIGNALS).cast("binary"), F.expr(f"substring(content, {at + width + 1})")))
     said = {(r["status"], "ohm" in (r["error"] or "")) for r in edf.headers(odd).select("status", "error").collect()}
     assert said == {("error", True)}
+
+
+def test_fold_areas_compute_their_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    from sigloom.operators import evaluation, nested
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(v: pd.Series) -> pd.Series:
+        seen.add(len(v))
+        return v.astype(float)
+
+    ids = spark.range(120).select(F.col("id").alias("row"), (F.col("id") % 12).alias("grp"), (F.col("id") % 3 % 2).cast("int").alias("y"))
+    rows = ids.withColumn("stratum", F.when(F.col("y") == 1, "ptsd").otherwise("control_A")).withColumn("log_words", counted("row"))
+    protocol = nested.Protocol("single", {"words": ("log_words",)}, (nested.Candidate(1.0, "control+somatoform", "words"),), calibrate=False)
+    out = evaluation.fold_aucs(rows, protocol, {"a": ("control_A",)}, n_splits=2, n_repeats=2)
+    assert out.count() == 4 and seen.value == 120
