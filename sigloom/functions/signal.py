@@ -31,12 +31,12 @@ def hann_psd(x: np.ndarray, sfreq: float) -> np.ndarray:
     return power
 
 
-def psd(x: Column, sfreq: float) -> Column:
-    """``ARRAY<DOUBLE>`` samples -> ``ARRAY<DOUBLE>`` power per frequency bin."""
+def psd(x: Column, sfreq: float, centred: bool = False) -> Column:
+    """``ARRAY<DOUBLE>`` samples -> ``ARRAY<DOUBLE>`` power per frequency bin; ``centred`` takes the mean away first."""
 
     @F.pandas_udf("array<double>")
     def window_psd(v: pd.Series) -> pd.Series:
-        return stacked(v, lambda m: hann_psd(m, sfreq))
+        return stacked(v, lambda m: hann_psd(m - m.mean(axis=-1, keepdims=True) if centred else m, sfreq))
 
     return window_psd(x)
 

@@ -85,8 +85,10 @@ def mean_sem(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def _median(pdf: pd.DataFrame, keys: Sequence[str], value: str) -> pd.DataFrame:
-    x = _matrix(pdf[value])
-    out = [float(np.median(c[~np.isnan(c)])) if (~np.isnan(c)).any() else None for c in x.T]
+    x = np.sort(_matrix(pdf[value]), axis=0)  # gaps stand last
+    n, at = (~np.isnan(x)).sum(axis=0), np.arange(x.shape[1])
+    middle = (x[np.maximum(n - 1, 0) // 2, at] + x[np.minimum(n // 2, len(x) - 1), at]) / 2
+    out = [float(v) if c else None for v, c in zip(middle, n)]
     return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "median": [out]})
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sigloom.functions import signal
 from sigloom.operators import arrays, longfilter
@@ -106,3 +107,20 @@ def test_one_sorted_csv_file(spark, tmp_path):
         assert [p.name for p in path.parent.iterdir() if not p.name.startswith(".")] == ["predictions.csv"]
     single_file.write_csv(df.filter("false"), str(path), ["subject_id"])
     assert path.read_bytes() == b"\xef\xbb\xbfsubject_id,ptsd_probability\r\n"
+
+
+def test_slow_spectra_centre_each_segment_once(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(40.0, 1.0, (6, 250))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, x array<double>")
+    got = df.select("i", signal.psd(F.col("x"), 125.0, centred=True).alias("p")).orderBy("i").toPandas()["p"]
+    assert np.allclose(np.stack(got), signal.hann_psd(x - x.mean(axis=1, keepdims=True), 125.0), rtol=1e-9, atol=1e-15)
+
+
+def test_medians_of_positions_with_gaps():
+    rng = np.random.default_rng(6)
+    rows = [np.where(rng.random(9) < 0.3, np.nan, rng.normal(size=9)).tolist()[: 9 - i % 3] for i in range(14)]
+    got = arrays._median(pd.DataFrame({"k": 1, "v": rows}), ["k"], "v")["median"][0]
+    for j in range(9):
+        own = [r[j] for r in rows if len(r) > j and not np.isnan(r[j])]
+        assert got[j] == (float(np.median(own)) if own else None)
