@@ -18,6 +18,7 @@ from sigloom.plans.registry import Tables, query, r6
 from sigloom.sources import edf
 
 PER_FILE = 125
+FILES_PER_TASK = 32
 
 DIGITAL_SQL = f"""
 WITH c(channel, shift, sign) AS (VALUES ('O1', 0, 1), ('T3', 7, 1), ('Fp1', 14, 1), ('Fp2', 21, -1), ('T4', 28, 1), ('O2', 0, 1)),
@@ -31,7 +32,10 @@ s AS (SELECT * FROM raw WHERE t < used)
 
 def files(t: Tables) -> DataFrame:
     """One EDF file per 125 vectors, as (path, file_bytes, content)."""
-    packed = t.embeddings.groupBy(F.floor(F.col("vec_id") / PER_FILE).alias("rec")).agg(
+    # the number is given, so that a task packs a few files whatever the size of the table
+    parts = max(1, -(-t.embeddings.count() // (PER_FILE * FILES_PER_TASK)))
+    rows = t.embeddings.withColumn("rec", F.floor(F.col("vec_id") / PER_FILE)).repartition(parts, "rec")
+    packed = rows.groupBy("rec").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"]).alias("rows")
     )
 

@@ -304,3 +304,25 @@ def test_condition_curves_and_null_means(spark):
     for i, k in enumerate(cycles.STATS):
         assert observed[k] == pytest.approx(sum(w[p][i] * np.nan_to_num(m.loc[p, k]) for p in m.index))
     assert (cycles.random_delays(np.array([5, 9]), np.arange(300))[0] != cycles.random_delays(np.array([5, 9]), np.arange(300))[1]).mean() > 0.9
+
+
+def test_headers_take_only_header_bytes_to_python(spark):
+    content = edf.encode(np.round(noise(3, 8)).astype(int), edf.CHANNELS, 125, -800.0, 800.0)
+    odd = content[:252] + b"six " + content[256:]
+    lone = content[:252] + b"9   " + content[256:300]
+    df = spark.createDataFrame([("a", len(content), content), ("b", len(odd), odd), ("c", len(lone), lone), ("d", 0, b""), ("e", 7, content[:7])], "path string, file_bytes long, content binary")
+    sent = {r["path"]: r["content"] for r in edf._heads(df).collect()}
+    assert sent["a"] == content[: edf.BLOCK * (len(edf.CHANNELS) + 1)] and sent["b"] == odd and sent["c"] == lone
+    said = {r["path"]: (r["status"], r["n_times"]) for r in edf.headers(df).collect()}
+    assert said == {"a": ("ok", 1000), "b": ("error", None), "c": ("error", None), "d": ("empty", None), "e": ("error", None)}
+
+
+def test_a_task_packs_few_files(spark, monkeypatch):
+    from sigloom.plans import recordings as plan
+    from sigloom.plans.registry import Tables
+
+    monkeypatch.setattr(plan, "FILES_PER_TASK", 4)
+    t = Tables(spark, "unused")
+    t.embeddings = spark.range(20 * plan.PER_FILE, numPartitions=1).select(F.col("id").alias("vec_id"), F.array_repeat(F.lit(0.5), 64).alias("embedding"))
+    per = plan.files(t).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per) == 20 and len(per) > 1
