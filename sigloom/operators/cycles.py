@@ -36,6 +36,7 @@ MMN, P3A = (0.10, 0.25), (0.25, 0.40)
 AGREEMENT_S = 0.1
 GAIN = 4.0 / 3.0
 N_SURROGATES = 2000
+RECORDS = 256
 DIRECTION = {"grid_r": 1, "odd_r": 1, "deviant_r": 1, "curve_energy": 1, "mmn_mean": -1, "p3a_mean": 1, "onset_agreement": 1, "tau_agreement": 1}
 STATS = ("grid_r", "odd_r", "deviant_r", "onset_agreement", "tau_agreement")
 TIMES = np.arange(*EPOCH) / FINE_HZ
@@ -194,16 +195,21 @@ def _block(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return part("re0") + 1j * part("im0"), part("re1") + 1j * part("im1")
 
 
+def _few(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same records, at most ``RECORDS`` at a time: waveforms and energies of one take some 100 kB in a task."""
+    for pdf in blocks:
+        yield from (pdf.iloc[low : low + RECORDS] for low in range(0, len(pdf), RECORDS))
+
+
 def record_measures(records: DataFrame, band: tuple[float, float] = BAND_HZ) -> DataFrame:
     """Observed agreement, onsets (seconds) and curve of every record."""
 
     def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in blocks:
-            if len(pdf):
-                m = Agreement(*_block(pdf), band).at(np.zeros(len(pdf), dtype=int))
-                out = {"path": pdf["path"].to_numpy(), "subject": pdf["subject"].to_numpy(), **{k: m[k] for k in STATS}}
-                out |= {f"{k}_s": m[k] / FINE_HZ for k in ("onset_a", "onset_b", "tau_a", "tau_b")}
-                yield pd.DataFrame({**out, "curve": list(m["curve"])})
+        for pdf in _few(blocks):
+            m = Agreement(*_block(pdf), band).at(np.zeros(len(pdf), dtype=int))
+            out = {"path": pdf["path"].to_numpy(), "subject": pdf["subject"].to_numpy(), **{k: m[k] for k in STATS}}
+            out |= {f"{k}_s": m[k] / FINE_HZ for k in ("onset_a", "onset_b", "tau_a", "tau_b")}
+            yield pd.DataFrame({**out, "curve": list(m["curve"])})
 
     cols = ", ".join(f"{c} double" for c in (*STATS, "onset_a_s", "onset_b_s", "tau_a_s", "tau_b_s"))
     return records.select("path", "subject", "re0", "im0", "re1", "im1").mapInPandas(run, f"path string, subject string, {cols}, curve array<double>")
@@ -240,9 +246,7 @@ def surrogate_sums(records: DataFrame, measures: DataFrame, n_surrogates: int, s
 
     def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((n_surrogates, size))
-        for pdf in blocks:
-            if not len(pdf):
-                continue
+        for pdf in _few(blocks):
             halves, w, base = Agreement(*_block(pdf), band), np.stack(pdf["w"].to_numpy()), pdf["_base"].to_numpy()
             for s in range(n_surrogates):
                 m = halves.at(random_delays(base, np.array([s]))[:, 0])
