@@ -10,15 +10,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+STACK_ROWS = 500
+
+
 def stacked(values: pd.Series, kernel) -> pd.Series:
-    """Apply a matrix kernel to all arrays of one length at a time."""
+    """Apply a matrix kernel to the arrays of one length, ``STACK_ROWS`` at a time."""
     out: list[object] = [None] * len(values)
     sizes = np.array([-1 if v is None else len(v) for v in values])
     for n in np.unique(sizes[sizes >= 0]):
-        rows = np.flatnonzero(sizes == n)
-        block = kernel(np.stack([np.asarray(values.iloc[i], dtype=float) for i in rows]))
-        for i, row in zip(rows, block):
-            out[i] = row
+        same = np.flatnonzero(sizes == n)
+        for low in range(0, len(same), STACK_ROWS):
+            rows = same[low : low + STACK_ROWS]
+            block = kernel(np.stack([np.asarray(values.iloc[i], dtype=float) for i in rows]))
+            for i, row in zip(rows, block):
+                out[i] = row
     return pd.Series(out, dtype=object)
 
 

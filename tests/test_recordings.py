@@ -326,3 +326,19 @@ def test_a_task_packs_few_files(spark, monkeypatch):
     t.embeddings = spark.range(20 * plan.PER_FILE, numPartitions=1).select(F.col("id").alias("vec_id"), F.array_repeat(F.lit(0.5), 64).alias("embedding"))
     per = plan.files(t).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in per) == 20 and len(per) > 1
+
+
+def test_kernels_hold_few_rows_at_a_time():
+    import pandas as pd
+
+    whole = pd.DataFrame({"a": range(2 * cycles.RECORDS + 3)})
+    cut = list(cycles._few(iter([whole, whole.iloc[:0]])))
+    assert [len(c) for c in cut] == [cycles.RECORDS, cycles.RECORDS, 3] and pd.concat(cut)["a"].tolist() == whole["a"].tolist()
+    sizes, values = [], pd.Series([np.arange(4.0) + i if i % 7 else None for i in range(3 * signal.STACK_ROWS)])
+
+    def kernel(x):
+        sizes.append(len(x))
+        return x * 2
+
+    out = signal.stacked(values, kernel)
+    assert max(sizes) <= signal.STACK_ROWS and all((o is None) if v is None else (o == 2 * v).all() for o, v in zip(out, values))
