@@ -288,3 +288,24 @@ def test_calibrations_hold_points_as_columns(spark):
         w = np.where(own.y == 1, n / (2 * cases), n / (2 * (n - cases)))
         want = nested.learn.solve_local(np.log(own.p / (1 - own.p)).to_numpy()[:, None], own.y.to_numpy(), w, nested.learn.PLATT_C)
         assert np.allclose([r["a"], r["b"]], want, atol=1e-7)
+
+
+def test_newton_terms_are_loss_and_sums():
+    rng = np.random.default_rng(4)
+    n = learn.CACHED_ROWS + 70
+    x = np.column_stack([rng.normal(size=(n, 2)) * 30, np.ones(n)])
+    y, w, beta = (rng.random(n) < 0.5).astype(float), rng.uniform(0.5, 2.0, n), np.array([1.5, -2.0, 0.3])
+    loss, grad, hess = learn.newton_terms(x, y, w, beta)
+    assert loss == pytest.approx(learn.logistic_loss(x, y, w, beta), rel=1e-12)
+    for got, want in zip((grad, hess), learn.newton_sums(x, y, w, beta), strict=True):
+        np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-9)
+
+
+def test_permutations_of_a_table_that_no_task_holds(rows):
+    from sigloom.operators import permutations
+
+    _, df = rows
+    p = nested.Protocol("p", {"one": ("a",)}, (nested.Candidate(0.3, "control+somatoform", "one"),), ("control_A", "control_B"), calibrate=False)
+    one, two = (permutations.permuted_oof(df, p, 1, limit=n).toPandas().set_index(["perm", "row"]).sort_index() for n in (nested.BROADCAST_BYTES, 0))
+    assert list(one["stratum"]) == list(two["stratum"]) and list(one["y"]) == list(two["y"]) and list(one["candidate"]) == list(two["candidate"])
+    np.testing.assert_allclose(one["p_raw"], two["p_raw"], atol=1e-6)
