@@ -317,6 +317,44 @@ def test_headers_take_only_header_bytes_to_python(spark):
     assert said == {"a": ("ok", 1000), "b": ("error", None), "c": ("error", None), "d": ("empty", None), "e": ("error", None)}
 
 
+def test_a_piece_brings_only_its_own_records(spark, monkeypatch):
+    content = edf.encode(noise(4, 480), edf.CHANNELS, 125, -2000, 2000)
+    df = spark.createDataFrame([("a", len(content), content)], "path string, file_bytes long, content binary")
+    sent, real = [], edf.pieces
+    monkeypatch.setattr(edf, "pieces", lambda *a: sent.append(real(*a)) or sent[-1])
+    for step, per_piece in ((edf.samples, 15_000), (edf.channel_digests, 15_000), (recordings.repeat_runs, 15_000), (edf.record_digests, 120)):
+        step(df, per_piece=per_piece)
+        cut = sent.pop()
+        sizes = [sum(r) for r in cut.select(*[F.length(c) for c, kind in cut.dtypes if kind == "binary"]).collect()]
+        # its quarter of the samples, the header, and a record in front of it
+        assert len(sizes) == 4 and max(sizes) <= len(content) / 4 + edf.BLOCK * 7 + 2 * 6 * 125
+
+
+def test_pieces_of_odd_contents_read_the_same_samples(spark):
+    data = noise(5, 9)
+    plain = edf.encode(data, edf.CHANNELS, 125, -2000, 2000)
+    at = edf.BLOCK * 7
+    gap = plain[:184] + b"2048    " + plain[192:at] + b"\0" * 256 + plain[at:]
+    # a number that Python reads and Spark does not, records inside the header, bytes behind the last record, samples missing
+    other, early, more, cut = plain[:252] + b"0_6 " + plain[256:], plain[:184] + b"256     " + plain[192:], plain + b"tail", plain[: at + 5000]
+    early_data = np.frombuffer(early[256:][: (len(early) - 256) // 1500 * 1500], "<i2").reshape(-1, 6, 125).transpose(1, 0, 2).reshape(6, -1)
+    rows = [("plain", plain), ("gap", gap), ("other", other), ("early", early), ("more", more)]
+    df = spark.createDataFrame([(k, len(c), bytearray(c)) for k, c in rows], "path string, file_bytes long, content binary").repartition(1)
+    for per_piece in (100, 130, 1000):
+        got = edf.samples(df, per_piece=per_piece).orderBy("path", "start").collect()
+        for k, _ in rows:
+            for i, ch in enumerate(edf.CHANNELS):
+                found = np.concatenate([r["digital"] for r in got if r["path"] == k and r["channel"] == ch])
+                assert np.array_equal(found, (early_data if k == "early" else data)[i]), (k, ch, per_piece)
+        flat = recordings.repeat_runs(df, per_piece=per_piece).filter("error IS NOT NULL").count()
+        assert flat == 0
+    short = spark.createDataFrame([("cut", len(plain), bytearray(cut))], "path string, file_bytes long, content binary")
+    bad = {r["piece"]: r["error"] is None for r in recordings.repeat_runs(short, per_piece=300).filter("error IS NOT NULL OR start IS NOT NULL").collect()}
+    assert bad == {k: False for k in (1, 2, 3)}
+
+
+
+
 def test_a_task_packs_few_files(spark, monkeypatch):
     from sigloom.plans import recordings as plan
     from sigloom.plans.registry import Tables
