@@ -74,6 +74,19 @@ def test_outer_folds_share_passes_and_equal_fits_of_their_own(spark, monkeypatch
         np.testing.assert_allclose(p, p_alone, atol=1e-8)
 
 
+@pytest.mark.parametrize(("hidden", "calibrate"), [((), True), (("a",), False)])
+def test_nested_selection_sends_models_instead_of_rows(rows, monkeypatch, hidden, calibrate):
+    protocol = nested.replace(PROTOCOL, calibrate=calibrate)
+    one = nested.nested_oof(rows, protocol, mask_at_test=hidden).toPandas().set_index("row").sort_index()
+    monkeypatch.setattr(parts, "PART_ROWS", 1)
+    monkeypatch.setattr(nested, "inner_oof", None)  # no table of out-of-fold rows of every candidate
+    two = nested.nested_oof(rows, protocol, mask_at_test=hidden).toPandas().set_index("row").sort_index()
+    assert list(one.columns) == list(two.columns) and list(one["candidate"]) == list(two["candidate"]) and (one["grp"] == two["grp"]).all()
+    for c in ("p_raw", "p", "score", *(("cal_a", "cal_b") if calibrate else ())):
+        np.testing.assert_allclose(one[c].astype(float), two[c].astype(float), atol=1e-6)
+    assert calibrate or two["cal_a"].isna().all()
+
+
 @pytest.mark.parametrize("masked", [False, True])
 def test_permutations_of_long_parts_send_areas(rows, monkeypatch, masked):
     inside = F.col("stratum").isin("ptsd", "control_A", "control_B") if masked else None
