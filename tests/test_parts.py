@@ -112,3 +112,12 @@ def test_a_label_that_needs_a_row_takes_the_ordered_pass(rows, monkeypatch):
     assert permutations._sides(rows.sparkSession, matrix(rows), F.col("row") > 3) is None
     known = permutations._sides(rows.sparkSession, matrix(rows), F.when(F.col("stratum") == "ptsd", True).when(F.col("y") == 0, False))
     assert known["ptsd", 0.0] is True and known["control_A", 0.0] is False and known["control_A", 1.0] is None
+
+
+def test_candidate_frequency_counts_outer_folds_of_long_parts(rows, monkeypatch):
+    few = nested.replace(PROTOCOL, candidates=CANDIDATES[:4])
+    count = lambda: {r["candidate"]: r["n"] for r in nested.candidate_frequency(nested.nested_oof(rows, few)).collect()}
+    plain = count()
+    monkeypatch.setattr(parts, "PART_ROWS", 1)
+    monkeypatch.setattr(nested, "inner_oof", None)
+    assert count() == plain and sum(plain.values()) == 7
